@@ -128,9 +128,11 @@ class Chunks:
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         distinct = coded.dictionary
         words = distinct.to_pylist()
-        unsafe = np.fromiter((not w or bool(self.edge.match(w[0]) or self.edge.match(w[-1])) for w in words), bool, len(words))
-        if not unsafe.any():
+        ends = [w[0] + w[-1] if w else " " for w in words]
+        blank = {c for c in set("".join(ends)) if self.edge.match(c)}
+        if not blank:
             return distinct, codes, counts
+        unsafe = np.fromiter((not blank.isdisjoint(e) for e in ends), bool, len(words))
         owner = np.repeat(np.arange(len(counts)), counts)
         odd = np.zeros(len(counts), bool)
         odd[owner[unsafe[codes]]] = True
