@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from threadloom.plans import forests, models, preferences, ranking, tables, texts  # noqa: F401
+from threadloom.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["QUERIES", "ORACLE_SQL"]
