@@ -151,6 +151,10 @@ def report(docs: DataFrame) -> DataFrame:
         return F.concat_ws(":", kind, s["start"].cast("string"), s["end"].cast("string"))
 
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{n}") for k, (n, *_) in enumerate(BASE)]
+
+    def of_kind(k: int):
+        return F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+
+    counts = [of_kind(k).alias(f"n_{n}") for k, (n, *_) in enumerate(BASE)]
     said = found.select("row", *counts, F.sha2(F.array_join(F.transform(base, name), ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.transform("spans", name), ",").alias("spans"), F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"))
     return rows.select("row", "doc_id").join(said, "row").drop("row")
