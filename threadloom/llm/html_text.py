@@ -57,11 +57,11 @@ CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSE
 WALLS = frozenset("td th caption table html body template".split())
 IN_HEAD = frozenset("base link meta title style script noscript template".split())
 
-TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*)>", re.DOTALL)
+# possessive throughout: a tag or quote that never ends takes the rest of the page, in one scan
+TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?+|["'])*+)(>|\Z)""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
-RULE = re.compile(r"([^{}@]+)\{([^{}]*)\}")
 SIMPLE = re.compile(r"([a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)\Z")
 #: Columns are padded to at most so many characters, so that one long cell doesn't widen every row.
 WIDEST = 48
@@ -160,15 +160,17 @@ class Grid:
 def unseen_rules(page: str) -> list[tuple[str, frozenset, frozenset]]:
     """(element or "", classes, ids) of the plain selectors that the page's style sheets hide."""
     found = []
-    for sheet in re.findall(r"<style[^>]*>(.*?)</style", page, re.DOTALL | re.IGNORECASE):
+    for sheet in re.findall(r"<style[^>]*+>(.*?)(?:</style|\Z)", page, re.DOTALL | re.IGNORECASE):
         if not UNSEEN.search(sheet):
             continue
-        for selectors, body in RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.DOTALL)):
-            if UNSEEN.search(body):
-                for s in map(str.strip, selectors.split(",")):
-                    if s and (m := SIMPLE.match(s)):
-                        marks = re.findall(r"([.#])([\w-]+)", m[2])
-                        found.append(((m[1] or "").lower(), frozenset(x for c, x in marks if c == "."), frozenset(x for c, x in marks if c == "#")))
+        for rule in re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet, flags=re.DOTALL).split("}"):
+            selectors, _, body = rule.rpartition("{")
+            if not UNSEEN.search(body):
+                continue
+            for s in map(str.strip, selectors.rpartition("{")[2].split(",")):
+                if s and (m := SIMPLE.match(s)):
+                    marks = re.findall(r"([.#])([\w-]+)", m[2])
+                    found.append(((m[1] or "").lower(), frozenset(x for c, x in marks if c == "."), frozenset(x for c, x in marks if c == "#")))
     return found
 
 
@@ -183,6 +185,7 @@ class Page:
         self.lists: list[list] = []  # [next number or None]
         self.kept = 0  # open elements that keep white space
         self.count: dict[str, int] = {}  # open elements by name
+        self.closed: list[int] = []  # depths of details elements that show their summary only
         self.page = page
 
     def visible(self) -> bool:
@@ -195,10 +198,16 @@ class Page:
             return True
         if self.rules:
             classes, own = set(attributes.get("class", "").split()), attributes.get("id", "")
-            return any((not e or e == name) and c <= classes and (not i or i == {own}) for e, c, i in self.rules)
-        return bool(self.open) and self.open[-1][0] == "details" and name != "summary" and "details closed" in self.count
+            if any((not e or e == name) and c <= classes and (not i or i == {own}) for e, c, i in self.rules):
+                return True
+        return self.in_closed() and name != "summary"
+
+    def in_closed(self) -> bool:
+        return bool(self.closed) and self.closed[-1] == len(self.open)
 
     def pop(self) -> None:
+        if self.in_closed():
+            self.closed.pop()
         name, seen = self.open.pop()
         self.count[name] -= 1
         if name in KEPT_SPACE:
@@ -282,7 +291,7 @@ class Page:
         if name in KEPT_SPACE:
             self.kept += 1
         if name == "details" and "open" not in attributes:
-            self.count["details closed"] = 1
+            self.closed.append(len(self.open))
         if seen:
             self.opened(name, attributes)
 
@@ -333,6 +342,8 @@ class Page:
                 return
 
     def words(self, s: str) -> None:
+        if self.in_closed():
+            return
         if not self.visible():
             if not (self.count.get("head", 0) and self.open[-1][0] == "head" and s.strip()):
                 return
@@ -361,6 +372,8 @@ class Page:
             if m[2] is None:
                 continue
             name = m[2].lower()
+            if not m[4]:
+                break  # the page ends inside a tag
             if m[1]:
                 self.end(name)
                 continue
