@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from threadloom.llm import bpe, mixing, rules, secrets, shared, simhash
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Words of a shingle, and differing bits of 64 up to which documents are one group.
-SHINGLE, NEAR_BITS = 5, simhash.BUDGET
+#: Words of a shingle.
+SHINGLE = 5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that of the smallest id; of rows that share it, one."""
     rows = secrets.numbered(docs, *COLUMNS)
-    groups = simhash.deduplicate(rows.select(F.col("row").alias("doc_id"), "text"), SHINGLE, NEAR_BITS)
+    groups = simhash.deduplicate_similar(rows.select(F.col("row").alias("doc_id"), "text"), SHINGLE)
     # the group's smallest doc_id, and of equal ids the first row
     named = rows.select("row", "doc_id").join(groups.select(F.col("doc_id").alias("row"), "component_id"), "row")
     kept = named.groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "row")).alias("least")).select(F.col("least.row").alias("row"))

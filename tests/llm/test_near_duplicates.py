@@ -163,3 +163,31 @@ def test_embeddings_repeated_ids_and_empty(spark):
     got = sorted(((x.vec_id, x.n_links, x.component_id) for x in embeddings.near_duplicates(df).collect()), key=str)
     assert got == sorted([(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (None, 0, None), (4, 0, 4)], key=str)
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_similar_documents(spark, nothing):
+    """Copies with a few words changed are one group; texts that share a passage are not."""
+    r = random.Random(8)
+
+    def prose(n):
+        return [f"w{r.randrange(5000)}" for _ in range(n)]
+
+    rows, want = [], {}
+    for g in range(40):
+        words = prose(300)
+        for k in range(5):
+            copy = list(words)
+            for _ in range(k):
+                copy[r.randrange(300)] = "changed"
+            rows.append((100 * g + k, " ".join(copy)))
+            want[100 * g + k] = 100 * g
+    passage = prose(60)
+    for k in range(60):
+        rows.append((10_000 + k, " ".join(prose(150) + passage)))
+        want[10_000 + k] = 10_000 + k
+    got = {x.doc_id: x.component_id for x in simhash.deduplicate_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[d] != c for d, c in want.items()) <= 2
+    assert all(got[d] == d for d in want if d >= 10_000)
+    assert simhash.deduplicate_similar(nothing).count() == 0
+    some = spark.createDataFrame([(1, None), (2, ""), (3, "x"), (3, "x"), (None, "x")], "doc_id long, text string")
+    assert sorted(((x.doc_id, x.component_id) for x in simhash.deduplicate_similar(some).collect()), key=str) == sorted([(1, 1), (2, 1), (3, 3), (3, 3), (None, 3)], key=str)

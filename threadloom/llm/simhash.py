@@ -27,6 +27,9 @@ from threadloom.llm.components import local_roots, roots
 from threadloom.llm.shared import by_bytes, materialise, renamed
 
 BITS, BUDGET, SEED = 64, 2, 42
+#: Bits that texts of a similarity of 0.8 differ in at most, mostly, and the shingle samples that find them:
+#: classes of hashes, and the least hashes of each that must agree.
+SIMILAR, CLASSES, LEAST = 12, 10, 4
 #: Fingerprints of a subtrie beyond which its node pairs become tasks of their own.
 SUBTRIE = 50_000
 #: Fingerprints of whole subtries that a task traverses at once.
@@ -37,24 +40,46 @@ LEAF_PAIRS = 32
 SUM_ROWS = 1 << 15
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """The SimHash of a text's word shingles, each as often as it occurs.
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 of a text's word shingles, each as often as it occurs.
 
     Only A-Z are lower-cased and only ASCII white space divides words: that is
     what bytes.lower and bytes.split do. Fewer than width words are one
-    shingle; without words the fingerprint is zero.
+    shingle; without words there is none.
     """
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     shingles = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))
-    n = max(1, len(words) - width + 1)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, n)
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, max(1, len(words) - width + 1))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero without any."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, SUM_ROWS):
+    for at in range(0, len(hashes), SUM_ROWS):
         some = hashes[at : at + SUM_ROWS].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, width: int) -> int:
+    """The SimHash of a text."""
+    return majority(shingle_hashes(text, width))
+
+
+def samples(hashes: np.ndarray, classes: int, least: int) -> list[int]:
+    """A key for each class of hashes: what its least distinct ones, up to least of them, hash to.
+
+    A hash's class is its remainder, so the same shingle is in the same class in
+    every text; texts of Jaccard similarity s share a key with a chance of about
+    s ** least in each class.
+    """
+    if not len(hashes):
+        return [0] * classes
+    distinct = np.unique(hashes)
+    of = (distinct % np.uint64(classes)).astype(np.int64)
+    return [xxhash.xxh64_intdigest(distinct[of == k][:least].tobytes(), k) >> 1 for k in range(classes)]
 
 
 def _fingerprints(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -72,6 +97,19 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(_fingerprints(width), "doc_id long, fp long")
 
 
+def _sampled(width: int, classes: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text"):
+            fps, keys = [], []
+            for t in batch.column("text").to_pylist():
+                hashes = shingle_hashes(t or b"", width)
+                fps.append(majority(hashes))
+                keys.append(samples(hashes, classes, least))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "keys"])
+
+    return run
+
+
 def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int64)
 
@@ -129,9 +167,12 @@ def _turned(fp: Column, by: int) -> Column:
     return fp if not by else F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, BITS - by))
 
 
-def _traverse(budget: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Over rows (turn, block, a, b, key) sorted by them: forests of whole tasks at a time."""
-    blocks = _blocks(budget)
+def _traverse(budget: int, blocks: list[tuple[int, int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over rows (turn, block, a, b, side, key) sorted by them: forests of whole tasks at a time.
+
+    blocks: for each turn, by how much its keys are rotated, and how many top
+    bits the keys of a task share.
+    """
 
     def links(turn: np.ndarray, block: np.ndarray, a: np.ndarray, b: np.ndarray, key: np.ndarray, side: np.ndarray) -> pa.RecordBatch | None:
         # one forest: node ranges are runs of equal (turn, block, a, b, side)
@@ -213,7 +254,22 @@ def links(fps: DataFrame, budget: int = BUDGET, subtrie: int = SUBTRIE) -> DataF
     dealt = marked.withColumn("prefix", F.when(F.col("bits") > 0, prefix).otherwise(0)).select("turn", "block", "key", F.explode(own).alias("o")).select("turn", "block", "o.a", "o.b", "o.side", "key")
     # signed order with the top bit turned over is unsigned order; inside a block only the bits below it count
     ordered = dealt.repartition("turn", "block", "a", "b").sortWithinPartitions("turn", "block", "a", "b", "side", F.col("key").bitwiseXOR(F.lit(-(1 << 63))))
-    return ordered.mapInArrow(_traverse(budget), "u long, v long")
+    return ordered.mapInArrow(_traverse(budget, _blocks(budget)), "u long, v long")
+
+
+def sampled_links(rows: DataFrame, classes: int, budget: int) -> DataFrame:
+    """Links (u, v) that connect fingerprints within budget bits that share a sample key.
+
+    rows: distinct (fp, keys). For budgets that leave no block of useful width:
+    the trees are dealt by (class, key) in place of a block, each a trie of
+    whole fingerprints.
+    """
+    each = rows.select("fp", F.posexplode("keys").alias("turn", "block")).select("turn", "block", "fp").distinct()
+    crowded = each.groupBy("turn", "block").agg(F.count("*").alias("size")).filter("size > 1")
+    zero = F.lit(0).cast("long")
+    dealt = each.join(crowded, ["turn", "block"], "left_semi").select("turn", "block", zero.alias("a"), zero.alias("b"), F.lit(0).alias("side"), F.col("fp").alias("key"))
+    ordered = dealt.repartition("turn", "block").sortWithinPartitions("turn", "block", F.col("key").bitwiseXOR(F.lit(-(1 << 63))))
+    return ordered.mapInArrow(_traverse(budget, [(0, 0)] * classes), "u long, v long")
 
 
 def components(fps: DataFrame, budget: int = BUDGET, subtrie: int = SUBTRIE) -> DataFrame:
@@ -221,8 +277,11 @@ def components(fps: DataFrame, budget: int = BUDGET, subtrie: int = SUBTRIE) ->
 
     component: the smallest doc_id of all fingerprints reached by links.
     """
-    found = roots(links(fps.select("fp"), budget, subtrie), "simhash-links")
-    rooted = fps.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
+    return _components(fps, links(fps.select("fp"), budget, subtrie))
+
+
+def _components(fps: DataFrame, found: DataFrame) -> DataFrame:
+    rooted = fps.join(roots(found, "simhash-links").select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component"))
     return rooted.join(least, "root").select("fp", "component")
 
@@ -240,5 +299,22 @@ def deduplicate(docs: DataFrame, width: int = 5, budget: int = BUDGET, subtrie:
     return rows.join(found, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def deduplicate_similar(docs: DataFrame, width: int = 5, budget: int = SIMILAR, classes: int = CLASSES, least: int = LEAST) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of docs: groups of a similarity of about 0.8 or more.
+
+    Fingerprints of such texts differ in up to budget bits, more than blocks can
+    divide by. So that only likely pairs are traversed, a link also needs a
+    common sample of shingles: at a similarity of 0.8 one of the classes agrees
+    in 99 cases of 100. Both are estimates: of 713 documents of 10,000 that have
+    an earlier one at 0.8 or more, 5 were not found, and texts from 0.6 on may
+    be linked; none below 0.5 was. Null and empty texts as for deduplicate.
+    """
+    rows = renamed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = materialise(rows.mapInArrow(_sampled(width, classes, least), "doc_id long, fp long, keys array<long>"), "simhash-samples")
+    each = rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    found = _components(each, sampled_links(rows.select("fp", "keys").distinct(), classes, budget)).withColumnRenamed("component", "component_id")
+    return rows.select("doc_id", "fp").join(found, "fp", "left").select("doc_id", "fp", "component_id")
+
+
 def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
