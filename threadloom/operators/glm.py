@@ -241,11 +241,11 @@ def beta_regression(df: DataFrame, formula: str, steps: int = 100, tolerance: fl
     """
     response, terms = expand(formula)
     columns = sorted({c for t in terms for c in t})
-    cells = df.select(response, *columns).na.drop().groupBy(*columns).agg(F.count("*").alias("n"), F.sum(F.ln(response)).alias("a"), F.sum(F.log1p(-F.col(response))).alias("b")).limit(most_cells + 1).toPandas()
+    cells = df.select(response, *columns).na.drop().groupBy(*columns).agg(F.count("*").alias("_n"), F.sum(F.ln(response)).alias("_log"), F.sum(F.log1p(-F.col(response))).alias("_log1m")).limit(most_cells + 1).toPandas()
     if len(cells) > most_cells:
         raise ValueError(f"the regressors form more than {most_cells} cells")
     x = np.column_stack([np.ones(len(cells)), *[np.prod([cells[c].astype(float) for c in t], axis=0) for t in terms]])
-    n, a, b = (cells[c].to_numpy(float) for c in ("n", "a", "b"))
+    n, a, b = (cells[c].to_numpy(float) for c in ("_n", "_log", "_log1m"))
     k = x.shape[1]
 
     def state(p: np.ndarray) -> tuple[np.ndarray, float]:
