@@ -137,7 +137,7 @@ WITH t AS (
 ), f AS (
   SELECT *, CAST(CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
     + CASE WHEN n_words > 0 AND word_chars < 2 * n_words THEN 4 ELSE 0 END + CASE WHEN word_chars > 14 * n_words THEN 8 ELSE 0 END
-    + CASE WHEN 10 * n_symbols > 3 * n_words THEN 16 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 32 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > 3 * n_words THEN 16 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 32 ELSE 0 END
     + CASE WHEN n_letters > 0 AND 100 * n_upper > 60 * n_letters THEN 64 ELSE 0 END
     + CASE WHEN n_words > 0 AND 2 * n_letters < word_chars THEN 128 ELSE 0 END AS BIGINT) AS fail_bits
   FROM m

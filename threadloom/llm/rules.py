@@ -26,7 +26,7 @@ RULES = (
     ("short_words", "n_words > 0 and word_chars < 2 * n_words"),
     ("long_words", "word_chars > 14 * n_words"),
     ("symbols", "10 * n_symbols > 3 * n_words"),
-    ("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    ("repeated_lines", "2 * n_dup_lines > n_lines"),
     ("upper_case", "n_letters > 0 and 100 * n_upper > 60 * n_letters"),
     ("no_letters", "n_words > 0 and 2 * n_letters < word_chars"),
 )
