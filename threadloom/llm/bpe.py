@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -218,8 +219,14 @@ def coder(path: str, pattern: str) -> tuple[Vocabulary, Coder]:
         vocabulary = Vocabulary(load_ranks(path), pattern)
         known = _Pieces(vocabulary)
 
-        def encode(chunks: list[str]) -> list[list[int]]:
-            return [[i for piece in vocabulary.pieces.findall(c) for i in known[piece]] for c in chunks]
+        def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            ids, counts = array("I"), []
+            for c in chunks:
+                before = len(ids)
+                for piece in vocabulary.pieces.findall(c):
+                    ids.extend(known[piece])
+                counts.append(len(ids) - before)
+            return np.frombuffer(ids, np.uint32) if len(ids) else np.zeros(0, np.uint32), np.array(counts, np.int64)
 
         _KEPT[path, pattern] = vocabulary, Coder(encode)
     return _KEPT[path, pattern]

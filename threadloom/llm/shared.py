@@ -81,31 +81,47 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Memo:
     """Encoded chunks by text: ids in one pool, bounded in entries and ids.
 
-    When full it is emptied; a chunk encodes alike every time, so that results
-    do not depend on what the memo holds.
+    encode gives the ids of many chunks, one after another, and each one's
+    number. Once full, the memo keeps what it has, since common chunks come
+    early, and holds further chunks for one call only; it is emptied when most
+    of a call's chunks are new to it. A chunk encodes alike every time, so
+    results do not depend on what the memo holds.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], entries: int = 700_000, ids: int = 16 << 20):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], entries: int = 500_000, ids: int = 4 << 20):
         self.encode, self.entries, self.ids = encode, entries, ids
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.pool, self.ends = array("I"), array("Q", [0])
+        self.pool, self.ends = array("I"), array("q", [0])
 
     def rows(self, chunks: list[str]) -> np.ndarray:
-        """The row of each chunk in ends; chunks of one call stay valid until the next."""
+        """The row of each chunk in ends; rows hold until the next call."""
+        kept = len(self.at)
+        del self.ends[kept + 1 :], self.pool[self.ends[kept] :]
         missing = [c for c in dict.fromkeys(chunks) if c not in self.at]
-        if missing and (len(self.at) + len(missing) > self.entries or len(self.pool) > self.ids):
+        if kept >= self.entries // 2 and 4 * len(missing) > 3 * len(chunks):
             self.clear()
-            missing = list(dict.fromkeys(chunks))
-        for group in range(0, len(missing), 4096):
-            some = missing[group : group + 4096]
-            for chunk, ids in zip(some, self.encode(some), strict=True):
-                self.at[chunk] = len(self.ends) - 1
-                self.pool.extend(ids)
-                self.ends.append(len(self.pool))
-        return np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
+            kept, missing = 0, list(dict.fromkeys(chunks))
+        if not missing:
+            return np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
+        ids, counts = self.encode(missing)
+        self.ends.frombytes((np.cumsum(counts, dtype=np.int64) + self.ends[kept]).tobytes())
+        self.pool.frombytes(np.ascontiguousarray(ids, np.uint32).tobytes())
+        rows = range(kept, kept + len(missing))
+        fit = self.entries - kept
+        if len(self.pool) > self.ids:
+            fit = min(fit, int(np.searchsorted(np.frombuffer(self.ends, np.int64), self.ids)) - 1 - kept)
+        if fit >= len(missing):
+            self.at.update(zip(missing, rows, strict=True))
+            known = self.at
+        else:
+            fit = max(0, fit)
+            self.at.update(zip(missing[:fit], rows, strict=False))
+            late = dict(zip(missing[fit:], rows[fit:], strict=True))
+            return np.fromiter((late[c] if c in late else self.at[c] for c in chunks), np.int64, len(chunks))
+        return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
 
 
 class Chunks:
@@ -120,63 +136,60 @@ class Chunks:
         self.edge = re.compile(f"[{blank}]")
         self.cut = re.compile(f"(?<=[^{blank}]) (?=[^{blank}])")
 
-    def __call__(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    def __call__(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Distinct parts, each text's parts as indices into them, and each text's count."""
         parts = pc.split_pattern(texts, pattern=" ")
         counts = np.diff(parts.offsets.to_numpy(zero_copy_only=False)).astype(np.int64)
         coded = parts.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
         distinct = coded.dictionary
         words = distinct.to_pylist()
-        ends = [w[0] + w[-1] if w else " " for w in words]
-        blank = {c for c in set("".join(ends)) if self.edge.match(c)}
+        first, last = pc.utf8_slice_codeunits(distinct, 0, 1), pc.utf8_slice_codeunits(distinct, -1)
+        blank = [c for c in {*first.unique().to_pylist(), *last.unique().to_pylist()} if not c or self.edge.match(c)]
         if not blank:
-            return distinct, codes, counts
-        unsafe = np.fromiter((not blank.isdisjoint(e) for e in ends), bool, len(words))
-        owner = np.repeat(np.arange(len(counts)), counts)
-        odd = np.zeros(len(counts), bool)
-        odd[owner[unsafe[codes]]] = True
-        odd &= counts > 1
+            return words, codes, counts
+        blank = pa.array(blank, distinct.type)
+        unsafe = pc.or_(pc.is_in(first, value_set=blank), pc.is_in(last, value_set=blank)).to_numpy(zero_copy_only=False)
+        begins = np.cumsum(counts) - counts
+        odd = np.logical_or.reduceat(unsafe[codes], begins) & (counts > 1)
         if not odd.any():
-            return distinct, codes, counts
+            return words, codes, counts
         index = {w: i for i, w in enumerate(words)}
         pieces: list[np.ndarray] = []
-        begins = np.cumsum(counts) - counts
         for i in range(len(counts)):
             own = codes[begins[i] : begins[i] + counts[i]]
             if odd[i]:
                 own = np.fromiter((index.setdefault(p, len(index)) for p in self.cut.split(texts[i].as_py())), np.int64)
             pieces.append(own)
         counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        return pa.array(list(index), distinct.type), np.concatenate(pieces), counts
+        return list(index), np.concatenate(pieces), counts
 
 
 class Coder:
-    """ids of whole texts, by chunks. encode gives the ids of each of many strings.
+    """ids of whole texts, by chunks. encode: as for Memo.
 
     spaced: whether a part's own space belongs to it for the tokenizer.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], blank: str = r"\s", spaced: bool = True):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], blank: str = r"\s", spaced: bool = True):
         self.memo, self.chunks, self.spaced = Memo(encode), Chunks(blank), spaced
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, and each text's number of ids."""
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        distinct, codes, counts = self.chunks(texts)
-        words = distinct.to_pylist()
+        words, codes, counts = self.chunks(texts)
         firsts = np.cumsum(counts) - counts
         lead = " " if self.spaced else ""
-        heads = [words[c] for c in codes[firsts]]
+        heads = [words[c] for c in codes[firsts].tolist()]
         rows = self.memo.rows([lead + w for w in words] + heads)
         at = rows[: len(words)][codes]
         at[firsts] = rows[len(words) :]
-        ends = np.frombuffer(self.memo.ends, np.uint64).astype(np.int64)
+        ends = np.frombuffer(self.memo.ends, np.int64)
         pool = np.frombuffer(self.memo.pool, np.uint32) if len(self.memo.pool) else np.zeros(0, np.uint32)
-        starts, lengths = ends[at], ends[at + 1] - ends[at]
-        ids = pool[spread(starts, lengths)]
-        return ids, np.add.reduceat(lengths, firsts)
+        starts = ends[at]
+        lengths = ends[at + 1] - starts
+        return pool[spread(starts, lengths)], np.add.reduceat(lengths, firsts)
 
 
 def whole_texts(batch: pa.RecordBatch, column: str) -> pa.Array:

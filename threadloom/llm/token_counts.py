@@ -45,8 +45,7 @@ class Counter:
             return np.zeros(0, np.int64)
         if not self.divisible:
             return np.array(self.count(texts.to_pylist()), np.int64)
-        distinct, codes, counts = self.chunks(texts)
-        words = distinct.to_pylist()
+        words, codes, counts = self.chunks(texts)
         firsts = np.cumsum(counts) - counts
         if not self.spaced:
             each = self.lengths(words)[codes]

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import Coder, by_bytes, renamed, whole_texts, workspace
+from threadloom.llm.shared import Coder, by_bytes, renamed, spread, whole_texts, workspace
 
 #: Ids in a word and bits of each, by selector from 1 on.
 LAYOUT = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 BLOCK_IDS = 1 << 16
 #: Ids that are packed side by side from one starting point each.
 LANE = 1 << 10
+#: Chunks that are encoded as lines of one text.
+LINES = 500
 
 BLOCKS = "shard long, block long, start long, n_ids long, words binary, escapes binary, doc_ids binary, doc_ends binary, null_ids binary"
 
@@ -198,8 +201,35 @@ class LibraryCoder:
 
             tokenizer = Tokenizer.from_file(self.path)
 
-            def encode(chunks: list[str]) -> list[list[int]]:
-                return [x.ids for x in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+            def ids(texts: list[str]) -> list[list[int]]:
+                return [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+            # where a line's end is always a token of its own, many chunks go as lines of one text
+            probe = ids(["a", " b", "c", "\n", "a\n b\nc"])
+            end = probe[3][0] if len(probe[3]) == 1 else -1
+            lines = end >= 0 and probe[4] == [*probe[0], end, *probe[1], end, *probe[2]]
+
+            def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+                alone = [k for k, c in enumerate(chunks) if not lines or "\n" in c or not c or c[-1].isspace() or c[:2].isspace() or c[0] != " " and c[0].isspace()]
+                single = set(alone)
+                joined = [c for k, c in enumerate(chunks) if k not in single] if alone else chunks
+                found = ids(["\n".join(joined[at : at + LINES]) for at in range(0, len(joined), LINES)])
+                flat = np.fromiter(chain.from_iterable(chain(x, (end,)) for x in found), np.uint32) if joined else np.zeros(0, np.uint32)
+                ends = np.flatnonzero(flat == end)
+                counts = np.diff(ends, prepend=-1) - 1
+                flat = flat[flat != end]
+                if not alone:
+                    return flat, counts
+                others = ids([chunks[k] for k in alone])
+                every = np.zeros(len(chunks), np.int64)
+                rest = np.ones(len(chunks), bool)
+                rest[alone] = False
+                every[rest], every[alone] = counts, [len(x) for x in others]
+                begins = np.cumsum(every) - every
+                out = np.zeros(int(every.sum()), np.uint32)
+                out[spread(begins[rest], counts)] = flat
+                out[spread(begins[alone], every[alone])] = list(chain.from_iterable(others))
+                return out, every
 
             self.kept[self.path] = Coder(encode)
         return self.kept[self.path]
