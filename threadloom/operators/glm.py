@@ -70,7 +70,8 @@ def trigamma(x: np.ndarray) -> np.ndarray:
     return out + 1 / x + r / 2 + r / x * (1 / 6 - r * (1 / 30 - r * (1 / 42 - r * (1 / 30 - r * 5 / 66))))
 
 
-_log_gamma = np.vectorize(math.lgamma, otypes=[float])
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    return np.vectorize(math.lgamma, otypes=[float])(x)
 
 
 @dataclass

@@ -16,10 +16,9 @@ from threadloom.sources.tables import table
 FEATURES = ("lexdiv", "sim", "smog", "sentcomp")
 
 
-def seconds(ts: Column | str) -> Column:
+def seconds(column: str) -> Column:
     """Whole seconds since 1970 of a time without a zone, whatever the session's zone."""
-    name = ts if isinstance(ts, str) else None
-    return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {name})")
+    return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {column})")
 
 
 def forum_ranking(spark: SparkSession, folder: str) -> DataFrame:
