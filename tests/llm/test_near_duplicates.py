@@ -49,7 +49,7 @@ def test_trie_pairs(budget):
                 k ^= 1 << int(bit)
             keys.append(np.uint64(k))
     keys = np.unique(np.array(keys, np.uint64))
-    u, v = simhash.trie_pairs(keys, np.array([[0, len(keys), 0, len(keys)]]), np.zeros(1, int), budget)
+    u, v = simhash.trie_pairs(keys, np.array([[0, len(keys), 0, len(keys)]]), 0, budget)
     got = {tuple(sorted(x)) for x in zip(u.tolist(), v.tolist(), strict=True)}
     near = np.bitwise_count(keys[:, None] ^ keys[None, :]) <= budget
     assert len(got) == len(u) and got == {(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True) if a < b}
@@ -191,3 +191,16 @@ def test_similar_documents(spark, nothing):
     assert simhash.deduplicate_similar(nothing).count() == 0
     some = spark.createDataFrame([(1, None), (2, ""), (3, "x"), (3, "x"), (None, "x")], "doc_id long, text string")
     assert sorted(((x.doc_id, x.component_id) for x in simhash.deduplicate_similar(some).collect()), key=str) == sorted([(1, 1), (2, 1), (3, 3), (3, 3), (None, 3)], key=str)
+
+
+def test_a_large_group_of_near_fingerprints_is_walked_in_bounded_pieces():
+    """All within the budget of each other: most node pairs are done before they are compared."""
+    r = np.random.default_rng(3)
+    keys = np.unique(np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 64, (6000, 6)).astype(np.uint64), axis=1))
+    forest = simhash.Forest(keys)
+    compared = 0
+    for u, v in simhash.trie_walk(keys, np.array([[0, len(keys), 0, len(keys)]]), 0, 12, forest.done):
+        compared += len(u)
+        assert len(u) <= simhash.CHUNK * simhash.LEAF_PAIRS
+        forest.link(u, v)
+    assert (forest.root == 0).all() and compared < len(keys) ** 2 / 10

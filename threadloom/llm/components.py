@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from threadloom.llm.shared import materialise
 
 
-def local_roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The smallest index that each of n nodes reaches by the links u-v."""
-    root = np.arange(n)
+def local_roots(n: int, u: np.ndarray, v: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+    """The smallest index that each of n nodes reaches by the links u-v, and by those that made root."""
+    root = np.arange(n) if root is None else root.copy()
     while len(u):
         low = np.minimum(root[u], root[v])
         np.minimum.at(root, root[u], low)

@@ -36,6 +36,8 @@ SUBTRIE = 50_000
 FOREST = 200_000
 #: Node pairs of at most so many fingerprint pairs are compared at once.
 LEAF_PAIRS = 32
+#: Node pairs that go down together.
+CHUNK = 1 << 15
 #: Shingles whose bits are summed at once.
 SUM_ROWS = 1 << 15
 
@@ -114,47 +116,90 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int64)
 
 
-def trie_pairs(keys: np.ndarray, pairs: np.ndarray, top: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def trie_walk(keys: np.ndarray, pairs: np.ndarray, depth: int, budget: int, done: Callable | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of keys within budget differing bits, by a paired trie traversal.
 
     keys: unsigned 64-bit, ascending in each node. pairs: rows (alo, ahi, blo,
     bhi) of node pairs as ranges of keys, a node with itself having equal
-    ranges. top: the bits that all of a pair's keys share with their node. All
-    pairs go down one bit a step; those with few keys are compared at once.
+    ranges. depth: the top bits that all keys of a node share. Many node pairs
+    go down one bit at once, at most CHUNK of them, the deepest first; so what is
+    held follows the depth and not the pairs. Those of few keys are compared.
+    done(alo, ahi, blo, bhi) tells which node pairs can bring nothing new.
     """
-    if not len(pairs):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    us, vs = [], []
-    depth = int(top.min())
-    alo, ahi, blo, bhi = (np.ascontiguousarray(pairs[:, k]) for k in range(4))
-    same = (alo == blo) & (ahi == bhi)
-    first = _popcount((keys[alo] ^ keys[blo]) & ~(np.uint64(0xFFFFFFFFFFFFFFFF) >> np.uint64(depth))) if depth else np.zeros(len(alo), np.int64)
-    spent = np.where(same, 0, first)
-    while len(alo):
+    counts: dict[int, np.ndarray] = {}
+    same = (pairs[:, 0] == pairs[:, 2]) & (pairs[:, 1] == pairs[:, 3])
+    work = [(depth, *(np.ascontiguousarray(pairs[:, k]) for k in range(4)), np.zeros(len(pairs), np.int64), same)]
+    while work:
+        depth, *columns = work.pop()
+        if len(columns[0]) > CHUNK:
+            work += [(depth, *(x[at : at + CHUNK] for x in columns)) for at in range(0, len(columns[0]), CHUNK)]
+            continue
+        if done is not None:
+            new = ~done(*columns[:4])
+            columns = [x[new] for x in columns]
+        alo, ahi, blo, bhi, spent, same = columns
         size_a, size_b = ahi - alo, bhi - blo
         leaf = (size_a * size_b <= LEAF_PAIRS) | (depth >= BITS)
         if leaf.any():
-            a0, na, b0, nb = alo[leaf], size_a[leaf], blo[leaf], size_b[leaf]
-            each = na * nb
+            a0, b0, nb = alo[leaf], blo[leaf], size_b[leaf]
+            each = size_a[leaf] * nb
             which = np.repeat(np.arange(len(each)), each)
             k = np.arange(len(which)) - np.repeat(np.cumsum(each) - each, each)
             u, v = a0[which] + k // nb[which], b0[which] + k % nb[which]
             near = (_popcount(keys[u] ^ keys[v]) <= budget) & (u != v) & (~same[leaf][which] | (u < v))
-            us.append(u[near])
-            vs.append(v[near])
+            if near.any():
+                yield u[near], v[near]
             alo, ahi, blo, bhi, spent, same = (x[~leaf] for x in (alo, ahi, blo, bhi, spent, same))
-            if not len(alo):
-                break
-        ones = np.concatenate([[0], np.cumsum((keys >> np.uint64(BITS - 1 - depth)) & np.uint64(1)).astype(np.int64)])
+        if not len(alo):
+            continue
+        if depth not in counts:
+            counts[depth] = np.concatenate([[0], np.cumsum((keys >> np.uint64(BITS - 1 - depth)) & np.uint64(1))]).astype(np.int32)
+        ones = counts[depth]
         am, bm = ahi - (ones[ahi] - ones[alo]), bhi - (ones[bhi] - ones[blo])
         across = ~same
         steps = [(alo, am, blo, bm, spent, same), (am, ahi, bm, bhi, spent, same), (alo, am, bm, bhi, spent + 1, np.zeros_like(same))]
         steps.append(tuple(x[across] for x in (am, ahi, blo, bm, spent + 1, same)))
         alo, ahi, blo, bhi, spent, same = (np.concatenate(x) for x in zip(*steps, strict=True))
         keep = (alo < ahi) & (blo < bhi) & (spent <= budget) & ~(same & (ahi - alo < 2))
-        alo, ahi, blo, bhi, spent, same = (x[keep] for x in (alo, ahi, blo, bhi, spent, same))
-        depth += 1
-    return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if keep.any():
+            work.append((depth + 1, *(x[keep] for x in (alo, ahi, blo, bhi, spent, same))))
+
+
+def trie_pairs(keys: np.ndarray, pairs: np.ndarray, depth: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """All index pairs of trie_walk."""
+    found = list(trie_walk(keys, pairs, depth, budget))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(u for u, _ in found)]), np.concatenate([none, *(v for _, v in found)])
+
+
+class Forest:
+    """Which keys of a task hang together so far; a fingerprint may stand in several trees."""
+
+    def __init__(self, original: np.ndarray):
+        self.nodes, self.index = np.unique(original.view(np.int64), return_inverse=True)
+        self.root = np.arange(len(self.nodes))
+        self._seen()
+
+    def _seen(self) -> None:
+        own = self.root[self.index]
+        self.changes = np.concatenate([[0], np.cumsum(own[1:] != own[:-1])])
+        self.own = own
+
+    def link(self, u: np.ndarray, v: np.ndarray) -> None:
+        u, v = self.index[u], self.index[v]
+        apart = self.root[u] != self.root[v]
+        if apart.any():
+            self.root = local_roots(len(self.nodes), u[apart], v[apart], self.root)
+            self._seen()
+
+    def done(self, alo: np.ndarray, ahi: np.ndarray, blo: np.ndarray, bhi: np.ndarray) -> np.ndarray:
+        """Node pairs whose keys are all of one component already."""
+        c = self.changes
+        return (c[ahi - 1] == c[alo]) & (c[bhi - 1] == c[blo]) & (self.own[alo] == self.own[blo])
+
+    def moved(self) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(self.root != np.arange(len(self.root)))
+        return self.nodes[at], self.nodes[self.root[at]]
 
 
 def _blocks(budget: int) -> list[tuple[int, int]]:
@@ -183,23 +228,19 @@ def _traverse(budget: int, blocks: list[tuple[int, int]]) -> Callable[[Iterator[
         selfs = np.stack([lo, hi, lo, hi], 1)[own & (hi - lo > 1)]
         partner = np.flatnonzero(~own[:-1] & (side[lo[:-1]] == 0) & (side[lo[1:]] == 1) & (turn[lo[:-1]] == turn[lo[1:]]) & (block[lo[:-1]] == block[lo[1:]]) & (a[lo[:-1]] == a[lo[1:]]) & (b[lo[:-1]] == b[lo[1:]]))
         crosses = np.stack([lo[partner], hi[partner], lo[partner + 1], hi[partner + 1]], 1)
-        us, vs = [], []
-        for pairs in (selfs, crosses):
-            for k, (_, length) in enumerate(blocks):
-                some = pairs[turn[pairs[:, 0]] == k]
-                u, v = trie_pairs(key, some, np.full(len(some), length if pairs is selfs else 0), budget) if pairs is selfs else _crossed(key, some, budget)
-                us.append(u)
-                vs.append(v)
-        u, v = np.concatenate(us), np.concatenate(vs)
-        if not len(u):
-            return None
         offsets = np.array([o for o, _ in blocks], np.uint64)[turn]
-        original = (key >> offsets) | np.where(offsets > 0, key << ((np.uint64(BITS) - offsets) % np.uint64(BITS)), np.uint64(0))
-        # a fingerprint may stand in several trees of the forest
-        nodes, index = np.unique(original.view(np.int64), return_inverse=True)
-        root = local_roots(len(nodes), index[u], index[v])
-        moved = np.flatnonzero(root != np.arange(len(root)))
-        return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["u", "v"])
+        forest = Forest((key >> offsets) | np.where(offsets > 0, key << ((np.uint64(BITS) - offsets) % np.uint64(BITS)), np.uint64(0)))
+        # neighbours first: of a group of near copies most node pairs are done with that
+        inside = np.ones(max(0, len(key) - 1), bool)
+        inside[change - 1] = False
+        near = np.flatnonzero(inside & (_popcount(key[1:] ^ key[:-1]) <= budget))
+        forest.link(near, near + 1)
+        for k, (_, shared) in enumerate(blocks):
+            for pairs, depth in ((selfs, shared), (crosses, 0)):  # nodes with other prefixes are followed from the root on
+                for u, v in trie_walk(key, pairs[turn[pairs[:, 0]] == k], depth, budget, forest.done):
+                    forest.link(u, v)
+        u, v = forest.moved()
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"]) if len(u) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -229,11 +270,6 @@ def _traverse(budget: int, blocks: list[tuple[int, int]]) -> Callable[[Iterator[
     return run
 
 
-def _crossed(keys: np.ndarray, pairs: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Node pairs whose nodes have other prefixes: followed from the root of the bits on."""
-    return trie_pairs(keys, pairs, np.zeros(len(pairs), np.int64), budget)
-
-
 def links(fps: DataFrame, budget: int = BUDGET, subtrie: int = SUBTRIE) -> DataFrame:
     """Links (u, v) that connect all distinct fingerprints within budget bits of each other.
 
