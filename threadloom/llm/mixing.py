@@ -27,6 +27,8 @@ from threadloom.llm.shared import materialise, renamed
 #: Weights of the sources in their order, again and again.
 WEIGHTS = (5, 2, 1)
 LIMIT, PASSES = 3, 3
+#: Most sources whose table, some hundred bytes a row, is broadcast; more are joined by an exchange.
+SMALL = 10_000
 #: Bins of a source's ranks; the rows of one are ordered in one task.
 BINS = 1 << 14
 
@@ -68,6 +70,10 @@ def pareto_rank(u: Column, chance: Column) -> Column:
     return F.when(chance >= 1, F.lit(0.0)).otherwise((u / (1 - u)) / (chance / (1 - chance)))
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= SMALL else df
+
+
 def _cut(rows: DataFrame, due: DataFrame) -> DataFrame:
     """The rows that the words due to their source last for, in ascending rank.
 
@@ -113,17 +119,17 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple = WEIGHTS, limit: int = L
     whole = {s: int(min(limit, due[s] / n)) if n else 0 for s, n in sizes}
     rest = {k: due[s] - whole[s] * n for k, (s, n) in enumerate(sizes)}
     plan = spark.createDataFrame([(k, s, n, due[s], whole[s], rest[k]) for k, (s, n) in enumerate(sizes)], "source_no int, name string, source_size long, target double, whole int, rest double")
-    full = rows.join(plan, F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    full = rows.join(_small(plan, len(sizes)), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     # a document's chance: the words to draw, over the words that could be drawn
     could = {r[0]: r[1] for r in full.filter("size > 0 and size <= rest").groupBy("source_no").agg(F.sum("size")).collect()}
     chances = spark.createDataFrame([(k, min(1 - 1e-9, rest[k] / n)) for k, n in could.items()], "source_no int, chance double")
     odds = F.col("chance") / (1 - F.col("chance")) * F.col("factor")
-    pool = full.filter("size > 0 and size <= rest").join(chances, "source_no").withColumn("rank", pareto_rank(F.col("u"), odds / (1 + odds)))
+    pool = full.filter("size > 0 and size <= rest").join(_small(chances, len(could)), "source_no").withColumn("rank", pareto_rank(F.col("u"), odds / (1 + odds)))
     # the bin ascends with the rank: rank / (1 + rank) is in [0, 1)
     pool = pool.select(F.struct("u", "doc_id", "row").alias("rid"), "row", "source_no", "size", "rank", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS).cast("int").alias("part"))
     left, owed, drawn = pool, dict(rest), None
     for _ in range(PASSES):
-        open_ = spark.createDataFrame([(k, x) for k, x in owed.items() if x > 0], "source_no int, due double")
+        open_ = _small(spark.createDataFrame([(k, x) for k, x in owed.items() if x > 0], "source_no int, due double"), len(owed))
         got = materialise(_cut(left, open_).select(F.col("rid.row").alias("row"), "source_no", "size"), "mixing-drawn")
         for r in got.groupBy("source_no").agg(F.sum("size").alias("used")).collect():
             owed[r["source_no"]] -= r["used"]
