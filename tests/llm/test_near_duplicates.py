@@ -204,3 +204,33 @@ def test_a_large_group_of_near_fingerprints_is_walked_in_bounded_pieces():
         assert len(u) <= simhash.CHUNK * simhash.LEAF_PAIRS
         forest.link(u, v)
     assert (forest.root == 0).all() and compared < len(keys) ** 2 / 10
+
+
+def jaccard(a, b):
+    a, b = (set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def altered(words, r, low, high):
+    """A copy whose similarity to words is in [low, high): single words are changed until it is."""
+    copy = list(words)
+    while jaccard(" ".join(words), " ".join(copy)) >= high:
+        copy[r.randrange(len(copy))] = f"new{r.randrange(10**9)}"
+    return copy if jaccard(" ".join(words), " ".join(copy)) >= low else altered(words, r, low, high)
+
+
+def test_similar_links_are_verified(spark):
+    """Pairs below a similarity of 0.8 stay apart, also where their fingerprints are close; chains join only by links of 0.8."""
+    r = random.Random(21)
+    rows = []
+    for g in range(150):
+        words = [f"w{r.randrange(50_000)}" for _ in range(400)]
+        rows += [(10 * g, " ".join(words)), (10 * g + 1, " ".join(altered(words, r, 0.7, 0.79)))]
+    chain = [f"w{r.randrange(50_000)}" for _ in range(400)]
+    for k in range(5):
+        rows.append((5000 + k, " ".join(chain)))
+        chain = altered(chain, r, 0.88, 0.93)
+    found = simhash.deduplicate_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {x.doc_id: x.component_id for x in found}
+    assert all(got[d] == d for d, _ in rows if d < 5000)
+    assert {got[5000 + k] for k in range(5)} == {5000}

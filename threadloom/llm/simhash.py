@@ -30,12 +30,18 @@ BITS, BUDGET, SEED = 64, 2, 42
 #: Bits that texts of a similarity of 0.8 differ in at most, mostly, and the shingle samples that find them:
 #: classes of hashes, and the least hashes of each that must agree.
 SIMILAR, CLASSES, LEAST = 12, 10, 4
+#: Least Jaccard similarity of the shingles of two linked texts.
+SIMILARITY = 0.8
 #: Fingerprints of a subtrie beyond which its node pairs become tasks of their own.
 SUBTRIE = 50_000
 #: Fingerprints of whole subtries that a task traverses at once.
 FOREST = 200_000
+#: Bytes of shingles that a task holds at once, beside those of its largest tree.
+FOREST_BYTES = 32 << 20
 #: Node pairs of at most so many fingerprint pairs are compared at once.
 LEAF_PAIRS = 32
+#: Candidate pairs after which those that hang together by now are left out.
+VERIFIED = 2048
 #: Node pairs that go down together.
 CHUNK = 1 << 15
 #: Shingles whose bits are summed at once.
@@ -99,15 +105,36 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(_fingerprints(width), "doc_id long, fp long")
 
 
+def _node(distinct: np.ndarray) -> int:
+    """What stands for a text's set of shingles: texts of equal sets are one node."""
+    return xxhash.xxh64_intdigest(distinct.tobytes(), SEED)
+
+
 def _sampled(width: int, classes: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
-            fps, keys = [], []
+            fps, nodes, keys = [], [], []
             for t in batch.column("text").to_pylist():
-                hashes = shingle_hashes(t or b"", width)
-                fps.append(majority(hashes))
-                keys.append(samples(hashes, classes, least))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "keys"])
+                distinct = np.unique(shingle_hashes(t or b"", width))
+                fps.append(majority(distinct))
+                nodes.append(_node(distinct))
+                keys.append(samples(distinct, classes, least))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, nodes)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "node", "keys"])
+
+    return run
+
+
+def _sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each text's node and its distinct shingles, as the low halves of their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text"):
+            nodes, sets = [], []
+            for t in batch.column("text").to_pylist():
+                distinct = np.unique(shingle_hashes(t or b"", width))
+                nodes.append(_node(distinct))
+                sets.append(np.unique(distinct.astype(np.uint32)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     return run
 
@@ -293,19 +320,101 @@ def links(fps: DataFrame, budget: int = BUDGET, subtrie: int = SUBTRIE) -> DataF
     return ordered.mapInArrow(_traverse(budget, _blocks(budget)), "u long, v long")
 
 
-def sampled_links(rows: DataFrame, classes: int, budget: int) -> DataFrame:
-    """Links (u, v) that connect fingerprints within budget bits that share a sample key.
+class Verifier:
+    """Links the candidates whose shingles are similar enough; sets: each key's, ascending."""
+
+    def __init__(self, forest: Forest, sets: list[np.ndarray], similarity: float):
+        self.forest, self.sets, self.similarity = forest, sets, similarity
+        self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+
+    def link(self, u: np.ndarray, v: np.ndarray) -> None:
+        for at in range(0, len(u), VERIFIED):
+            self._link(u[at : at + VERIFIED], v[at : at + VERIFIED])
+
+    def _link(self, u: np.ndarray, v: np.ndarray) -> None:
+        own = self.forest.own
+        less, more = np.minimum(self.sizes[u], self.sizes[v]), np.maximum(self.sizes[u], self.sizes[v])
+        may = (own[u] != own[v]) & (less >= self.similarity * more) & (less > 0)
+        u, v = u[may], v[may]
+        if not len(u):
+            return
+        order = np.argsort(u, kind="stable")
+        u, v = u[order], v[order]
+        starts = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+        similar = np.zeros(len(u), bool)
+        for lo, hi in zip(starts, [*starts[1:], len(u)], strict=True):
+            one, others = self.sets[u[lo]], v[lo:hi]
+            every = np.concatenate([self.sets[k] for k in others])
+            held = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+            sizes = self.sizes[others]
+            shared = np.add.reduceat(held, np.cumsum(sizes) - sizes, dtype=np.int64)
+            similar[lo:hi] = shared >= self.similarity * (len(one) + sizes - shared)
+        self.forest.link(u[similar], v[similar])
+
+
+def _verified(budget: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over rows (turn, block, key, node, shingles) sorted by turn, block and key: forests of whole trees at a time."""
+
+    def links(rows: pa.Table) -> pa.RecordBatch | None:
+        turn, block, key, node = (rows.column(c).to_numpy() for c in ("turn", "block", "key", "node"))
+        key = key.view(np.uint64)
+        change = np.flatnonzero((np.diff(turn) != 0) | (np.diff(block) != 0)) + 1
+        lo, hi = np.concatenate([[0], change]), np.concatenate([change, [len(key)]])
+        forest = Forest(node)
+        verifier = Verifier(forest, [np.frombuffer(x, np.uint32) for x in rows.column("shingles").to_pylist()], similarity)
+        # neighbours first: of a group of near copies most node pairs are done with that
+        inside = np.ones(max(0, len(key) - 1), bool)
+        inside[change - 1] = False
+        near = np.flatnonzero(inside & (_popcount(key[1:] ^ key[:-1]) <= budget))
+        verifier.link(near, near + 1)
+        for u, v in trie_walk(key, np.stack([lo, hi, lo, hi], 1)[hi - lo > 1], 0, budget, forest.done):
+            verifier.link(u, v)
+        u, v = forest.moved()
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"]) if len(u) else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size < FOREST_BYTES:
+                continue
+            rows = pa.Table.from_batches(held)
+            turn, block = rows.column("turn").to_numpy(), rows.column("block").to_numpy()
+            ends = np.flatnonzero((np.diff(turn) != 0) | (np.diff(block) != 0))
+            if not len(ends):
+                continue
+            to = int(ends[-1]) + 1
+            out = links(rows.slice(0, to))
+            rest = rows.slice(to)
+            held, size = rest.to_batches(), rest.nbytes
+            if out is not None:
+                yield out
+        if held:
+            out = links(pa.Table.from_batches(held))
+            if out is not None:
+                yield out
+
+    return run
+
 
-    rows: distinct (fp, keys). For budgets that leave no block of useful width:
-    the trees are dealt by (class, key) in place of a block, each a trie of
-    whole fingerprints.
+def similar_links(rows: DataFrame, texts: DataFrame, width: int, budget: int, similarity: float) -> DataFrame:
+    """Links (u, v) that connect nodes within budget bits that share a sample key and are similar enough.
+
+    rows: (fp, node, keys). texts: (text) of the same rows. For budgets that
+    leave no block of useful width: the trees are dealt by (class, key) in place
+    of a block, each a trie of whole fingerprints. What it finds are candidates;
+    the similarity of their shingles decides. The shingles are only held for
+    nodes that share a key with another.
     """
-    each = rows.select("fp", F.posexplode("keys").alias("turn", "block")).select("turn", "block", "fp").distinct()
+    each = rows.select("fp", "node", F.posexplode("keys").alias("turn", "block")).select("turn", "block", "fp", "node").distinct()
     crowded = each.groupBy("turn", "block").agg(F.count("*").alias("size")).filter("size > 1")
-    zero = F.lit(0).cast("long")
-    dealt = each.join(crowded, ["turn", "block"], "left_semi").select("turn", "block", zero.alias("a"), zero.alias("b"), F.lit(0).alias("side"), F.col("fp").alias("key"))
-    ordered = dealt.repartition("turn", "block").sortWithinPartitions("turn", "block", F.col("key").bitwiseXOR(F.lit(-(1 << 63))))
-    return ordered.mapInArrow(_traverse(budget, [(0, 0)] * classes), "u long, v long")
+    dealt = materialise(each.join(crowded, ["turn", "block"], "left_semi").select("turn", "block", "node", F.col("fp").alias("key")), "simhash-candidates")
+    sets = texts.mapInArrow(_sets(width), "node long, shingles binary").join(dealt.select("node").distinct(), "node", "left_semi")
+    sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    ordered = dealt.join(sets, "node").repartition("turn", "block").sortWithinPartitions("turn", "block", F.col("key").bitwiseXOR(F.lit(-(1 << 63)))).select("turn", "block", "key", "node", "shingles")
+    return ordered.mapInArrow(_verified(budget, similarity), "u long, v long")
 
 
 def components(fps: DataFrame, budget: int = BUDGET, subtrie: int = SUBTRIE) -> DataFrame:
@@ -335,21 +444,21 @@ def deduplicate(docs: DataFrame, width: int = 5, budget: int = BUDGET, subtrie:
     return rows.join(found, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def deduplicate_similar(docs: DataFrame, width: int = 5, budget: int = SIMILAR, classes: int = CLASSES, least: int = LEAST) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs: groups of a similarity of about 0.8 or more.
+def deduplicate_similar(docs: DataFrame, width: int = 5, budget: int = SIMILAR, classes: int = CLASSES, least: int = LEAST, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of docs: groups that hang together by links of at least similarity.
 
-    Fingerprints of such texts differ in up to budget bits, more than blocks can
-    divide by. So that only likely pairs are traversed, a link also needs a
-    common sample of shingles: at a similarity of 0.8 one of the classes agrees
-    in 99 cases of 100. Both are estimates: of 713 documents of 10,000 that have
-    an earlier one at 0.8 or more, 5 were not found, and texts from 0.6 on may
-    be linked; none below 0.5 was. Null and empty texts as for deduplicate.
+    fp is of the distinct shingles. Every link is decided by the Jaccard similarity of the two sets of
+    shingles (32 bits of each one's hash). Fingerprints of similar texts differ
+    in up to budget bits, more than blocks can divide by. So that only likely
+    pairs are looked at, a link also needs a common sample of shingles: at a
+    similarity of 0.8 one of the classes agrees in 99 cases of 100. Null and
+    empty texts are one set.
     """
     rows = renamed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = materialise(rows.mapInArrow(_sampled(width, classes, least), "doc_id long, fp long, keys array<long>"), "simhash-samples")
-    each = rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    found = _components(each, sampled_links(rows.select("fp", "keys").distinct(), classes, budget)).withColumnRenamed("component", "component_id")
-    return rows.select("doc_id", "fp").join(found, "fp", "left").select("doc_id", "fp", "component_id")
+    sampled = materialise(rows.mapInArrow(_sampled(width, classes, least), "doc_id long, fp long, node long, keys array<long>"), "simhash-samples")
+    each = sampled.groupBy("node").agg(F.min("doc_id").alias("doc_id")).select(F.col("node").alias("fp"), "doc_id")
+    found = _components(each, similar_links(sampled, rows.select("text"), width, budget, similarity)).select(F.col("fp").alias("node"), F.col("component").alias("component_id"))
+    return sampled.select("doc_id", "fp", "node").join(found, "node", "left").select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:
