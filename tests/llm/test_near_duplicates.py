@@ -234,3 +234,15 @@ def test_similar_links_are_verified(spark):
     got = {x.doc_id: x.component_id for x in found}
     assert all(got[d] == d for d, _ in rows if d < 5000)
     assert {got[5000 + k] for k in range(5)} == {5000}
+
+
+def test_pairs_near_the_least_similarity_are_found(spark):
+    """Near copies with one partner only, at 0.80 to 0.85."""
+    r = random.Random(22)
+    rows = []
+    for g in range(300):
+        words = [f"w{r.randrange(50_000)}" for _ in range(400)]
+        rows += [(10 * g, " ".join(words)), (10 * g + 1, " ".join(altered(words, r, 0.8, 0.85)))]
+    got = {x.doc_id: x.component_id for x in simhash.deduplicate_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[10 * g + 1] != 10 * g for g in range(300)) <= 6
+    assert all(got[10 * g] == 10 * g for g in range(300))

@@ -64,6 +64,27 @@ def test_one_of_each_group_stays(stages):
     assert len({r.text for r in after}) == len(after)
 
 
+def test_groups_hang_together_by_exact_similarity(stages):
+    """Against the Jaccard similarity of all pairs of texts."""
+    before, after, _ = stages["simhash_near_dedup"]
+    sets = [frozenset(simhash.shingle_hashes((r.text or "").encode(), 5).tolist()) for r in before]
+    root = list(range(len(before)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                root[find(i)] = find(j)
+    groups = {}
+    for k, r in enumerate(before):
+        groups.setdefault(find(k), []).append(r.doc_id)
+    assert sorted(r.doc_id for r in after) == sorted(min(g) for g in groups.values())
+
+
 def test_secrets_are_gone(stages):
     before, after, _ = stages["secret_scan"]
     assert sorted(r.doc_id for r in before) == sorted(r.doc_id for r in after)

@@ -27,9 +27,9 @@ from threadloom.llm.components import local_roots, roots
 from threadloom.llm.shared import by_bytes, materialise, renamed
 
 BITS, BUDGET, SEED = 64, 2, 42
-#: Bits that texts of a similarity of 0.8 differ in at most, mostly, and the shingle samples that find them:
+#: Bits that texts of a similarity of 0.8 differ in at most, but for one pair in thousands, and the shingle samples that find them:
 #: classes of hashes, and the least hashes of each that must agree.
-SIMILAR, CLASSES, LEAST = 12, 10, 4
+SIMILAR, CLASSES, LEAST = 20, 10, 4
 #: Least Jaccard similarity of the shingles of two linked texts.
 SIMILARITY = 0.8
 #: Fingerprints of a subtrie beyond which its node pairs become tasks of their own.
@@ -37,10 +37,10 @@ SUBTRIE = 50_000
 #: Fingerprints of whole subtries that a task traverses at once.
 FOREST = 200_000
 #: Bytes of shingles that a task holds at once, beside those of its largest tree.
-FOREST_BYTES = 32 << 20
+FOREST_BYTES = 8 << 20
 #: Node pairs of at most so many fingerprint pairs are compared at once.
 LEAF_PAIRS = 32
-#: Candidate pairs after which those that hang together by now are left out.
+#: Candidate pairs after which those that hang together by now are left out, and node pairs of theirs that go down together.
 VERIFIED = 2048
 #: Node pairs that go down together.
 CHUNK = 1 << 15
@@ -143,13 +143,13 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int64)
 
 
-def trie_walk(keys: np.ndarray, pairs: np.ndarray, depth: int, budget: int, done: Callable | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_walk(keys: np.ndarray, pairs: np.ndarray, depth: int, budget: int, done: Callable | None = None, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of keys within budget differing bits, by a paired trie traversal.
 
     keys: unsigned 64-bit, ascending in each node. pairs: rows (alo, ahi, blo,
     bhi) of node pairs as ranges of keys, a node with itself having equal
     ranges. depth: the top bits that all keys of a node share. Many node pairs
-    go down one bit at once, at most CHUNK of them, the deepest first; so what is
+    go down one bit at once, at most chunk of them, the deepest first; so what is
     held follows the depth and not the pairs. Those of few keys are compared.
     done(alo, ahi, blo, bhi) tells which node pairs can bring nothing new.
     """
@@ -158,8 +158,8 @@ def trie_walk(keys: np.ndarray, pairs: np.ndarray, depth: int, budget: int, done
     work = [(depth, *(np.ascontiguousarray(pairs[:, k]) for k in range(4)), np.zeros(len(pairs), np.int64), same)]
     while work:
         depth, *columns = work.pop()
-        if len(columns[0]) > CHUNK:
-            work += [(depth, *(x[at : at + CHUNK] for x in columns)) for at in range(0, len(columns[0]), CHUNK)]
+        if len(columns[0]) > chunk:
+            work += [(depth, *(x[at : at + chunk] for x in columns)) for at in range(0, len(columns[0]), chunk)]
             continue
         if done is not None:
             new = ~done(*columns[:4])
@@ -361,13 +361,14 @@ def _verified(budget: int, similarity: float) -> Callable[[Iterator[pa.RecordBat
         change = np.flatnonzero((np.diff(turn) != 0) | (np.diff(block) != 0)) + 1
         lo, hi = np.concatenate([[0], change]), np.concatenate([change, [len(key)]])
         forest = Forest(node)
-        verifier = Verifier(forest, [np.frombuffer(x, np.uint32) for x in rows.column("shingles").to_pylist()], similarity)
+        # views into the batches
+        verifier = Verifier(forest, [np.frombuffer(x.as_buffer(), np.uint32) for x in rows.column("shingles")], similarity)
         # neighbours first: of a group of near copies most node pairs are done with that
         inside = np.ones(max(0, len(key) - 1), bool)
         inside[change - 1] = False
         near = np.flatnonzero(inside & (_popcount(key[1:] ^ key[:-1]) <= budget))
         verifier.link(near, near + 1)
-        for u, v in trie_walk(key, np.stack([lo, hi, lo, hi], 1)[hi - lo > 1], 0, budget, forest.done):
+        for u, v in trie_walk(key, np.stack([lo, hi, lo, hi], 1)[hi - lo > 1], 0, budget, forest.done, VERIFIED):
             verifier.link(u, v)
         u, v = forest.moved()
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"]) if len(u) else None
