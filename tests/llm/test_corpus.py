@@ -187,6 +187,38 @@ def test_page(page):
     assert html_text.render(page) == PAGES[page]
 
 
+SHOWN = {
+    "<style>@media print{.x{display:none}} @media screen and (max-width:600px){.x{display:none}}</style><p class=x>yes": "yes",
+    "<style>@media screen{.x{display:none}} .y{display:none}</style><p class=x>no<p class=y>no<p>yes": "yes",
+    "<style media=print>p{display:none}</style><!-- <style>p{display:none}</style> --><p>yes": "yes",
+    "<style>.tab.active{display:block} .tab{display:none}</style><div class=tab>no</div><div class='tab active'>yes</div>": "yes",
+    "<style>.tabs > .tab{display:none} .tabs .active{display:block !important}</style><div class=tabs><div class=tab>no</div><div class='tab active'>yes</div></div>": "yes",
+    "<style>.x{display:none} .x{display:block}</style><p class=x>yes": "yes",
+    "<style>.x{display:none}</style><p class=x style='display:block'>yes": "yes",
+    "<style>.x{display:none !important}</style><p class=x style='display:block'>no": "",
+    "<div style='visibility:hidden'>no<ul><li>no<li style='visibility:visible'>yes</ul></div>": "- yes",
+    "<div style='display:none'>no<p style='display:block;visibility:visible'>no</div>yes": "yes",
+    "<style>[hidden]{display:none} [data-a='x']{display:none}</style><p hidden>no<p data-a=x>no<p data-a=y>yes": "yes",
+    "<svg><title/><defs><text>no</text></defs><desc>no</desc>no<text>one <tspan>two</tspan></text><path/><text>three</text></svg>after": "one two\nthree\nafter",
+    "<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>": "x=1",
+    "<textarea>a\n b &amp; c</textarea>": "a\n b & c",
+    "<select><option>no<option selected>yes<option>no</select>": "yes",
+    "<select><option disabled>no<option>yes<option>no</select><select multiple><option>a<option>b</select>": "yes\na\nb",
+}
+
+
+@pytest.mark.parametrize("page", SHOWN)
+def test_what_style_sheets_and_forms_show(page):
+    assert html_text.render(page) == SHOWN[page]
+
+
+def test_many_rules_and_deep_pages():
+    sheet = "".join(f".a{k} .b{k}{{display:none}}" for k in range(3000))
+    assert html_text.render(f"<style>{sheet}</style>" + "<div class='a1 a2'>" * 5000 + "<p class=b2>no</p><p class=b3>x") == "x"
+    assert html_text.render("<select>" * 20_000 + "x") == "x"
+    assert html_text.render("<select><option>a<textarea>b</textarea>c") == "a\nbc"
+
+
 def test_deep_and_long_pages():
     assert html_text.render("<div>" * 20_000 + "x") == "x"
     assert html_text.render("<table><tr><td>" * 300 + "x") == "x"

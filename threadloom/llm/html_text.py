@@ -3,8 +3,9 @@
 A tokenizer cuts the page into tags and text. A tree builder keeps the stack of
 open elements and supplies the tags that authors leave out: it closes what a new
 tag can't stand in, and closes what a closing tag leaves open. Visibility is an
-element's own (kind, attributes, inline style, and plain rules of the page's
-style sheets) or its parent's. A renderer follows the elements as they open and
+element's own (kind, attributes, inline style, and the rules of the page's style
+sheets that apply to a screen, the last of the most specific first) or its
+parent's. A renderer follows the elements as they open and
 close, so the tree itself is never held: inline text is joined and its white
 space collapsed, blocks stand on lines of their own, with an empty line where
 they have a margin, list items get their marks and indents, preformatted text
@@ -28,7 +29,9 @@ from threadloom.llm.shared import by_bytes, renamed, whole_texts
 # Names of HTML elements by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes plaintext".split())
-HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas svg math datalist select textarea area base link meta param source track col colgroup".split())
+HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas datalist annotation annotation-xml mphantom area base link meta param source track col colgroup".split())
+#: Hidden inside svg, where only the text of these is drawn.
+UNDRAWN, DRAWN = frozenset("defs symbol clippath mask pattern marker metadata desc".split()), frozenset(["text", "foreignobject"])
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary ul xmp listing plaintext option optgroup".split())
 MARGIN = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr ol p pre ul dir menu xmp listing plaintext".split())
 TABLE = frozenset("table caption thead tbody tfoot tr td th".split())
@@ -61,8 +64,17 @@ IN_HEAD = frozenset("base link meta title style script noscript template".split(
 TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?+|["'])*+)(>|\Z)""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPACE = re.compile(r"[ \t\n\r\f]+")
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
-SIMPLE = re.compile(r"([a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)\Z")
+#: What the parser takes whole where a style sheet can't start, and style sheets.
+SHEET = re.compile(r"<!--.*?(?:-->|\Z)|<(script|noscript|template|textarea|title|xmp|iframe)(?=[\s/>]).*?(?:</\1|\Z)|<style(?=[\s/>])([^>]*+)>(.*?)(?:</style|\Z)", re.DOTALL | re.IGNORECASE)
+CSS_TOKEN = re.compile(r""""(?:[^"\\\n]|\\.)*+"?|'(?:[^'\\\n]|\\.)*+'?|[{};]""", re.DOTALL)
+DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)[^;!]*(!\s*important)?\s*(?=;|\Z)", re.IGNORECASE)
+DISPLAYS = frozenset("none block inline inline-block flex inline-flex grid inline-grid table inline-table list-item contents flow-root flow run-in ruby initial unset revert revert-layer table-row table-cell table-caption table-row-group table-header-group table-footer-group table-column table-column-group -webkit-box -webkit-flex -ms-flexbox".split())
+VISIBLE = {"visible": True, "initial": True, "hidden": False, "collapse": False, "inherit": None, "unset": None, "revert": None}
+COMPOUND = re.compile(r"""(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+|\[\s*[\w-]+\s*(?:=\s*(?:"[^"]*"|'[^']*'|[\w-]+)\s*)?\])*)\Z""")
+MARK = re.compile(r"""([.#])([\w-]+)|\[\s*([\w-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([\w-]+))\s*)?\]""")
+STEP = re.compile(r"""(?:\[[^\]]*\]|[^\s>\[])+|>""")
+#: The screen that conditions of style sheets are asked for, in pixels.
+SCREEN = 1280
 #: Columns are padded to at most so many characters, so that one long cell doesn't widen every row.
 WIDEST = 48
 
@@ -157,29 +169,141 @@ class Grid:
         return out
 
 
-def unseen_rules(page: str) -> list[tuple[str, frozenset, frozenset]]:
-    """(element or "", classes, ids) of the plain selectors that the page's style sheets hide."""
-    found = []
-    for sheet in re.findall(r"<style[^>]*+>(.*?)(?:</style|\Z)", page, re.DOTALL | re.IGNORECASE):
-        if not UNSEEN.search(sheet):
+def on_screen(query: str) -> bool:
+    """Whether a list of media queries holds for a wide screen; what isn't known doesn't hold."""
+
+    def feature(f: str) -> bool | None:
+        name, _, value = (x.strip() for x in f.partition(":"))
+        if name in ("min-width", "max-width") and (m := re.fullmatch(r"(\d*\.?\d+)(px|em|rem)", value)):
+            width = float(m[1]) * (1 if m[2] == "px" else 16)
+            return width <= SCREEN if name == "min-width" else width >= SCREEN
+        if name in ("orientation", "hover", "any-hover", "pointer", "any-pointer", "prefers-color-scheme", "prefers-reduced-motion"):
+            return value in ("", "landscape", "hover", "fine", "light", "no-preference")
+        return None
+
+    for q in re.sub(r"/\*.*?\*/", " ", query.lower(), flags=re.DOTALL).split(","):
+        m = re.fullmatch(r"\s*(?:(not|only)\s+)?([a-z-]+)?((?:\s*(?:and\s*)?\([^()]*\))*)\s*", q)
+        if m is None:
+            continue
+        asked = [feature(f) for f in re.findall(r"\(([^()]*)\)", m[3])]
+        if None not in asked and (m[2] in (None, "all", "screen") and all(asked)) != (m[1] == "not"):
+            return True
+    return False
+
+
+def declared(body: str) -> dict[str, tuple[bool, bool | None]]:
+    """(important, shown) of display and visibility; shown is None where the parent's holds."""
+    out: dict[str, tuple[bool, bool | None]] = {}
+    for name, value, important in DECLARED.findall(body):
+        name, value, important = name.lower(), value.lower(), bool(important)
+        if name == "display":
+            if value not in DISPLAYS and value != "inherit":
+                continue
+            shown = value != "none"
+        elif value in VISIBLE:
+            shown = VISIBLE[value]
+        else:
+            continue
+        if important or not out.get(name, (False,))[0]:
+            out[name] = (important, shown)
+    return out
+
+
+def rules_of(sheet: str) -> Iterator[tuple[str, dict]]:
+    """(selectors, declared) of a style sheet's rules that apply to a screen, in their order."""
+    sheet = re.sub(r"/\*.*?(?:\*/|\Z)|<!--|-->", " ", sheet, flags=re.DOTALL)
+    held: list[tuple[bool, str | None, list[str]]] = [(True, None, [])]  # applies, selectors, declarations
+    at = 0
+    for m in [*CSS_TOKEN.finditer(sheet), None]:
+        token = m[0] if m else "}"
+        if token not in "{};":
             continue
-        for rule in re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet, flags=re.DOTALL).split("}"):
-            selectors, _, body = rule.rpartition("{")
-            if not UNSEEN.search(body):
+        before, at = sheet[at : m.start() if m else len(sheet)], m.end() if m else len(sheet)
+        applies, selectors, body = held[-1]
+        if token == "{":
+            head = before.strip()
+            if head.startswith("@"):
+                kind, _, condition = head[1:].partition(" ")
+                if "(" in kind:
+                    kind, _, condition = head[1:].partition("(")
+                    condition = "(" + condition
+                kind = kind.lower()
+                applies = applies and selectors is None and (kind == "layer" or kind == "media" and on_screen(condition) or kind == "supports" and not condition.strip().lower().startswith("not"))
+                held.append((applies, None, []))
+            else:
+                held.append((applies and selectors is None, head, []))
+        elif token == ";":
+            body.append(before)
+        else:
+            if selectors is not None and applies and (found := declared(";".join([*body, before]))):
+                yield selectors, found
+            if len(held) > 1:
+                held.pop()
+
+
+class Rules:
+    """The rules for display and visibility of a page's style sheets, by what their compounds ask for."""
+
+    def __init__(self, page: str):
+        self.declared: list[tuple[tuple, dict]] = []  # specificity and order, what is declared
+        self.last: list[int] = []
+        self.by: dict[tuple[str, str], list[tuple]] = {}
+        for m in SHEET.finditer(page):
+            if m[3] is None or not re.search("display|visibility", m[3], re.IGNORECASE):
+                continue
+            media = {a.lower(): b or c or d for a, b, c, d in ATTRIBUTE.findall(m[2])}.get("media", "")
+            if media and not on_screen(unescape(media)):
                 continue
-            for s in map(str.strip, selectors.rpartition("{")[2].split(",")):
-                if s and (m := SIMPLE.match(s)):
-                    marks = re.findall(r"([.#])([\w-]+)", m[2])
-                    found.append(((m[1] or "").lower(), frozenset(x for c, x in marks if c == "."), frozenset(x for c, x in marks if c == "#")))
-    return found
+            for selectors, found in rules_of(m[3]):
+                for selector in selectors.split(","):
+                    self.add(selector, found)
+
+    def add(self, selector: str, found: dict) -> None:
+        steps, child, compounds = STEP.findall(selector), False, []
+        for step in steps:
+            if step == ">":
+                child = True
+                continue
+            m = COMPOUND.match(step)
+            if m is None:
+                return  # siblings and pseudo classes
+            marks = MARK.findall(m[2])
+            element = "" if m[1] in (None, "*") else m[1].lower()
+            compounds.append((child, element, frozenset(n for c, n, *_ in marks if c == "."), frozenset(n for c, n, *_ in marks if c == "#"), tuple((a.lower(), (x or y or z) if "=" in m[2] and (x or y or z) else None) for _, _, a, x, y, z in marks if a)))
+            child = False
+        if compounds and len(compounds) > 1 and not compounds[1][0] and compounds[0][1] in ("html", "body") and not any(compounds[0][2:]):
+            compounds = compounds[1:]  # the page may leave them out
+        if not compounds or child:
+            return
+        r = len(self.declared)
+        weight = (sum(len(c[3]) for c in compounds), sum(len(c[2]) + len(c[4]) for c in compounds), sum(bool(c[1]) for c in compounds))
+        self.declared.append(((weight, r), found))
+        self.last.append(len(compounds) - 1)
+        for k, (direct, element, classes, ids, attributes) in enumerate(compounds):
+            key = ("#", min(ids)) if ids else (".", min(classes)) if classes else ("", element)
+            self.by.setdefault(key, []).append((r, k, direct, element, classes, ids, attributes))
+
+    def match(self, name: str, attributes: dict[str, str], above: tuple[frozenset, frozenset]) -> frozenset:
+        """(rule, compound) that end at an element; above: those of its parent, and of it and all its ancestors."""
+        classes, own = frozenset(attributes.get("class", "").split()), attributes.get("id", "")
+        found = []
+        for key in (("", ""), ("", name), ("#", own), *((".", c) for c in classes)):
+            for r, k, direct, element, needs, ids, asked in self.by.get(key, ()):
+                if (not element or element == name) and needs <= classes and (not ids or ids == {own}) and (not k or (r, k - 1) in above[0 if direct else 1]) and all(a in attributes and (v is None or attributes[a] == v) for a, v in asked):
+                    found.append((r, k))
+        return frozenset(found)
 
 
 class Page:
     """Builds the elements of one page and renders them."""
 
     def __init__(self, page: str) -> None:
-        self.rules = unseen_rules(page) if "<style" in page or "<STYLE" in page else []
-        self.open: list[tuple[str, bool]] = []  # name, visible
+        self.rules = Rules(page) if re.search("<style", page, re.IGNORECASE) else None
+        if self.rules and not self.rules.declared:
+            self.rules = None
+        self.open: list[tuple[str, bool, bool, bool, tuple]] = []  # name, displayed, visible, text is drawn, rules matched
+        self.at = 0  # behind the tag
+        self.options: list[int] = []  # of the open selects: options until the one shown, or -1 for all
         self.flows = [Flow()]
         self.grids: list[Grid] = []
         self.lists: list[list] = []  # [next number or None]
@@ -189,18 +313,57 @@ class Page:
         self.page = page
 
     def visible(self) -> bool:
-        return not self.open or self.open[-1][1]
+        return not self.open or all(self.open[-1][1:4])
 
-    def hides(self, name: str, attributes: dict[str, str]) -> bool:
-        if name in HIDDEN or "hidden" in attributes or UNSEEN.search(attributes.get("style", "")):
-            return True
-        if name == "dialog" and "open" not in attributes or name == "input" and attributes.get("type", "").lower() == "hidden":
-            return True
+    def state(self, name: str, attributes: dict[str, str]) -> tuple[bool, bool, bool, tuple]:
+        """(displayed, visible, text is drawn, rules matched) of a new element."""
+        _, displayed, visible, drawn, above = self.open[-1] if self.open else ("", True, True, True, (frozenset(), frozenset()))
+        best: dict[str, tuple] = {}
         if self.rules:
-            classes, own = set(attributes.get("class", "").split()), attributes.get("id", "")
-            if any((not e or e == name) and c <= classes and (not i or i == {own}) for e, c, i in self.rules):
-                return True
-        return self.in_closed() and name != "summary"
+            own = self.rules.match(name, attributes, above)
+            above = (own, above[1] if own <= above[1] else above[1] | own)
+            for r, k in own:
+                if k == self.rules.last[r]:
+                    order, found = self.rules.declared[r]
+                    for what, (important, shown) in found.items():
+                        best[what] = max(best.get(what, ()), (important, False, order, shown))
+        if "style" in attributes:
+            for what, (important, shown) in declared(re.sub(r"/\*.*?\*/", " ", attributes["style"])).items():
+                best[what] = max(best.get(what, ()), (important, True, (), shown))
+        if "visibility" in best and best["visibility"][3] is not None:
+            visible = best["visibility"][3]
+        if "display" in best:
+            displayed = displayed and best["display"][3]
+        elif "hidden" in attributes or name == "dialog" and "open" not in attributes:
+            displayed = False
+        if name in HIDDEN or self.in_closed() and name != "summary" or self.count.get("svg", 0) and name in UNDRAWN:
+            displayed = False
+        if name in ("svg", "select"):
+            drawn = False
+        elif name in DRAWN and self.count.get("svg", 0):
+            drawn = True
+        elif name == "option" and self.count.get("select", 0) and self.options:
+            drawn = self.options[-1] <= 0
+            if self.options[-1] >= 0:
+                self.options[-1] = self.options[-1] - 1 if self.options[-1] else 1 << 60
+        return displayed, visible, drawn, above
+
+    def chosen(self, attributes: dict[str, str]) -> int:
+        """How many options of the select that starts here stand before the one it shows; -1 if it shows all."""
+        size = attributes.get("size", "")
+        if "multiple" in attributes or size.isdecimal() and int(size) > 1:
+            return -1
+        stop = re.compile(r"</?select(?=[\s/>])", re.IGNORECASE).search(self.page, self.at)
+        first, last, n = None, None, 0
+        for m in TOKEN.finditer(self.page, self.at, stop.start() if stop else len(self.page)):
+            if m[2] and not m[1] and m[2].lower() == "option":
+                asked = {a.lower() for a, *_ in ATTRIBUTE.findall(m[3])}
+                if "selected" in asked:
+                    last = n
+                if first is None and "disabled" not in asked:
+                    first = n
+                n += 1
+        return last if last is not None else first or 0
 
     def in_closed(self) -> bool:
         return bool(self.closed) and self.closed[-1] == len(self.open)
@@ -208,14 +371,20 @@ class Page:
     def pop(self) -> None:
         if self.in_closed():
             self.closed.pop()
-        name, seen = self.open.pop()
+        name, displayed, visible, drawn, _ = self.open.pop()
         self.count[name] -= 1
+        if name == "select" and self.options:
+            self.options.pop()
         if name in KEPT_SPACE:
             self.kept -= 1
-        if not seen:
+        if not displayed:
             return
         flow = self.flows[-1]
-        if name in TABLE:
+        if name == "text" and self.count.get("svg", 0):
+            flow.block(False)
+        elif name == "option" and not drawn:
+            return
+        elif name in TABLE:
             if name in ("td", "th", "caption") and len(self.flows) > 1:
                 lines = self.flows.pop().whole()
                 if name == "caption":
@@ -231,7 +400,7 @@ class Page:
                 flow.block(True)
         elif name in BLOCK:
             if name == "li":
-                flow.end(None)
+                flow.end(None if visible else False)
                 flow.mark = ""
                 flow.indents and flow.indents.pop()
             elif name in ("blockquote", "dd"):
@@ -268,6 +437,10 @@ class Page:
             names, wall = CLOSES[name]
             if self.some_open(names):
                 self.close_down_to(names, wall)
+        if name in ("select", "input", "textarea") and self.count.get("select", 0):
+            self.close_down_to(frozenset(["select"]), WALLS)
+            if name == "select":
+                return
         # a cell needs a row, a row needs a table
         if name in ("td", "th") and not (self.open and self.open[-1][0] == "tr"):
             if not self.count.get("table", 0):
@@ -277,27 +450,33 @@ class Page:
         if name in ("tr", "thead", "tbody", "tfoot", "caption") and not self.count.get("table", 0):
             name = "div"
         attributes = {a.lower(): unescape(b or c or d) for a, b, c, d in ATTRIBUTE.findall(raw)} if raw else {}
-        seen = self.visible() and not self.hides(name, attributes)
+        displayed, visible, drawn, above = self.state(name, attributes)
         if name in VOID:
-            if seen:
+            if displayed and visible and drawn:
                 flow = self.flows[-1]
                 if name == "br":
                     flow.end(True)
                 elif name == "hr":
                     flow.block(True)
             return
-        self.open.append((name, seen))
+        self.open.append((name, displayed, visible, drawn, above))
+        if name == "select":
+            self.options.append(self.chosen(attributes))
         self.count[name] = self.count.get(name, 0) + 1
         if name in KEPT_SPACE:
             self.kept += 1
         if name == "details" and "open" not in attributes:
             self.closed.append(len(self.open))
-        if seen:
+        if displayed:
             self.opened(name, attributes)
 
     def opened(self, name: str, attributes: dict[str, str]) -> None:
         flow = self.flows[-1]
-        if name in TABLE:
+        if name == "text" and self.count.get("svg", 0):
+            flow.block(False)
+        elif name == "option" and not self.open[-1][3]:
+            return
+        elif name in TABLE:
             if name == "table":
                 flow.block(True)
                 self.grids.append(Grid())
@@ -318,7 +497,7 @@ class Page:
                 self.lists.append([(int(first) if re.fullmatch(r"-?\d{1,9}", first) else 1) if name == "ol" else None])
             elif name == "li":
                 own = self.lists[-1] if self.lists else [None]
-                flow.mark = "- " if own[0] is None else f"{own[0]}. "
+                flow.mark = "" if not self.visible() else "- " if own[0] is None else f"{own[0]}. "
                 if own[0] is not None:
                     own[0] += 1
                 flow.indents.append("")
@@ -377,7 +556,11 @@ class Page:
             if m[1]:
                 self.end(name)
                 continue
+            self.at = at
             self.start(name, m[3].rstrip("/").strip())
+            if m[3].endswith("/") and (name in ("svg", "math") or self.count.get("svg", 0) or self.count.get("math", 0)) and self.open and self.open[-1][0] == name:
+                self.end(name)  # such elements may be empty by their own tag
+                continue
             if name in RAW and self.open and self.open[-1][0] == name:
                 stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
                 self.words(page[at : stop.start() if stop else n])
