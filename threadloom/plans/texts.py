@@ -48,6 +48,13 @@ def sentence_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(text.with_features(rows).select("doc_id", "char_to_sent", "word_to_sent"))
 
 
+@query(f"""SELECT doc_id, round(length(text) / nullif({SENTENCES_SQL}, 0), 6) + 0.0 AS char_to_sent,
+round(CASE WHEN text = '' THEN 0 ELSE len(string_split(text, ' ')) - CASE WHEN ends_with(text, ' ') THEN 1 ELSE 0 END END / nullif({SENTENCES_SQL}, 0), 6) + 0.0 AS word_to_sent FROM documents""")
+def sentence_ratios_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also of documents that are empty or end with a space."""
+    return rounded(text.with_features(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "char_to_sent", "word_to_sent"))
+
+
 @query("SELECT doc_id, regexp_matches(text, '(^|[^\\p{L}\\p{N}_])(Du|Sie|du)([^\\p{L}\\p{N}_]|$)') AS second_person FROM documents")
 def second_person(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.second_person("text").alias("second_person"))
