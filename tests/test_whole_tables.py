@@ -16,3 +16,8 @@ def test_sentence_ratios_of_empty_and_open_ended_texts(spark, tmp_path):
     got = sorted(tuple(r) for r in catalog.QUERIES["sentence_ratios_of_all"](spark, str(tmp_path)).collect())
     assert got == want and len(got) == len(texts)
     assert dict((d, w) for d, _, w in got)[2] == 1.5
+
+
+def test_all_orders_have_a_number(spark, sf):
+    rows = catalog.QUERIES["global_row_number_of_all"](spark, sf).collect()
+    assert sorted(r.order_all for r in rows) == list(range(1, pq.read_table(f"{sf}/orders.parquet").num_rows + 1))

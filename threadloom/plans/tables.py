@@ -155,6 +155,12 @@ def global_row_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.rounded(rows.select("o_orderkey", F.row_number().over(Window.orderBy("o_orderdate", "o_orderkey")).alias("order_all"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), maths.positive_log("o_totalprice").alias("log_price")))
 
 
+@query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS INT) AS order_all FROM orders")
+def global_row_number_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all orders, without a date at which they end."""
+    return table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate").select("o_orderkey", F.row_number().over(Window.orderBy("o_orderdate", "o_orderkey")).alias("order_all"))
+
+
 @query("""WITH m AS (SELECT l_suppkey AS k, avg(l_quantity) AS e, stddev_samp(l_quantity) / sqrt(count(*)) AS s FROM lineitem GROUP BY 1)
 SELECT k, round(e - 1.96 * s, 5) + 0.0 AS ci_lower_95, round(e + 1.96 * s, 5) + 0.0 AS ci_upper_95, round(e - 2.576 * s, 5) + 0.0 AS ci_lower_99, round(e + 2.576 * s, 5) + 0.0 AS ci_upper_99, round((exp(s) - 1) / (exp(s) + 1), 5) + 0.0 AS change, round(least(greatest((s + 1) / 2, 0.01), 0.99), 5) + 0.0 AS squeezed,
 CASE WHEN s < 0.6 THEN '**' WHEN s < 0.62 THEN '*' ELSE '' END AS mark, printf('%.3f', e) AS shown FROM m""")
