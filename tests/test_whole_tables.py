@@ -1,10 +1,14 @@
-"""Queries over whole tables, against their SQL or a plain version."""
+"""Queries over whole tables and the whole grid, against their SQL or a plain version."""
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
-from threadloom.plans import catalog
+from threadloom.operators import policies as P
+from threadloom.operators import utility as U
+from threadloom.plans import catalog, ranking
 
 
 def test_sentence_ratios_of_empty_and_open_ended_texts(spark, tmp_path):
@@ -21,3 +25,32 @@ def test_sentence_ratios_of_empty_and_open_ended_texts(spark, tmp_path):
 def test_all_orders_have_a_number(spark, sf):
     rows = catalog.QUERIES["global_row_number_of_all"](spark, sf).collect()
     assert sorted(r.order_all for r in rows) == list(range(1, pq.read_table(f"{sf}/orders.parquet").num_rows + 1))
+
+
+@pytest.fixture(scope="module")
+def grid(spark, sf):
+    """Scores of all policies by (cut-off, policy)."""
+    by = {}
+    for r in U.utility(ranking._forum(spark, sf), ("lexdiv",), P.GRID, (10,)).collect():
+        by.setdefault((r.cutoff, r.policy), []).append(round(r.value, 6))
+    return by
+
+
+def test_places_and_selection_in_the_whole_grid(spark, sf, grid):
+    means = {k: float(np.mean(v)) for k, v in grid.items()}
+    places = catalog.QUERIES["policy_leaderboard_grid"](spark, sf).collect()
+    assert len(places) == 2 * 66
+    for cutoff in ("10", "N"):
+        own = sorted((r.place, r.policy) for r in places if r.cutoff == cutoff)
+        assert [p for p, _ in own] == list(range(1, 67))
+        found = [means[cutoff, p] for _, p in own]
+        assert all(a >= b - 1e-5 for a, b in zip(found, found[1:], strict=False))
+        roles = {r.role: r.policy for r in catalog.QUERIES["policy_selection_grid"](spark, sf).collect() if r.cutoff == cutoff}
+        assert roles["best"] == own[0][1] and roles["worst"] == own[-1][1]
+
+
+def test_quartiles_of_the_whole_grid(spark, sf, grid):
+    rows = catalog.QUERIES["quartiles_by_policy_grid"](spark, sf).collect()
+    assert len(rows) == 66
+    for r in rows:
+        assert [r.q25, r.median, r.q75] == pytest.approx(np.quantile(grid["N", r.policy], [0.25, 0.5, 0.75]), abs=2e-5)

@@ -179,6 +179,29 @@ def shifted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(U.format_scores(rows, ("x",), ("x",)))
 
 
+def _grid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(U.utility(_forum(spark, sf_dir), ("lexdiv",), P.GRID, (10,)))
+
+
+@query()
+def policy_leaderboard_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places among all 66 policies."""
+    return rounded(U.leaderboard(_grid_scores(spark, sf_dir)), 5)
+
+
+@query()
+def policy_selection_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best, worst and default of all 66 policies."""
+    return rounded(U.selected(_grid_scores(spark, sf_dir)), 5)
+
+
+@query()
+def quartiles_by_policy_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartiles of each of the 66 policies."""
+    scores = _grid_scores(spark, sf_dir).filter("cutoff = 'N'")
+    return rounded(quartiles(scores, "value", "policy"), 5)
+
+
 @query()
 def utility_full_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 66 policies, four features, four cut-offs; scores by policy over all discussions."""
