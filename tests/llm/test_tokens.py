@@ -45,7 +45,7 @@ def test_chunk_coder_equals_library(hard):
     texts = hard + noise(3000)
     coder = token_output.LibraryCoder(JSON)()
     for memo in (500_000, 50):  # a full memo changes nothing
-        coder.memo.entries = memo
+        coder.memo.known.most = memo
         ids, counts = coder(pa.array(texts))
         want = library_ids(texts)
         assert counts.tolist() == [len(w) for w in want]

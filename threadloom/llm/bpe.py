@@ -1,7 +1,9 @@
 """Byte-level BPE by backtracking over longest matches.
 
 Bytes are mapped to Latin-1 characters, so that an Aho-Corasick automaton over
-the vocabulary finds all tokens in a piece in one pass. From the left the
+the vocabulary finds all tokens in a piece in one pass; many pieces are passed at
+once, parted by a character outside of Latin-1. What is kept is the longest token
+from each position on. From the left the
 longest token is taken that may stand after the one before it; a position from
 which no token leads on is marked, and the token before it is replaced by the
 next shorter one. Two tokens may be neighbours if merging their joint bytes
@@ -15,7 +17,8 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -24,10 +27,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import Coder, by_bytes, renamed, whole_texts
+from threadloom.llm.shared import Coder, by_bytes, divisible, renamed, spread, whole_texts
 
 #: Neighbour pairs that a worker remembers.
-PAIRS = 1_000_000
+PAIRS = 300_000
+#: Characters of pieces that the automaton passes at once, and what parts them.
+PASS, PART = 1 << 18, "\u0100"
 #: Above all ranks.
 NEVER = 1 << 60
 
@@ -71,7 +76,6 @@ class Vocabulary:
             self.usable[token.decode("latin-1")] = rank
         self.automaton.make_automaton()
         self.size = {i: len(t) for t, i in ranks.items()}
-        self.most = max(map(len, ranks))
 
     #: Whether every merge has a higher rank than the merges of its halves.
     ordered = True
@@ -131,13 +135,12 @@ class Vocabulary:
             else:
                 j += 1
 
-    def longest(self, piece: str, at: int) -> int:
-        """The longest token that the piece, in Latin-1, goes on with at a place."""
-        rest = piece[at : at + self.most]
-        k = self.automaton.longest_prefix(rest)
-        while rest[:k] not in self.usable:
-            k -= 1
-        return self.usable[rest[:k]]
+    def longest(self, text: str) -> list[int]:
+        """The longest token from each place of a Latin-1 text on, by one pass of the automaton; -1: none."""
+        found = [-1] * len(text)
+        for end, (size, rank) in self.automaton.iter(text):  # ends ascend, so a place's last token is its longest
+            found[end + 1 - size] = rank
+        return found
 
     def shorter(self, token: int) -> int:
         """The next shorter token that a token begins with, or -1."""
@@ -147,19 +150,37 @@ class Vocabulary:
             found = self.less[token] = next((self.usable[text[:k]] for k in range(len(text) - 1, 0, -1) if text[:k] in self.usable), -1)
         return found
 
+    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each of some matches of the pattern."""
+        found = [[] if not p else [r] if (r := self.ranks.get(p)) is not None else None for p in pieces]
+        some, size = [], 0
+        for k, ids in enumerate(found):
+            if ids is None:
+                some.append(k)
+                size += len(pieces[k]) + 1
+            if some and (size >= PASS or k == len(found) - 1):
+                starts = self.longest(PART.join(pieces[i].decode("latin-1") for i in some))
+                at = 0
+                for i in some:
+                    found[i] = self._walk(starts, at, len(pieces[i]))
+                    at += len(pieces[i]) + 1
+                some, size = [], 0
+        return found
+
     def encode_piece(self, piece: bytes) -> list[int]:
         """The ids of one match of the pattern."""
-        rank = self.ranks.get(piece)
-        if rank is not None or not piece:
-            return [] if rank is None else [rank]
-        text, size, pairs = piece.decode("latin-1"), self.size, self.pairs
+        return self.encode_pieces([piece])[0]
+
+    def _walk(self, starts: list[int], at: int, length: int) -> list[int]:
+        """The ids of the piece at a place of a passed text; starts: as longest gives."""
+        size, pairs, stop = self.size, self.pairs, at + length
         ids: list[int] = []
-        dead = bytearray(len(piece) + 1)
-        at, last, token = 0, -1, self.longest(text, 0)
+        dead: set[int] = set()
+        last, token = -1, starts[at]
         while True:
             while token >= 0:
                 end = at + size[token]
-                if not dead[end]:
+                if end not in dead:
                     fits = last < 0 or pairs.get(last << 32 | token)
                     if fits is None:
                         fits = self.neighbours(last, token)
@@ -168,67 +189,50 @@ class Vocabulary:
                 token = self.shorter(token)
             if token >= 0:
                 ids.append(token)
-                if end == len(piece):
+                if end == stop:
                     return ids
                 at, last = end, token
-                token = self.longest(text, at)
+                token = starts[at]
             else:  # no token leads on from here after the one before
-                dead[at] = 1
+                dead.add(at)
                 token = ids.pop()
                 at -= size[token]
                 last = ids[-1] if ids else -1
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text, each match of the pattern on its own."""
-        out: list[int] = []
-        for piece in self.pieces.findall(text):
-            out += self.encode_piece(piece.encode())
-        return out
+        return [i for ids in self.encode_pieces([p.encode() for p in self.pieces.findall(text)]) for i in ids]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-class _Pieces(dict):
-    """ids of pieces, remembered up to a number of them."""
-
-    def __init__(self, vocabulary: Vocabulary, most: int = 300_000):
-        super().__init__()
-        self.vocabulary, self.most = vocabulary, most
-
-    def __missing__(self, piece: str) -> list[int]:
-        if len(self) >= self.most:
-            self.clear()
-        ids = self.vocabulary.encode_piece(piece.encode())
-        if len(piece) < 64:
-            self[piece] = ids
-        return ids
-
-
 _KEPT: dict[tuple[str, str], tuple[Vocabulary, Coder]] = {}
 
 
 def coder(path: str, pattern: str) -> tuple[Vocabulary, Coder]:
     """The vocabulary of a rank file and a chunk coder over it, one a worker process.
 
-    The pattern must start a new match at a space between two characters that
-    aren't white space, and depend on no more than the match's own characters
-    and the one after.
+    Whether the pattern starts a new match at a space between two characters
+    that aren't white space is probed; where it doesn't, whole texts are encoded.
     """
     if (path, pattern) not in _KEPT:
         vocabulary = Vocabulary(load_ranks(path), pattern)
-        known = _Pieces(vocabulary)
-
-        def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            ids, counts = array("I"), []
-            for c in chunks:
-                before = len(ids)
-                for piece in vocabulary.pieces.findall(c):
-                    ids.extend(known[piece])
-                counts.append(len(ids) - before)
-            return np.frombuffer(ids, np.uint32) if len(ids) else np.zeros(0, np.uint32), np.array(counts, np.int64)
-
-        _KEPT[path, pattern] = vocabulary, Coder(encode)
+        matches = vocabulary.pieces.findall
+
+        def encode(parts: pa.Array, lead: str) -> tuple[np.ndarray, np.ndarray]:
+            own = [matches(lead + p) for p in parts.to_pylist()]
+            distinct = list(dict.fromkeys(chain.from_iterable(own)))
+            ids = dict(zip(distinct, vocabulary.encode_pieces([p.encode() for p in distinct]), strict=True))
+            flat, counts = array("I"), []
+            for pieces in own:
+                before = len(flat)
+                for p in pieces:
+                    flat.extend(ids[p])
+                counts.append(len(flat) - before)
+            return np.array(flat, np.uint32), np.array(counts, np.int64)
+
+        _KEPT[path, pattern] = vocabulary, Coder(encode, divisible=divisible(lambda texts: [matches(t) for t in texts]))
     return _KEPT[path, pattern]
 
 
@@ -243,8 +247,6 @@ class Decoder:
         self.start = np.cumsum(self.length) - self.length
 
     def __call__(self, ids: np.ndarray) -> bytes:
-        from threadloom.llm.shared import spread
-
         return self.table[spread(self.start[ids], self.length[ids])].tobytes()
 
 

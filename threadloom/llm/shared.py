@@ -4,16 +4,16 @@
 * Arrow batches re-cut by bytes, so that memory follows a byte budget and not
   a row count;
 * a chunk coder: texts are cut at boundaries that no tokenizer merge crosses,
-  equal chunks are found per batch in Arrow, and each distinct chunk is encoded
-  once and kept in a bounded memo.
+  equal parts are found per batch in Arrow, and each distinct part is encoded
+  once and kept in a bounded memo, in Arrow too.
 """
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,8 +22,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Bytes of text handled at once in a Python worker; one longer text goes alone.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def workspace(spark: SparkSession, label: str) -> str:
@@ -56,8 +57,19 @@ def renamed(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def release() -> None:
+    """Gives free memory of Arrow and of the allocator back to the system, where they can."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches re-cut so that each holds about limit bytes of a text column."""
+    """Batches re-cut so that each holds about limit bytes of a text column.
+
+    After each of them, memory that its work has freed goes back to the system:
+    a worker beside others shall not hold the most that it ever needed.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -69,6 +81,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_
             to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+            release()
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -78,50 +91,73 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total, dtype=np.int64)
 
 
+class Known:
+    """Distinct strings by number, held in Arrow and bounded in number and in each one's bytes."""
+
+    def __init__(self, most: int = 500_000, longest: int = 64):
+        self.most, self.longest = most, longest
+        self.keys = pa.array([], pa.string())
+
+    def find(self, strings: pa.Array) -> np.ndarray:
+        """Each string's number, or -1."""
+        if not len(self.keys):
+            return np.full(len(strings), -1, np.int64)
+        return pc.fill_null(pc.index_in(strings, value_set=self.keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def add(self, strings: pa.Array) -> np.ndarray:
+        """Of new strings, the places of those that got the next numbers: the first short ones, as far as there is room."""
+        short = np.flatnonzero(pc.binary_length(strings).to_numpy(zero_copy_only=False) <= self.longest)
+        some = short[: max(0, self.most - len(self.keys))]
+        if len(some):
+            self.keys = pa.concat_arrays([self.keys, strings.take(pa.array(some))])
+        return some
+
+    def stale(self, found: np.ndarray) -> bool:
+        """Whether most strings of a call are new although a good part of the room is taken."""
+        return len(self.keys) >= self.most // 2 and 4 * np.count_nonzero(found < 0) > 3 * len(found)
+
+    def clear(self) -> None:
+        self.keys = self.keys[:0]
+
+
 class Memo:
-    """Encoded chunks by text: ids in one pool, bounded in entries and ids.
+    """Encoded parts by text: ids in one pool, bounded in entries and ids.
 
-    encode gives the ids of many chunks, one after another, and each one's
-    number. Once full, the memo keeps what it has, since common chunks come
-    early, and holds further chunks for one call only; it is emptied when most
-    of a call's chunks are new to it. A chunk encodes alike every time, so
+    encode gives the ids of many parts, one after another, and each one's
+    number. Once full, the memo keeps what it has, since common parts come
+    early, and holds further ones for one call only; it is emptied when most
+    of a call's parts are new to it. A part encodes alike every time, so
     results do not depend on what the memo holds.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], entries: int = 500_000, ids: int = 4 << 20):
-        self.encode, self.entries, self.ids = encode, entries, ids
+    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], entries: int = 500_000, ids: int = 4 << 20):
+        self.encode, self.ids, self.known = encode, ids, Known(entries)
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.pool, self.ends = array("I"), array("q", [0])
-
-    def rows(self, chunks: list[str]) -> np.ndarray:
-        """The row of each chunk in ends; rows hold until the next call."""
-        kept = len(self.at)
-        del self.ends[kept + 1 :], self.pool[self.ends[kept] :]
-        missing = [c for c in dict.fromkeys(chunks) if c not in self.at]
-        if kept >= self.entries // 2 and 4 * len(missing) > 3 * len(chunks):
+        self.known.clear()
+        self.pool, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def __call__(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and where in it each part's ids start and how many they are."""
+        at = self.known.find(parts)
+        if self.known.stale(at):
             self.clear()
-            kept, missing = 0, list(dict.fromkeys(chunks))
-        if not missing:
-            return np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
-        ids, counts = self.encode(missing)
-        self.ends.frombytes((np.cumsum(counts, dtype=np.int64) + self.ends[kept]).tobytes())
-        self.pool.frombytes(np.ascontiguousarray(ids, np.uint32).tobytes())
-        rows = range(kept, kept + len(missing))
-        fit = self.entries - kept
-        if len(self.pool) > self.ids:
-            fit = min(fit, int(np.searchsorted(np.frombuffer(self.ends, np.int64), self.ids)) - 1 - kept)
-        if fit >= len(missing):
-            self.at.update(zip(missing, rows, strict=True))
-            known = self.at
-        else:
-            fit = max(0, fit)
-            self.at.update(zip(missing[:fit], rows, strict=False))
-            late = dict(zip(missing[fit:], rows[fit:], strict=True))
-            return np.fromiter((late[c] if c in late else self.at[c] for c in chunks), np.int64, len(chunks))
-        return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
+            at = np.full(len(parts), -1, np.int64)
+        missing = np.flatnonzero(at < 0)
+        starts, lengths = self.ends[at], self.ends[at + 1] - self.ends[at]
+        if not len(missing):
+            return self.pool, starts, lengths
+        new = parts.take(pa.array(missing))
+        ids, counts = self.encode(new)
+        own = np.cumsum(counts) - counts
+        pool = np.concatenate([self.pool, ids])
+        starts[missing], lengths[missing] = own + len(self.pool), counts
+        if len(self.pool) < self.ids:
+            kept = self.known.add(new)
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts[kept])])
+            self.pool = np.concatenate([self.pool, ids[spread(own[kept], counts[kept])]])
+        return pool, starts, lengths
 
 
 class Chunks:
@@ -136,59 +172,79 @@ class Chunks:
         self.edge = re.compile(f"[{blank}]")
         self.cut = re.compile(f"(?<=[^{blank}]) (?=[^{blank}])")
 
-    def __call__(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Distinct parts, each text's parts as indices into them, and each text's count."""
-        parts = pc.split_pattern(texts, pattern=" ")
-        counts = np.diff(parts.offsets.to_numpy(zero_copy_only=False)).astype(np.int64)
-        coded = parts.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        distinct = coded.dictionary
-        words = distinct.to_pylist()
-        first, last = pc.utf8_slice_codeunits(distinct, 0, 1), pc.utf8_slice_codeunits(distinct, -1)
+    def blank_edges(self, parts: pa.Array) -> np.ndarray:
+        """Which parts are empty, or begin or end with a blank."""
+        first, last = pc.utf8_slice_codeunits(parts, 0, 1), pc.utf8_slice_codeunits(parts, -1)
         blank = [c for c in {*first.unique().to_pylist(), *last.unique().to_pylist()} if not c or self.edge.match(c)]
         if not blank:
-            return words, codes, counts
-        blank = pa.array(blank, distinct.type)
-        unsafe = pc.or_(pc.is_in(first, value_set=blank), pc.is_in(last, value_set=blank)).to_numpy(zero_copy_only=False)
+            return np.zeros(len(parts), bool)
+        blank = pa.array(blank, parts.type)
+        return pc.or_(pc.is_in(first, value_set=blank), pc.is_in(last, value_set=blank)).to_numpy(zero_copy_only=False)
+
+    def __call__(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Parts (a part may stand twice), each text's parts as indices into them, and each text's count."""
+        split = pc.split_pattern(texts, pattern=" ")
+        counts = np.diff(split.offsets.to_numpy(zero_copy_only=False)).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        codes, parts = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        unsafe = self.blank_edges(parts)
+        if not unsafe.any():
+            return parts, codes, counts
         begins = np.cumsum(counts) - counts
         odd = np.logical_or.reduceat(unsafe[codes], begins) & (counts > 1)
         if not odd.any():
-            return words, codes, counts
-        index = {w: i for i, w in enumerate(words)}
-        pieces: list[np.ndarray] = []
-        for i in range(len(counts)):
-            own = codes[begins[i] : begins[i] + counts[i]]
-            if odd[i]:
-                own = np.fromiter((index.setdefault(p, len(index)) for p in self.cut.split(texts[i].as_py())), np.int64)
-            pieces.append(own)
-        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        return list(index), np.concatenate(pieces), counts
+            return parts, codes, counts
+        cut = [self.cut.split(t) for t in texts.take(pa.array(np.flatnonzero(odd))).to_pylist()]
+        others = pa.array([p for x in cut for p in x], pa.string()).dictionary_encode()
+        every = counts.copy()
+        every[odd] = [len(x) for x in cut]
+        to = np.cumsum(every) - every
+        out = np.empty(int(every.sum()), np.int64)
+        out[spread(to[~odd], every[~odd])] = codes[spread(begins[~odd], counts[~odd])]
+        out[spread(to[odd], every[odd])] = others.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(parts)
+        return pa.concat_arrays([parts, others.dictionary]), out, every
+
+
+#: Characters of all kinds that may stand at both sides of a space.
+PROBES = "aZé日ñµ1٣²'’\"!?.,;:-_/()[]{}<>|#$%&*+=~^@\\`▁…€\u0301\u200d😀ſs"
+
+
+def divisible(encode: Callable[[list[str]], list[list[int]]]) -> bool:
+    """Whether texts of all pairs of PROBES with a space between encode as their two parts alone."""
+    whole = encode([f"{a} {b}{b}" for a in PROBES for b in PROBES])
+    first, last = encode(list(PROBES)), encode([f" {b}{b}" for b in PROBES])
+    return whole == [a + b for a in first for b in last]
 
 
 class Coder:
-    """ids of whole texts, by chunks. encode: as for Memo.
+    """ids of whole texts, by parts.
 
-    spaced: whether a part's own space belongs to it for the tokenizer.
+    encode: the ids of many strings, each after a given lead, and each one's
+    number. spaced: whether a part's own space belongs to it for the tokenizer.
+    Where texts aren't divisible at spaces, they are encoded whole.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], blank: str = r"\s", spaced: bool = True):
-        self.memo, self.chunks, self.spaced = Memo(encode), Chunks(blank), spaced
+    def __init__(self, encode: Callable[[pa.Array, str], tuple[np.ndarray, np.ndarray]], blank: str = r"\s", spaced: bool = True, divisible: bool = True):
+        self.encode, self.chunks, self.spaced, self.divisible = encode, Chunks(blank), spaced, divisible
+        self.memo = Memo(lambda parts: encode(parts, " " if spaced else ""))
+        self.heads = Memo(lambda parts: encode(parts, ""), 50_000, 1 << 20) if spaced else self.memo
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, and each text's number of ids."""
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        words, codes, counts = self.chunks(texts)
+        if not self.divisible:
+            return self.encode(texts, "")
+        parts, codes, counts = self.chunks(texts)
         firsts = np.cumsum(counts) - counts
-        lead = " " if self.spaced else ""
-        heads = [words[c] for c in codes[firsts].tolist()]
-        rows = self.memo.rows([lead + w for w in words] + heads)
-        at = rows[: len(words)][codes]
-        at[firsts] = rows[len(words) :]
-        ends = np.frombuffer(self.memo.ends, np.int64)
-        pool = np.frombuffer(self.memo.pool, np.uint32) if len(self.memo.pool) else np.zeros(0, np.uint32)
-        starts = ends[at]
-        lengths = ends[at + 1] - starts
+        pool, starts, lengths = self.memo(parts)
+        starts, lengths = starts[codes], lengths[codes]
+        if self.spaced:
+            heads = parts.take(pa.array(codes[firsts])).dictionary_encode()
+            own, at, n = self.heads(heads.dictionary)
+            which = heads.indices.to_numpy(zero_copy_only=False)
+            starts[firsts], lengths[firsts] = at[which] + len(pool), n[which]
+            pool = np.concatenate([pool, own])
         return pool[spread(starts, lengths)], np.add.reduceat(lengths, firsts)
 
 

@@ -16,12 +16,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import Chunks, by_bytes, renamed, whole_texts
+from threadloom.llm.shared import Chunks, Known, by_bytes, divisible, renamed, whole_texts
 
 #: SentencePiece's mark for a space.
 MARK = "▁"
 #: Distinct parts whose counts a worker remembers.
-MEMO = 1_000_000
+MEMO = 500_000
+#: Parts that are counted by one call of a library.
+CALL = 4096
 
 
 class Counter:
@@ -29,33 +31,43 @@ class Counter:
 
     def __init__(self, count: Callable[[list[str]], list[int]], blank: str, spaced: bool, divisible: bool = True):
         self.count, self.chunks, self.spaced, self.divisible = count, Chunks(blank), spaced, divisible
-        self.known: dict[str, int] = {}
-
-    def lengths(self, parts: list[str]) -> np.ndarray:
-        missing = [p for p in dict.fromkeys(parts) if p not in self.known]
-        if len(self.known) + len(missing) > MEMO:
-            self.known, missing = {}, list(dict.fromkeys(parts))
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
-            self.known.update(zip(some, self.count(some), strict=True))
-        return np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        self.memo, self.heads = (Lengths(lambda parts, lead=lead: count([lead + p for p in parts.to_pylist()]), most) for lead, most in ((" " if spaced else "", MEMO), ("", MEMO // 10)))
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
         if not len(texts):
             return np.zeros(0, np.int64)
         if not self.divisible:
             return np.array(self.count(texts.to_pylist()), np.int64)
-        words, codes, counts = self.chunks(texts)
+        parts, codes, counts = self.chunks(texts)
         firsts = np.cumsum(counts) - counts
-        if not self.spaced:
-            each = self.lengths(words)[codes]
-        else:
-            found = self.lengths([" " + w for w in words] + [words[c] for c in codes[firsts]])
-            each = found[codes]
-            each[firsts] = found[len(words) :]
+        each = self.memo(parts)[codes]
+        if self.spaced:
+            heads = parts.take(pa.array(codes[firsts])).dictionary_encode()
+            each[firsts] = self.heads(heads.dictionary)[heads.indices.to_numpy(zero_copy_only=False)]
         return np.add.reduceat(each, firsts)
 
 
+class Lengths:
+    """Counts of parts, remembered as long as there is room."""
+
+    def __init__(self, count: Callable[[pa.Array], list[int]], most: int):
+        self.count, self.known, self.kept = count, Known(most), np.zeros(0, np.int64)
+
+    def __call__(self, parts: pa.Array) -> np.ndarray:
+        at = self.known.find(parts)
+        if self.known.stale(at):
+            self.known.clear()
+            self.kept, at = self.kept[:0], np.full(len(parts), -1, np.int64)
+        out = np.append(self.kept, 0)[at]
+        missing = np.flatnonzero(at < 0)
+        for k in range(0, len(missing), CALL):
+            some = missing[k : k + CALL]
+            new = parts.take(pa.array(some))
+            out[some] = self.count(new)
+            self.kept = np.append(self.kept, out[some][self.known.add(new)])
+        return out
+
+
 def _sentencepiece(path: str) -> Counter:
     import sentencepiece
 
@@ -80,12 +92,13 @@ def _tokenizers(path: str) -> Counter:
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
-    divisible = [len(x.ids) for x in model.encode_batch(["a b", "a", " b"], add_special_tokens=False)]
+    added = model.get_added_tokens_decoder().values()
+    parted = divisible(lambda texts: [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)]) and not any(t.lstrip or t.rstrip or " " in t.content for t in added)
 
     def count(texts: list[str]) -> list[int]:
         return [len(x.ids) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return Counter(count, r"\s", spaced=True, divisible=divisible[0] == sum(divisible[1:]))
+    return Counter(count, r"\s", spaced=True, divisible=parted)
 
 
 _KEPT: dict[str, Counter] = {}

@@ -24,42 +24,66 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import Coder, by_bytes, renamed, spread, whole_texts, workspace
+from threadloom.llm.shared import Coder, by_bytes, divisible, renamed, spread, whole_texts, workspace
 
 #: Ids in a word and bits of each, by selector from 1 on.
 LAYOUT = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 BLOCK_IDS = 1 << 16
 #: Ids that are packed side by side from one starting point each.
-LANE = 1 << 10
+LANE = 1 << 9
 #: Chunks that are encoded as lines of one text.
 LINES = 500
 
 BLOCKS = "shard long, block long, start long, n_ids long, words binary, escapes binary, doc_ids binary, doc_ends binary, null_ids binary"
 
 
+def bit_widths(ids: np.ndarray) -> np.ndarray:
+    """Bits of each id, 1 at least."""
+    if len(ids) and ids.dtype == np.uint32:
+        # whole numbers below 2^53 are exact as doubles, and frexp gives their bits
+        return np.maximum(np.frexp(ids.astype(np.float64))[1], 1).astype(np.uint8)
+    low, high = (ids & np.uint64(0xFFFFFFFF)).astype(np.float64), (ids >> np.uint64(32)).astype(np.float64)
+    return np.maximum(np.where(high > 0, np.frexp(high)[1] + 32, np.frexp(low)[1]), 1).astype(np.uint8)
+
+
+def _widest(a: np.ndarray, b: np.ndarray, by: int) -> np.ndarray:
+    """The larger of a[i] and b[i + by]; beyond the end a alone."""
+    out = a.copy()
+    if by < len(b):
+        np.maximum(out[: len(b) - by], b[by:], out=out[: len(b) - by])
+    return out
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The Simple-8b words of ids (unsigned 64-bit) and the escaped ids.
+    """The Simple-8b words of ids (unsigned 32-bit or 64-bit) and the escaped ids.
 
     Ids are cut into lanes of LANE; in each step all lanes choose their next
     word's selector at once. A lane's last word may hold less than its selector
     counts: then a selector of a smaller count is taken.
     """
-    ids = np.asarray(ids, np.uint64)
+    ids = np.asarray(ids)
+    ids = ids if ids.dtype == np.uint32 else ids.astype(np.uint64)
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    at = np.arange(n, dtype=np.int64)
-    room = np.minimum(n, (at // LANE + 1) * LANE) - at
+    width = bit_widths(ids)
+    room = LANE - np.arange(n, dtype=np.int64) % LANE
+    room[n - n % LANE :] -= LANE - n % LANE
+    room = np.minimum(room, 255).astype(np.uint8)
+    # windows[k]: the widest of the 2**k ids from each place on; past the end nothing is wide
+    windows = [width]
+    while 2 << len(windows) - 1 <= LAYOUT[0][0]:
+        windows.append(_widest(windows[-1], windows[-1], 1 << len(windows) - 1))
     choice = np.zeros(n, np.uint8)
     for s in range(len(LAYOUT), 0, -1):
         count, bits = LAYOUT[s - 1]
-        wide = ids >= np.uint64(1) << np.uint64(bits)
-        following = np.minimum.accumulate(np.where(wide, at, n)[::-1])[::-1]
-        choice[(following - at >= count) & (room >= count)] = s
+        k = count.bit_length() - 1
+        choice[(_widest(windows[k], windows[k], count - (1 << k)) <= bits) & (room >= count)] = s
     step = np.array([1, *(c for c, _ in LAYOUT)], np.int64)
     place, taken = np.arange(0, n, LANE, dtype=np.int64), []
     stop = np.minimum(place + LANE, n)
@@ -70,6 +94,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         place, stop = place[left], stop[left]
     starts = np.sort(np.concatenate(taken))
     selectors = choice[starts]
+    ids = ids.astype(np.uint64)
     words = selectors.astype(np.uint64) << np.uint64(60)
     for s in np.unique(selectors):
         here = selectors == s
@@ -109,13 +134,12 @@ def _blocks(coder: Callable[[], Coder], end_id: int) -> Callable[[Iterator[pa.Re
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard = coder(), TaskContext.get().partitionId()
         state = {"block": 0, "start": 0}
-        held: list[tuple] = []  # (doc_id or None, ids)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # of some documents: doc_ids, which are null, counts, ids
 
         def block() -> pa.RecordBatch:
-            ids = np.concatenate([x for _, x in held])
+            docs, null, counts, ids = (np.concatenate(x) for x in zip(*held, strict=True))
             words, escapes = pack(ids)
-            null = bytes(d is None for d, _ in held)
-            row = [shard, state["block"], state["start"], len(ids), words.astype("<u8").tobytes(), escapes.astype("<u8").tobytes(), np.array([d or 0 for d, _ in held], "<i8").tobytes(), np.cumsum([len(x) for _, x in held]).astype("<i8").tobytes(), null]
+            row = [shard, state["block"], state["start"], len(ids), words.astype("<u8").tobytes(), escapes.astype("<u8").tobytes(), docs.astype("<i8").tobytes(), np.cumsum(counts).astype("<i8").tobytes(), null.astype(np.uint8).tobytes()]
             state["block"] += 1
             state["start"] += len(ids)
             held.clear()
@@ -126,11 +150,16 @@ def _blocks(coder: Callable[[], Coder], end_id: int) -> Callable[[Iterator[pa.Re
         size = 0
         for batch in by_bytes(batches, "text"):
             ids, counts = encode(whole_texts(batch, "text"))
+            ids, counts = ended(ids, counts, end_id)
+            docs = batch.column("doc_id")
+            null, docs = docs.is_null().to_numpy(zero_copy_only=False), pc.fill_null(docs, 0).to_numpy(zero_copy_only=False)
             ends = np.cumsum(counts)
-            for doc, end, n in zip(batch.column("doc_id").to_pylist(), ends, counts, strict=True):
-                own = np.append(ids[end - n : end].astype(np.uint64), np.uint64(end_id))
-                held.append((doc, own))
-                size += len(own)
+            at, done = 0, 0  # documents and ids of the batch that are in a block or held
+            while at < len(docs):
+                to = min(len(docs), int(np.searchsorted(ends, done + BLOCK_IDS - size)) + 1)
+                held.append((docs[at:to], null[at:to], counts[at:to], ids[done : ends[to - 1]]))
+                size += int(ends[to - 1]) - done
+                at, done = to, int(ends[to - 1])
                 if size >= BLOCK_IDS:
                     yield block()
                     size = 0
@@ -140,6 +169,13 @@ def _blocks(coder: Callable[[], Coder], end_id: int) -> Callable[[Iterator[pa.Re
     return run
 
 
+def ended(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of documents with end_id after each, and each one's number with it."""
+    out = np.full(len(ids) + len(counts), end_id, np.uint32)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+    return out, counts + 1
+
+
 def write_ids(docs: DataFrame, coder: Callable[[], Coder], path: str, end_id: int = 0) -> None:
     """Encode (doc_id, text) and write the ids in ascending doc_id order to path.
 
@@ -182,9 +218,10 @@ def read_documents(spark, path: str) -> DataFrame:
 class LibraryCoder:
     """Builds, in a worker, a chunk coder over a vocabulary file of the tokenizers library.
 
-    The file's pre-tokenizer must start a new piece at a space between two
-    characters that aren't white space, as the byte-level one does. Built once
-    a worker process and file, so that its memo serves all of its tasks.
+    Whether its pre-tokenizer starts a new piece at a space between two
+    characters that aren't white space, as the byte-level one does, is probed;
+    where it doesn't, whole texts are encoded. Built once a worker process and
+    file, so that its memo serves all of its tasks.
     """
 
     kept: dict[str, Coder] = {}
@@ -204,34 +241,37 @@ class LibraryCoder:
             def ids(texts: list[str]) -> list[list[int]]:
                 return [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-            # where a line's end is always a token of its own, many chunks go as lines of one text
+            # where a line's end is always a token of its own, many parts go as lines of one text
             probe = ids(["a", " b", "c", "\n", "a\n b\nc"])
             end = probe[3][0] if len(probe[3]) == 1 else -1
             lines = end >= 0 and probe[4] == [*probe[0], end, *probe[1], end, *probe[2]]
-
-            def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-                alone = [k for k, c in enumerate(chunks) if not lines or "\n" in c or not c or c[-1].isspace() or c[:2].isspace() or c[0] != " " and c[0].isspace()]
-                single = set(alone)
-                joined = [c for k, c in enumerate(chunks) if k not in single] if alone else chunks
-                found = ids(["\n".join(joined[at : at + LINES]) for at in range(0, len(joined), LINES)])
+            # an added token with a space at or in it could stand across a cut
+            added = tokenizer.get_added_tokens_decoder().values()
+            parted = divisible(ids) and not any(t.lstrip or t.rstrip or " " in t.content for t in added)
+
+            def encode(parts: pa.Array, lead: str) -> tuple[np.ndarray, np.ndarray]:
+                alone = coder.chunks.blank_edges(parts) | pc.match_substring(parts, "\n").to_numpy(zero_copy_only=False) if lines and parted else np.ones(len(parts), bool)
+                strings = parts.to_pylist()
+                single = np.flatnonzero(alone).tolist()
+                joined = [strings[k] for k in np.flatnonzero(~alone).tolist()] if single else strings
+                found = ids([lead + f"\n{lead}".join(joined[at : at + LINES]) for at in range(0, len(joined), LINES)])
                 flat = np.fromiter(chain.from_iterable(chain(x, (end,)) for x in found), np.uint32) if joined else np.zeros(0, np.uint32)
                 ends = np.flatnonzero(flat == end)
                 counts = np.diff(ends, prepend=-1) - 1
                 flat = flat[flat != end]
-                if not alone:
+                if not single:
                     return flat, counts
-                others = ids([chunks[k] for k in alone])
-                every = np.zeros(len(chunks), np.int64)
-                rest = np.ones(len(chunks), bool)
-                rest[alone] = False
-                every[rest], every[alone] = counts, [len(x) for x in others]
+                others = ids([lead + strings[k] for k in single])
+                every = np.zeros(len(strings), np.int64)
+                every[~alone], every[alone] = counts, [len(x) for x in others]
                 begins = np.cumsum(every) - every
                 out = np.zeros(int(every.sum()), np.uint32)
-                out[spread(begins[rest], counts)] = flat
-                out[spread(begins[alone], every[alone])] = list(chain.from_iterable(others))
+                out[spread(begins[~alone], counts)] = flat
+                out[spread(begins[alone], every[alone])] = np.fromiter(chain.from_iterable(others), np.uint32)
                 return out, every
 
-            self.kept[self.path] = Coder(encode)
+            coder = Coder(encode, divisible=parted)
+            self.kept[self.path] = coder
         return self.kept[self.path]
 
 
