@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import materialise
+from threadloom.llm.shared import discard, materialise
 
 
 def local_roots(n: int, u: np.ndarray, v: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
@@ -31,7 +31,7 @@ def roots(links: DataFrame, label: str) -> DataFrame:
 
     Alternates large-star and small-star steps, each of them two aggregations by
     node; all edges end at a root after O(log^2 n) of them. Every round is
-    written to the shared folder. A node that is its component's smallest has no
+    written to the shared folder, and the rounds before it are removed. A node that is its component's smallest has no
     row; null ends and self-links are dropped; no links give no rows.
     """
     edges = materialise(links.filter("u <> v").select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).distinct(), label)
@@ -42,11 +42,14 @@ def roots(links: DataFrame, label: str) -> DataFrame:
     before = mark(edges)
     while before[0]:
         both = edges.select(F.col("hi").alias("x"), F.col("lo").alias("y")).unionByName(edges.select(F.col("lo").alias("x"), F.col("hi").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        # written, so that the join reads two plain exchanges, of which the edges of a hub can be split
+        least = materialise(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), label)
         large = both.filter("y > x").join(least, "x").select(F.col("y").alias("hi"), F.col("m").alias("lo")).distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.*")
+        old = edges
         edges = materialise(small.filter("hi <> lo").distinct(), label)
+        discard(old, least)
         after = mark(edges)
         if after == before:
             break

@@ -5,8 +5,10 @@ candidates of further kinds. Every value is hashed. The hashes are counted over
 the corpus by the distinct owners, and by the distinct repositories, that hold
 them; counts are made per (hash, owner) before any hash is brought together, so
 that a value copied a million times is a few rows. A value that more than a few
-owners hold is an example that people copy; one that stays with its owner and
-looks random is live-looking. Base spans are always reported, with that verdict;
+owners hold, or that stands in more repositories than one owner's use of it
+explains, is an example that people copy; one that stays with its owner and
+looks random is live-looking. Where the corpus has no finer columns, a document is
+the repository and its source the owner. Base spans are always reported, with that verdict;
 candidates become spans only if live-looking, whatever their pattern.
 """
 
@@ -16,7 +18,7 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,14 +35,14 @@ BASE = (
 )
 #: Candidate kinds: they are spans only where the corpus says that the value is live-looking.
 MORE = (
-    ("key_block", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]+"), 0, 64),
+    ("key_block", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+"), 0, 64),
     ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0, 30),
     ("prefixed", re.compile(r"\b(?:gh[pousr]_|xox[abprs]-|sk_live_|rk_live_|AIza|glpat-)[A-Za-z0-9_-]+"), 0, 20),
-    ("userinfo", re.compile(r"://[^\s/:@]{1,64}:([^\s/:@]+)@"), 1, 6),
+    ("userinfo", re.compile(r"://[^\s/:@]++:([^\s/:@]++)@"), 1, 6),
 )
 KINDS = tuple(k for k, *_ in BASE + MORE)
-#: Most distinct owners of a value that is still live-looking.
-OWNERS = 2
+#: Most distinct owners, and distinct repositories, of a value that is still live-looking.
+OWNERS, REPOSITORIES = 2, 25
 #: Least bits a character of a live-looking value, and words that mark made-up ones.
 ENTROPY, MADE_UP = 2.5, re.compile(r"example|sample|dummy|placeholder|changeme|your_|xxxx|0{8}|1234567", re.IGNORECASE)
 
@@ -78,10 +80,15 @@ SPAN = "struct<kind: int, start: int, end: int, value_start: int, value_end: int
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value_start", pa.int32()), ("value_end", pa.int32()), ("value", pa.int64()), ("random", pa.bool_())])
 
 
-def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in by_bytes(batches, "text"):
-        rows = [[{"kind": k, "start": a, "end": b, "value_start": c, "value_end": d, "value": _hash(v), "random": looks_random(v)} for a, k, b, c, d, v in scan(t)] for t in whole_texts(batch, "text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "repository", "owner")), pa.array(rows, pa.list_(_SPAN))], ["row", "repository", "owner", "spans"])
+def _scanned(keep: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = ["row", "repository", "owner", *keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text"):
+            rows = [[{"kind": k, "start": a, "end": b, "value_start": c, "value_end": d, "value": _hash(v), "random": looks_random(v)} for a, k, b, c, d, v in scan(t)] for t in whole_texts(batch, "text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(rows, pa.list_(_SPAN))], [*names, "spans"])
+
+    return run
 
 
 def ownership(spans: DataFrame) -> DataFrame:
@@ -92,28 +99,33 @@ def ownership(spans: DataFrame) -> DataFrame:
     return owned.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
 
 
-def find(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """(row, spans) for every row of docs (row: unique; text; the owner and repository columns).
+def find(docs: DataFrame, owner: str = "source", repository: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(row, the columns of keep, spans) for every row of docs (row: unique; text; the owner and repository columns).
 
     spans: ordered by start, then kind; each has kind (a place in KINDS), start
     and end in code points, the value's start and end, owners, repositories
     and live. A null text is empty. A null owner or repository counts as one. An
     empty table gives no rows.
     """
-    rows = docs.select("row", "text", F.col(f"`{repository}`").cast("string").alias("repository"), F.col(f"`{owner}`").cast("string").alias("owner"))
-    found = materialise(rows.mapInArrow(_scanned, f"row long, repository string, owner string, spans array<{SPAN}>"), "secret-spans")
+    rows = docs.select("row", "text", F.col(f"`{repository}`").cast("string").alias("repository"), F.col(f"`{owner}`").cast("string").alias("owner"), *[F.col(f"`{c}`") for c in keep])
+    kept = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+    found = materialise(rows.mapInArrow(_scanned(keep), ", ".join(["row long, repository string, owner string", *kept, f"spans array<{SPAN}>"])), "secret-spans")
     each = found.filter("size(spans) > 0").select("row", "owner", "repository", F.explode("spans").alias("s")).select("row", "owner", "repository", "s.*")
     counts = ownership(each)
-    judged = each.join(counts, "value").withColumn("live", F.col("random") & (F.col("owners") <= OWNERS))
+    judged = each.join(counts, "value").withColumn("live", F.col("random") & (F.col("owners") <= OWNERS) & (F.col("repositories") <= REPOSITORIES))
     kept = judged.filter((F.col("kind") < len(BASE)) | F.col("live"))
     lists = kept.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "value_start", "value_end", "owners", "repositories", "live"))).alias("spans"))
     empty = F.array().cast("array<struct<start: int, kind: int, end: int, value_start: int, value_end: int, owners: bigint, repositories: bigint, live: boolean>>")
-    return found.select("row").join(lists, "row", "left").select("row", F.coalesce("spans", empty).alias("spans"))
+    return found.select("row", *keep).join(lists, "row", "left").select("row", *keep, F.coalesce("spans", empty).alias("spans"))
 
 
 def numbered(docs: DataFrame, *columns: str) -> DataFrame:
-    """The columns with a unique row number that a rerun of the scan gives again."""
-    return renamed(docs, *columns).withColumn("row", F.monotonically_increasing_id())
+    """The columns with a unique row number.
+
+    Numbers follow how the scan is split, which another number of executors
+    changes; so rows are written with them once, and all later uses agree.
+    """
+    return materialise(renamed(docs, *columns).withColumn("row", F.monotonically_increasing_id()), "numbered-rows")
 
 
 def redacted(texts: DataFrame) -> DataFrame:
@@ -143,8 +155,8 @@ def redacted(texts: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_<base kind>, base_sha256, spans, n_live) for every row of docs."""
-    rows = numbered(docs, "doc_id", "text", "source")
-    found = find(rows)
+    rows = renamed(docs, "doc_id", "text", "source").withColumn("row", F.monotonically_increasing_id())
+    found = find(rows, keep=("doc_id",))  # the one scan gives the numbers
 
     def name(s):
         kind = F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1)
@@ -156,5 +168,4 @@ def report(docs: DataFrame) -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
 
     counts = [of_kind(k).alias(f"n_{n}") for k, (n, *_) in enumerate(BASE)]
-    said = found.select("row", *counts, F.sha2(F.array_join(F.transform(base, name), ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.transform("spans", name), ",").alias("spans"), F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"))
-    return rows.select("row", "doc_id").join(said, "row").drop("row")
+    return found.select("doc_id", *counts, F.sha2(F.array_join(F.transform(base, name), ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.transform("spans", name), ",").alias("spans"), F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"))

@@ -30,11 +30,15 @@ BATCH_BYTES = 4 << 20
 def workspace(spark: SparkSession, label: str) -> str:
     """A fresh folder that driver and executors share.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, a laptop) a temporary
-    folder of this machine is set for the session.
+    Only where ``spark.checkpoint.dir`` is unset and the master is local (tests, a
+    laptop) a temporary folder of this machine is set for the session; executors
+    elsewhere would each write to their own disk, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         base = "file://" + tempfile.mkdtemp(prefix="threadloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -49,7 +53,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = workspace(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Removes what materialise wrote, once nothing reads it any more."""
+    for df in written:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def renamed(df: DataFrame, *columns: str) -> DataFrame:
@@ -134,6 +147,14 @@ class Memo:
         self.encode, self.ids, self.known = encode, ids, Known(entries)
         self.clear()
 
+    @property
+    def entries(self) -> int:
+        return self.known.most
+
+    @entries.setter
+    def entries(self, most: int) -> None:
+        self.known.most = most
+
     def clear(self) -> None:
         self.known.clear()
         self.pool, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)

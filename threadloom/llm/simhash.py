@@ -76,18 +76,19 @@ def fingerprint(text: bytes, width: int) -> int:
     return majority(shingle_hashes(text, width))
 
 
-def samples(hashes: np.ndarray, classes: int, least: int) -> list[int]:
+def samples(hashes: np.ndarray, classes: int, least: int) -> list[int | None]:
     """A key for each class of hashes: what its least distinct ones, up to least of them, hash to.
 
+    A class without hashes has no key: else all short texts would share one.
+
     A hash's class is its remainder, so the same shingle is in the same class in
     every text; texts of Jaccard similarity s share a key with a chance of about
     s ** least in each class.
     """
-    if not len(hashes):
-        return [0] * classes
     distinct = np.unique(hashes)
     of = (distinct % np.uint64(classes)).astype(np.int64)
-    return [xxhash.xxh64_intdigest(distinct[of == k][:least].tobytes(), k) >> 1 for k in range(classes)]
+    some = [distinct[of == k][:least] for k in range(classes)]
+    return [xxhash.xxh64_intdigest(s.tobytes(), k) >> 1 if len(s) else None for k, s in enumerate(some)]
 
 
 def _fingerprints(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -409,7 +410,7 @@ def similar_links(rows: DataFrame, texts: DataFrame, width: int, budget: int, si
     the similarity of their shingles decides. The shingles are only held for
     nodes that share a key with another.
     """
-    each = rows.select("fp", "node", F.posexplode("keys").alias("turn", "block")).select("turn", "block", "fp", "node").distinct()
+    each = rows.select("fp", "node", F.posexplode("keys").alias("turn", "block")).select("turn", "block", "fp", "node").filter("block is not null").distinct()
     crowded = each.groupBy("turn", "block").agg(F.count("*").alias("size")).filter("size > 1")
     dealt = materialise(each.join(crowded, ["turn", "block"], "left_semi").select("turn", "block", "node", F.col("fp").alias("key")), "simhash-candidates")
     sets = texts.mapInArrow(_sets(width), "node long, shingles binary").join(dealt.select("node").distinct(), "node", "left_semi")
@@ -427,9 +428,13 @@ def components(fps: DataFrame, budget: int = BUDGET, subtrie: int = SUBTRIE) ->
 
 
 def _components(fps: DataFrame, found: DataFrame) -> DataFrame:
-    rooted = fps.join(roots(found, "simhash-links").select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component"))
-    return rooted.join(least, "root").select("fp", "component")
+    """Only nodes with a link are grouped; a component's smallest doc_id is summed up before any exchange
+    by root and written, so that the join back reads two plain exchanges, of which a large component's can be split."""
+    moved = roots(found, "simhash-links").select(F.col("node").alias("fp"), "root")
+    held = moved.unionByName(moved.select(F.col("root").alias("fp"), "root").distinct())
+    least = materialise(held.join(fps, "fp").groupBy("root").agg(F.min("doc_id").alias("component")), "simhash-components")
+    named = materialise(held.join(least, "root").select("fp", "component"), "simhash-members")
+    return fps.join(named, "fp", "left").select("fp", F.coalesce("component", "doc_id").alias("component"))
 
 
 def deduplicate(docs: DataFrame, width: int = 5, budget: int = BUDGET, subtrie: int = SUBTRIE) -> DataFrame:

@@ -36,7 +36,9 @@ LAYOUT = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8),
 BLOCK_IDS = 1 << 16
 #: Ids that are packed side by side from one starting point each.
 LANE = 1 << 9
-#: Chunks that are encoded as lines of one text.
+#: Bytes of text handled at once; the more, the more of its parts are equal.
+TEXT_BYTES = 8 << 20
+#: Parts that are encoded as lines of one text.
 LINES = 500
 
 BLOCKS = "shard long, block long, start long, n_ids long, words binary, escapes binary, doc_ids binary, doc_ends binary, null_ids binary"
@@ -148,7 +150,7 @@ def _blocks(coder: Callable[[], Coder], end_id: int) -> Callable[[Iterator[pa.Re
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
         size = 0
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", TEXT_BYTES):
             ids, counts = encode(whole_texts(batch, "text"))
             ids, counts = ended(ids, counts, end_id)
             docs = batch.column("doc_id")
