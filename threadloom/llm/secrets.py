@@ -21,6 +21,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,7 +110,7 @@ def find(docs: DataFrame, owner: str = "source", repository: str = "doc_id", kee
     """
     rows = docs.select("row", "text", F.col(f"`{repository}`").cast("string").alias("repository"), F.col(f"`{owner}`").cast("string").alias("owner"), *[F.col(f"`{c}`") for c in keep])
     kept = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    found = materialise(rows.mapInArrow(_scanned(keep), ", ".join(["row long, repository string, owner string", *kept, f"spans array<{SPAN}>"])), "secret-spans")
+    found = materialise(rows.mapInArrow(_scanned(keep), ", ".join([f"row {docs.schema['row'].dataType.simpleString()}, repository string, owner string", *kept, f"spans array<{SPAN}>"])), "secret-spans")
     each = found.filter("size(spans) > 0").select("row", "owner", "repository", F.explode("spans").alias("s")).select("row", "owner", "repository", "s.*")
     counts = ownership(each)
     judged = each.join(counts, "value").withColumn("live", F.col("random") & (F.col("owners") <= OWNERS) & (F.col("repositories") <= REPOSITORIES))
@@ -120,12 +121,20 @@ def find(docs: DataFrame, owner: str = "source", repository: str = "doc_id", kee
 
 
 def numbered(docs: DataFrame, *columns: str) -> DataFrame:
-    """The columns with a unique row number.
+    """The columns with a unique key row, the same in every later scan.
 
-    Numbers follow how the scan is split, which another number of executors
-    changes; so rows are written with them once, and all later uses agree.
+    A row of a Parquet table is known by its file and its place in it, however
+    the scan is split. Rows of other plans are written with a number once, as
+    numbers that follow the split change with the number of executors.
     """
-    return materialise(renamed(docs, *columns).withColumn("row", F.monotonically_increasing_id()), "numbered-rows")
+    plain = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in docs.columns
+    names = [F.col(f"`{c}`") for c in columns]
+    if plain:
+        try:
+            return docs.select(*names, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("row"))
+        except AnalysisException:  # files of another format
+            pass
+    return materialise(docs.select(*names, F.monotonically_increasing_id().alias("row")), "numbered-rows")
 
 
 def redacted(texts: DataFrame) -> DataFrame:

@@ -42,6 +42,8 @@ FOREST_BYTES = 8 << 20
 LEAF_PAIRS = 32
 #: Candidate pairs after which those that hang together by now are left out, and node pairs of theirs that go down together.
 VERIFIED = 2048
+#: Words, as a power of two, of the map that tells which nodes' shingles are wanted.
+MAP_WORDS = 18
 #: Node pairs that go down together.
 CHUNK = 1 << 15
 #: Shingles whose bits are summed at once.
@@ -401,19 +403,36 @@ def _verified(budget: int, similarity: float) -> Callable[[Iterator[pa.RecordBat
     return run
 
 
+def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose node's bit is set in a map of the wanted nodes' bits, before anything is exchanged.
+
+    The map has at most 2**MAP_WORDS rows of 64 bits, whatever wanted holds, so it
+    can be broadcast. Some other rows pass too; the more are wanted, the more.
+    """
+    h = F.xxhash64("node", F.lit(2))
+    word, bit = F.shiftrightunsigned(h, 64 - MAP_WORDS), F.expr("shiftleft(1L, cast(xxhash64(node, 2) & 63 as int))")
+    bits = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    keyed = rows.withColumn("word", word)
+    return keyed.join(F.broadcast(bits), "word").filter(F.col("bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def similar_links(rows: DataFrame, texts: DataFrame, width: int, budget: int, similarity: float) -> DataFrame:
     """Links (u, v) that connect nodes within budget bits that share a sample key and are similar enough.
 
     rows: (fp, node, keys). texts: (text) of the same rows. For budgets that
     leave no block of useful width: the trees are dealt by (class, key) in place
     of a block, each a trie of whole fingerprints. What it finds are candidates;
-    the similarity of their shingles decides. The shingles are only held for
+    the similarity of their shingles decides. Near copies agree in most classes:
+    of trees with the same nodes one is followed. The shingles are only held for
     nodes that share a key with another.
     """
     each = rows.select("fp", "node", F.posexplode("keys").alias("turn", "block")).select("turn", "block", "fp", "node").filter("block is not null").distinct()
-    crowded = each.groupBy("turn", "block").agg(F.count("*").alias("size")).filter("size > 1")
-    dealt = materialise(each.join(crowded, ["turn", "block"], "left_semi").select("turn", "block", "node", F.col("fp").alias("key")), "simhash-candidates")
-    sets = texts.mapInArrow(_sets(width), "node long, shingles binary").join(dealt.select("node").distinct(), "node", "left_semi")
+    members = (F.bit_xor(F.xxhash64("node")).alias("m1"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")).alias("m2"))
+    crowded = each.groupBy("turn", "block").agg(F.count("*").alias("size"), *members).filter("size > 1")
+    trees = crowded.groupBy("size", "m1", "m2").agg(F.min(F.struct("turn", "block")).alias("t")).select("t.*")
+    dealt = materialise(each.join(trees, ["turn", "block"], "left_semi").select("turn", "block", "node", F.col("fp").alias("key")), "simhash-candidates")
+    wanted = dealt.select("node").distinct()
+    sets = _marked(texts.mapInArrow(_sets(width), "node long, shingles binary"), wanted).join(wanted, "node", "left_semi")
     sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
     ordered = dealt.join(sets, "node").repartition("turn", "block").sortWithinPartitions("turn", "block", F.col("key").bitwiseXOR(F.lit(-(1 << 63)))).select("turn", "block", "key", "node", "shingles")
     return ordered.mapInArrow(_verified(budget, similarity), "u long, v long")
@@ -453,6 +472,8 @@ def deduplicate(docs: DataFrame, width: int = 5, budget: int = BUDGET, subtrie:
 def deduplicate_similar(docs: DataFrame, width: int = 5, budget: int = SIMILAR, classes: int = CLASSES, least: int = LEAST, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs: groups that hang together by links of at least similarity.
 
+    doc_id may be of any type that has an order.
+
     fp is of the distinct shingles. Every link is decided by the Jaccard similarity of the two sets of
     shingles (32 bits of each one's hash). Fingerprints of similar texts differ
     in up to budget bits, more than blocks can divide by. So that only likely
@@ -460,8 +481,8 @@ def deduplicate_similar(docs: DataFrame, width: int = 5, budget: int = SIMILAR,
     similarity of 0.8 one of the classes agrees in 99 cases of 100. Null and
     empty texts are one set.
     """
-    rows = renamed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    sampled = materialise(rows.mapInArrow(_sampled(width, classes, least), "doc_id long, fp long, node long, keys array<long>"), "simhash-samples")
+    rows = renamed(docs, "doc_id", "text").withColumn("text", F.col("text").cast("binary"))
+    sampled = materialise(rows.mapInArrow(_sampled(width, classes, least), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long, node long, keys array<long>"), "simhash-samples")
     each = sampled.groupBy("node").agg(F.min("doc_id").alias("doc_id")).select(F.col("node").alias("fp"), "doc_id")
     found = _components(each, similar_links(sampled, rows.select("text"), width, budget, similarity)).select(F.col("fp").alias("node"), F.col("component").alias("component_id"))
     return sampled.select("doc_id", "fp", "node").join(found, "node", "left").select("doc_id", "fp", "component_id")
