@@ -246,3 +246,11 @@ def test_pairs_near_the_least_similarity_are_found(spark):
     got = {x.doc_id: x.component_id for x in simhash.deduplicate_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(got[10 * g + 1] != 10 * g for g in range(300)) <= 6
     assert all(got[10 * g] == 10 * g for g in range(300))
+
+
+def test_a_vec_id_of_several_labels_counts_the_links_of_each_row(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 1), (2, [1.0, 0.0], 0), (3, [0.0, 1.0], 1), (4, [0.0, 1.001], 1), (5, [1.0, 0.0], 1)]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int").selectExpr("*", "1 as gid", "2 as raw", "3 as root")
+        got = sorted(tuple(r) for r in embeddings.near_duplicates(df).collect())
+        assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False), (5, 0, 5, True)]

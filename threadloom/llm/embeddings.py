@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,23 +34,32 @@ EXACT_DIMS = 1024
 EXACT_PAIRS = 1 << 15
 
 
-def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per row: digest and bytes of the vector (null where it links with nothing), and its projection."""
-    for batch in batches:
-        keys, raws, shadows = [], [], []
-        for v in batch.column("embedding").to_pylist():
-            x = np.array([np.nan if c is None else c for c in v], np.float64) + 0.0 if v else np.zeros(0)
-            norm = math.sqrt(float(x @ x)) if len(x) and np.isfinite(x).all() else 0.0
-            if not 0 < norm < math.inf:
-                keys.append(None)
-                raws.append(None)
-                shadows.append(None)
-                continue
-            raw = x.astype("<f8").tobytes()
-            keys.append(hashlib.blake2b(raw, digest_size=16).digest())
-            raws.append(raw)
-            shadows.append(float(x @ _direction(len(x))) / norm)
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(keys, pa.binary()), pa.array(raws, pa.binary()), pa.array([len(r) // 8 if r else None for r in raws], pa.int32()), pa.array(shadows, pa.float64())], ["vec_id", "label", "key", "raw", "dims", "shadow"])
+def _prepared(kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per row: digest and bytes (of numbers of a kind) of the vector, null where it links with nothing, and its projection."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, vectors = batch.num_rows, batch.column("embedding")
+            values = pc.fill_null(vectors.values.cast(pa.float64()), math.nan).to_numpy(zero_copy_only=False)
+            starts, lengths = vectors.offsets.to_numpy()[:-1].astype(np.int64), np.diff(vectors.offsets.to_numpy()).astype(np.int64)
+            lengths[vectors.is_null().to_numpy(zero_copy_only=False)] = 0
+            raws: list[bytes | None] = [None] * n
+            shadows: list[float | None] = [None] * n
+            for dims in np.unique(lengths[lengths > 0]).tolist():
+                rows = np.flatnonzero(lengths == dims)
+                x = values[starts[rows][:, None] + np.arange(dims)] + 0.0  # zeros have one sign
+                with np.errstate(over="ignore", invalid="ignore"):
+                    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+                fine = np.isfinite(norm) & (norm > 0)
+                x, rows = x[fine], rows[fine]
+                shadow = x @ _direction(dims) / norm[fine]
+                for k, row, place in zip(rows.tolist(), x.astype(kind), shadow.tolist(), strict=True):
+                    raws[k], shadows[k] = row.tobytes(), place
+            keys = [None if r is None else hashlib.blake2b(r, digest_size=16).digest() for r in raws]
+            dims = pa.array(lengths, pa.int32(), mask=np.array([r is None for r in raws], bool))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(keys, pa.binary()), pa.array(raws, pa.binary()), dims, pa.array(shadows, pa.float64())], ["vec_id", "label", "key", "raw", "dims", "shadow"])
+
+    return run
 
 
 def _direction(dims: int) -> np.ndarray:
@@ -95,11 +105,11 @@ def linked(x: np.ndarray, y: np.ndarray | None, threshold: float) -> tuple[np.nd
     return i[keep], j[keep]
 
 
-def _pairs(threshold: float) -> Callable[[pa.Table], pa.Table]:
+def _pairs(threshold: float, kind: str) -> Callable[[pa.Table], pa.Table]:
     def run(group: pa.Table) -> pa.Table:
-        rep = group.column("rep").to_numpy()
+        gid = group.column("gid").to_numpy()
         weight = group.column("weight").to_numpy()
-        x = np.stack([np.frombuffer(r, "<f8") for r in group.column("raw").to_pylist()])
+        x = np.frombuffer(b"".join(group.column("raw").to_pylist()), kind).reshape(len(gid), -1).astype(np.float64)
         side = group.column("side").to_numpy()
         if group.column("i")[0].as_py() == group.column("j")[0].as_py():
             u, v = linked(x, None, threshold)
@@ -110,14 +120,10 @@ def _pairs(threshold: float) -> Callable[[pa.Table], pa.Table]:
             else:
                 u, v = linked(x[left], x[right], threshold)
                 u, v = left[u], right[v]
-        count = np.bincount(u, weight[v], len(rep)) + np.bincount(v, weight[u], len(rep))
-        # indices in the order of rep, so that a local root is the smallest
-        order = np.argsort(rep, kind="stable")
-        place = np.empty(len(rep), np.int64)
-        place[order] = np.arange(len(rep))
-        root = rep[order][local_roots(len(rep), place[u], place[v])][place]
+        count = np.bincount(u, weight[v], len(gid)) + np.bincount(v, weight[u], len(gid))
+        root = gid[local_roots(len(gid), u, v)]
         has = count > 0
-        return pa.table({"rep": pa.array(rep[has]), "links": pa.array(count[has].astype(np.int64)), "root": pa.array(root[has])})
+        return pa.table({"gid": pa.array(gid[has]), "links": pa.array(count[has].astype(np.int64)), "root": pa.array(root[has])})
 
     return run
 
@@ -128,17 +134,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = TIL
     Rows link if labels are equal and not null and the cosine in double
     precision is at least threshold; vectors of other lengths never link.
     Vectors that are null, empty, zero or not finite link with nothing and are
-    their own components. Equal vec_ids with other vectors are one node: the
-    component joins their links. An empty table gives no rows.
+    their own components. Equal vec_ids with other vectors, of one label or of several, are one node: the
+    component joins their links, and each row has its own vector's number of links. Rows of null
+    vec_id are neither linked nor counted. Vectors of any length are whole; columns other than the three are ignored,
+    whatever their names. An empty table gives no rows.
     """
     rows = renamed(vectors, "vec_id", "embedding", "label").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
-    kind = rows.schema["label"].dataType.simpleString()
-    rows = materialise(rows.mapInArrow(_prepared, f"vec_id long, label {kind}, key binary, raw binary, dims int, shadow double"), "embedding-rows")
+    kind = "<f4" if rows.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
+    rows = materialise(rows.mapInArrow(_prepared(kind), f"vec_id long, label {rows.schema['label'].dataType.simpleString()}, key binary, raw binary, dims int, shadow double"), "embedding-rows")
+    group = ["label", "dims", "key"]
     valid = rows.filter("key is not null and label is not null and vec_id is not null")
-    keys = valid.groupBy("label", "dims", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.min("shadow").alias("shadow"))
-    groups = materialise(keys, "embedding-groups")
+    # equal vectors of a label are one group; the written number stands for it from here on
+    groups = valid.groupBy(*group).agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.min("shadow").alias("shadow"))
+    groups = materialise(groups.withColumn("gid", F.monotonically_increasing_id()), "embedding-groups")
     # one row carries each group's bytes
-    full = valid.select("label", "dims", "key", F.col("vec_id").alias("rep"), "raw").join(groups, ["label", "dims", "key", "rep"]).dropDuplicates(["label", "dims", "key", "rep"])
+    full = valid.select(*group, F.col("vec_id").alias("least"), "raw").dropDuplicates([*group, "least"]).join(groups, [*group, "least"])
     sizes = groups.groupBy("label", "dims").agg(F.count("*").alias("n"))
     # tiles by a label's projection quantiles; each tile with the range that it covers
     spans = groups.join(sizes, ["label", "dims"]).withColumn("tiles", F.ceil(F.col("n") / tile))
@@ -155,17 +165,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = TIL
     b = limits.select("label", "dims", F.col("tile").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"))
     pairs = a.join(b, ["label", "dims"]).filter(f"i <= j and low_j - high_i <= {gap!r} and low_i - high_j <= {gap!r}").select("label", "dims", "i", "j")
     partners = pairs.select("label", "dims", F.col("i").alias("tile"), "i", "j", F.lit(0).alias("side")).unionByName(pairs.filter("i < j").select("label", "dims", F.col("j").alias("tile"), "i", "j", F.lit(1).alias("side")))
-    partners = partners.groupBy("label", "dims", "tile").agg(F.collect_list(F.struct("i", "j", "side")).alias("tasks"))
-    tiled = full.withColumn("bin", F.floor((F.col("shadow") + 1) / 2 * step).cast("int")).join(placed.drop("low", "high"), ["label", "dims", "bin"]).withColumn("tile", F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts")))
-    dealt = tiled.select("label", "dims", "tile", "rep", "weight", "raw").join(partners, ["label", "dims", "tile"]).select("label", "dims", "rep", "weight", "raw", F.explode("tasks").alias("t")).select("label", "dims", "t.i", "t.j", "t.side", "rep", "weight", "raw")
-    found = materialise(dealt.groupBy("label", "dims", "i", "j").applyInArrow(_pairs(threshold), "rep long, links long, root long"), "embedding-links")
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    # rows of one vec_id in several groups hang together by their rep or by the row itself
-    mapped = valid.select("vec_id", "label", "dims", "key").join(groups.select("label", "dims", "key", "rep", "weight"), ["label", "dims", "key"]).select("vec_id", "rep", "weight")
-    held = mapped.groupBy("vec_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
-    twice = mapped.join(held.filter("low <> high"), "vec_id").select(F.col("vec_id").alias("u"), F.col("rep").alias("v"))
-    rooted = roots(found.filter("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")).unionByName(twice), "embedding-components")
-    done = mapped.select("rep", "vec_id", "weight").join(counts, "rep", "left").join(rooted.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    done = done.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    tiled = full.withColumn("bin", F.floor((F.col("shadow") + 1) / 2 * step).cast("int")).join(placed.drop("low", "high"), ["label", "dims", "bin"]).withColumn("tile", F.col("first") + F.pmod(F.xxhash64("gid"), F.col("parts")))
+    dealt = tiled.select("label", "dims", "tile", "gid", "weight", "raw").join(partners, ["label", "dims", "tile"]).select("label", "dims", "i", "j", "side", "gid", "weight", "raw")
+    found = materialise(dealt.groupBy("label", "dims", "i", "j").applyInArrow(_pairs(threshold, kind), "gid long, links long, root long"), "embedding-links")
+    counts = found.groupBy("gid").agg(F.sum("links").alias("links"))
+    # groups that hold the same vec_id hang together by it
+    mapped = materialise(valid.select("vec_id", *group).join(groups.select(*group, "gid", "weight"), group).select("vec_id", "gid", "weight"), "embedding-members")
+    held = mapped.groupBy("vec_id").agg(F.min("gid").alias("low"), F.max("gid").alias("high"))
+    twice = mapped.join(held.filter("low <> high"), "vec_id").select(F.col("gid").alias("u"), F.col("low").alias("v"))
+    moved = roots(found.filter("gid <> root").select(F.col("gid").alias("u"), F.col("root").alias("v")).unionByName(twice), "embedding-components").select(F.col("node").alias("gid"), "root")
+    # the smallest vec_id of a component, summed up before any exchange by root
+    inside = moved.unionByName(moved.select(F.col("root").alias("gid"), "root").distinct())
+    least = materialise(inside.join(groups.select("gid", "least"), "gid").groupBy("root").agg(F.min("least").alias("component")), "embedding-least")
+    named = groups.select("gid", "least").join(inside, "gid", "left").join(least, "root", "left").select("gid", F.coalesce("component", "least").alias("component_id"))
+    done = mapped.join(counts, "gid", "left").join(named, "gid").select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
     alone = rows.filter("key is null or label is null or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return done.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
