@@ -241,3 +241,55 @@ def test_pages_table(spark):
     got = sorted(((r.page_id, r.text, r.n_chars) for r in html_text.extract(df).collect()), key=str)
     assert got == sorted([(1, "", 0), (2, "", 0), (3, "x", 1), (3, "x", 1), (None, "y", 1)], key=str)
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_hostile_pages_neither_stop_nor_slow_the_renderer():
+    digits = "9" * 6000
+    assert html_text.render(f"a &#{digits}; &#x{digits}; &#{'0' * 6000}65; &#65abc &#x41;") == "a � � A Aabc A"
+    page = f"<table><tr><td colspan={digits} rowspan={digits}>a<td>b</table><ol start={digits}><li value=-{digits}>c</ol><select size={digits}><option>d<option>e</select>"
+    assert [x.split() for x in html_text.render(page).split("\n") if x] == [["a", "b"], ["-1000000000.", "c"], ["d"], ["e"]]
+    import time
+
+    took = []
+    for n in (2000, 8000):
+        page = "<p><button>" + "<span>" * n + "<div>x" * n
+        began = time.process_time()
+        assert html_text.render(page).count("x") == n
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * max(took[0], 0.02)
+
+
+def test_any_mix_of_tags_renders_and_keeps_its_words():
+    import random
+
+    r = random.Random(6)
+    names = "div p span table tr td th li ul ol dl dt dd b a button select option svg text math details summary h1 pre textarea caption tbody form".split()
+    for _ in range(1500):
+        words, parts = [], []
+        for _ in range(r.randint(0, 40)):
+            k = r.random()
+            name = r.choice(names)
+            if k < 0.45:
+                parts.append(f"<{name}{r.choice(['', '', ' rowspan=2', ' colspan=3', ' value=7', ' reversed', ' start=x'])}>")
+            elif k < 0.75:
+                parts.append(f"</{name}>")
+            else:
+                words.append(f"w{len(words)}")
+                parts.append(f" {words[-1]} ")
+        found = html_text.render("".join(parts)).split()
+        assert [w for w in found if w.startswith("w")] == sorted((w for w in found if w.startswith("w")), key=found.index)
+        assert {w for w in found if w.startswith("w")} <= set(words)
+        plain = [p for p in parts if not any(f"<{n}" in p for n in ("select", "option", "svg", "text", "math", "details", "summary", "table", "tr", "td", "th", "caption", "tbody", "textarea"))]
+        kept = [w.strip() for w in plain if w.startswith(" w")]
+        assert [w for w in html_text.render("".join(plain)).split() if w.startswith("w") and w[1:].isdecimal()] == kept
+
+
+def test_spans_of_cells_and_numbers_of_items():
+    assert html_text.render("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>") == "a  b\n   c"
+    assert html_text.render("<table><tr><td>a<td rowspan=2>b<td>c<tr><td>d<td>e</table>") == "a  b  c\nd     e"
+    assert html_text.render("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>") == "a  b\n   c\n   d"
+    assert html_text.render("<table><tr><td colspan=2>wide<td>x<tr><td>a<td>b<td>c</table>").split("\n")[1].split() == ["a", "b", "c"]
+    long = "y" * 60
+    assert html_text.render(f"<table><tr><td>{long}<td>b<tr><td>c<td>d</table>") == f"{long}  b\nc{' ' * 61}d"
+    assert html_text.render("<ol><li>a<li value=7>b<li>c</ol>") == "1. a\n7. b\n8. c"
+    assert html_text.render("<ol reversed><li>a<li>b<ul><li>n</ul><li>c</ol>") == "3. a\n2. b\n   - n\n1. c"

@@ -17,6 +17,7 @@ All is iterative; depth of nesting costs no stack.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
@@ -61,6 +62,7 @@ WALLS = frozenset("td th caption table html body template".split())
 IN_HEAD = frozenset("base link meta title style script noscript template".split())
 
 # possessive throughout: a tag or quote that never ends takes the rest of the page, in one scan
+LISTED = re.compile(r"<(/?)(li|ol|ul|menu|dir)(?=[\s/>])", re.IGNORECASE)
 TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?+|["'])*+)(>|\Z)""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -75,8 +77,28 @@ MARK = re.compile(r"""([.#])([\w-]+)|\[\s*([\w-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*
 STEP = re.compile(r"""(?:\[[^\]]*\]|[^\s>\[])+|>""")
 #: The screen that conditions of style sheets are asked for, in pixels.
 SCREEN = 1280
-#: Columns are padded to at most so many characters, so that one long cell doesn't widen every row.
-WIDEST = 48
+#: Character references of more digits than any character has.
+DIGITS = re.compile(r"&#(?:[0-9]{10,}|[xX][0-9a-fA-F]{10,})")
+
+
+def unescaped(s: str) -> str:
+    """Text with its character references read, however many digits they have."""
+    return unescape(DIGITS.sub(_clamped, s)) if "&" in s else s
+
+
+def _clamped(m: re.Match) -> str:
+    x = "x" if m[0][2] in "xX" else ""
+    digits = m[0][2 + len(x) :].lstrip("0") or "0"
+    return f"&#{x}{digits}" if len(digits) < 10 else "&#x110000" if x else "&#1114112"
+
+
+def number(s: str, least: int, most: int, otherwise: int) -> int:
+    """A whole number of an attribute inside bounds, however many digits it has."""
+    m = re.match(r"[ \t\n\r\f]*+([+-]?)0*+([0-9]++)", s) or re.match(r"[ \t\n\r\f]*+([+-]?)(0)", s)
+    if m is None:
+        return otherwise
+    value = int(m[2]) if len(m[2]) <= 9 else 10**9
+    return max(least, min(most, -value if m[1] == "-" else value))
 
 
 class Flow:
@@ -145,27 +167,51 @@ class Grid:
     """A table's cells."""
 
     def __init__(self) -> None:
-        self.rows: list[list[tuple[list[str], int]]] = []
+        self.rows: list[list[tuple[list[str], int, int]]] = []  # lines, columns and rows of each cell
         self.caption: list[str] = []
 
+    def placed(self) -> list[list[tuple[int, list[str], int]]]:
+        """Rows of (column, lines, columns): a cell stands right of those that reach down from rows above."""
+        out = []
+        reach: list[tuple[int, int, int]] = []  # columns from and to, and rows still covered
+        for row in self.rows:
+            at, cells, busy, k = 0, [], sorted(reach), 0
+            for cell, span, down in row:
+                while k < len(busy) and busy[k][0] < at + span:
+                    at = max(at, busy[k][1])
+                    k += 1
+                cells.append((at, cell, span))
+                if down > 1:
+                    reach.append((at, at + span, down))
+                at += span
+            reach = [(a, b, n - 1) for a, b, n in reach if n > 1]
+            out.append(cells)
+        return out
+
     def lines(self) -> list[str]:
         """Rows with their cells aligned at the left, two spaces between columns."""
         widths: dict[int, int] = {}
-        for row in self.rows:
-            at = 0
-            for cell, span in row:
+        rows = self.placed()
+        for row in rows:
+            for at, cell, span in row:
                 if span == 1 and cell:
-                    widths[at] = max(widths.get(at, 0), min(WIDEST, max(map(len, cell))))
-                at += span
+                    widths[at] = max(widths.get(at, 0), max(map(len, cell)))
+        columns = sorted(widths)
+        starts, end = {}, 0  # where each column's text starts; columns of no width take no place
+        for c in columns:
+            starts[c] = end
+            end += widths[c] + 2
         out = list(self.caption)
-        for row in self.rows:
-            for k in range(max((len(c) for c, _ in row), default=0)):
-                line, at = [], 0
-                for cell, span in row:
-                    wide = sum(widths.get(i, 0) for i in range(at, at + span)) + 2 * (span - 1)
-                    line.append((cell[k] if k < len(cell) else "").ljust(wide))
-                    at += span
-                out.append("  ".join(line).rstrip())
+        for row in rows:
+            for k in range(max((len(c) for _, c, _ in row), default=0)):
+                line = ""
+                for at, cell, _ in row:
+                    if k < len(cell) and cell[k]:
+                        own = bisect_left(columns, at)
+                        to = starts[columns[own]] if own < len(columns) else end
+                        line = line.ljust(to) if len(line) + 2 <= to or not line else line + "  "
+                        line += cell[k]
+                out.append(line.rstrip())
         return out
 
 
@@ -252,7 +298,7 @@ class Rules:
             if m[3] is None or not re.search("display|visibility", m[3], re.IGNORECASE):
                 continue
             media = {a.lower(): b or c or d for a, b, c, d in ATTRIBUTE.findall(m[2])}.get("media", "")
-            if media and not on_screen(unescape(media)):
+            if media and not on_screen(unescaped(media)):
                 continue
             for selectors, found in rules_of(m[3]):
                 for selector in selectors.split(","):
@@ -306,11 +352,13 @@ class Page:
         self.options: list[int] = []  # of the open selects: options until the one shown, or -1 for all
         self.flows = [Flow()]
         self.grids: list[Grid] = []
-        self.lists: list[list] = []  # [next number or None]
+        self.lists: list[list] = []  # [next number or None, step]
         self.kept = 0  # open elements that keep white space
         self.count: dict[str, int] = {}  # open elements by name
+        self.depths: dict[str, list[int]] = {}  # and where they are among the open ones
         self.closed: list[int] = []  # depths of details elements that show their summary only
         self.page = page
+        self.counted: dict[int, int] | None = None
 
     def visible(self) -> bool:
         return not self.open or all(self.open[-1][1:4])
@@ -350,8 +398,7 @@ class Page:
 
     def chosen(self, attributes: dict[str, str]) -> int:
         """How many options of the select that starts here stand before the one it shows; -1 if it shows all."""
-        size = attributes.get("size", "")
-        if "multiple" in attributes or size.isdecimal() and int(size) > 1:
+        if "multiple" in attributes or number(attributes.get("size", ""), 0, 2, 0) > 1:
             return -1
         stop = re.compile(r"</?select(?=[\s/>])", re.IGNORECASE).search(self.page, self.at)
         first, last, n = None, None, 0
@@ -365,6 +412,22 @@ class Page:
                 n += 1
         return last if last is not None else first or 0
 
+    def items(self) -> int:
+        """How many items the list that starts here has, up to its end and without those of lists in it."""
+        if self.counted is None:
+            self.counted, stack = {}, []
+            for m in LISTED.finditer(self.page):
+                if m[2].lower() == "li":
+                    if stack and not m[1]:
+                        stack[-1][1] += 1
+                elif not m[1]:
+                    stack.append([m.start(), 0])
+                elif stack:
+                    at, n = stack.pop()
+                    self.counted[at] = n
+            self.counted.update(stack)
+        return self.counted.get(self.page.rfind("<", 0, self.at), 0)
+
     def in_closed(self) -> bool:
         return bool(self.closed) and self.closed[-1] == len(self.open)
 
@@ -373,6 +436,7 @@ class Page:
             self.closed.pop()
         name, displayed, visible, drawn, _ = self.open.pop()
         self.count[name] -= 1
+        self.depths[name].pop()
         if name == "select" and self.options:
             self.options.pop()
         if name in KEPT_SPACE:
@@ -390,7 +454,7 @@ class Page:
                 if name == "caption":
                     self.grids[-1].caption = lines
                 else:
-                    self.grids[-1].rows[-1][-1] = (lines, self.grids[-1].rows[-1][-1][1])
+                    self.grids[-1].rows[-1][-1] = (lines, *self.grids[-1].rows[-1][-1][1:])
             elif name == "table" and self.grids:
                 lines = self.grids.pop().lines()
                 flow.block(True)
@@ -412,12 +476,10 @@ class Page:
 
     def close_down_to(self, names: frozenset, wall: frozenset) -> None:
         """Close the outermost open element of names that stands inside the nearest wall, and all in it."""
-        to = -1
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] in names:
-                to = k
-            elif self.open[k][0] in wall:
-                break
+        # only the open elements of these names are looked at, so that deep nesting of others costs nothing
+        stop = max((self.depths[n][-1] for n in wall if n not in names and self.depths.get(n)), default=-1)
+        firsts = ((self.depths[n], bisect_left(self.depths[n], stop + 1)) for n in names if self.depths.get(n))
+        to = min((d[k] for d, k in firsts if k < len(d)), default=-1)
         while to >= 0 and len(self.open) > to:
             self.pop()
 
@@ -449,7 +511,7 @@ class Page:
                 self.start("tr", "")
         if name in ("tr", "thead", "tbody", "tfoot", "caption") and not self.count.get("table", 0):
             name = "div"
-        attributes = {a.lower(): unescape(b or c or d) for a, b, c, d in ATTRIBUTE.findall(raw)} if raw else {}
+        attributes = {a.lower(): unescaped(b or c or d) for a, b, c, d in ATTRIBUTE.findall(raw)} if raw else {}
         displayed, visible, drawn, above = self.state(name, attributes)
         if name in VOID:
             if displayed and visible and drawn:
@@ -459,6 +521,7 @@ class Page:
                 elif name == "hr":
                     flow.block(True)
             return
+        self.depths.setdefault(name, []).append(len(self.open))
         self.open.append((name, displayed, visible, drawn, above))
         if name == "select":
             self.options.append(self.chosen(attributes))
@@ -485,21 +548,23 @@ class Page:
             elif name in ("td", "th"):
                 if not self.grids[-1].rows:
                     self.grids[-1].rows.append([])
-                span = attributes.get("colspan", "1")
-                self.grids[-1].rows[-1].append(([], max(1, min(1000, int(span))) if span.isdecimal() else 1))
+                self.grids[-1].rows[-1].append(([], number(attributes.get("colspan", ""), 1, 1000, 1), number(attributes.get("rowspan", ""), 0, 65534, 1) or 65534))
                 self.flows.append(Flow())
             elif name == "caption":
                 self.flows.append(Flow())
         elif name in BLOCK:
             flow.block(name in MARGIN and not (name in ("ul", "ol", "menu", "dir") and self.lists))
             if name in ("ul", "ol", "menu", "dir"):
-                first = attributes.get("start", "1")
-                self.lists.append([(int(first) if re.fullmatch(r"-?\d{1,9}", first) else 1) if name == "ol" else None])
+                back = "reversed" in attributes
+                first = number(attributes["start"], -(10**9), 10**9, 1) if "start" in attributes else self.items() if back and name == "ol" else 1
+                self.lists.append([first if name == "ol" else None, -1 if back else 1])
             elif name == "li":
-                own = self.lists[-1] if self.lists else [None]
+                own = self.lists[-1] if self.lists else [None, 1]
+                if own[0] is not None and "value" in attributes:
+                    own[0] = number(attributes["value"], -(10**9), 10**9, own[0])
                 flow.mark = "" if not self.visible() else "- " if own[0] is None else f"{own[0]}. "
                 if own[0] is not None:
-                    own[0] += 1
+                    own[0] += own[1]
                 flow.indents.append("")
             elif name in ("blockquote", "dd"):
                 flow.indents.append("  ")
@@ -512,13 +577,10 @@ class Page:
         wall = WALLS - {name} if name in TABLE else WALLS
         if name in ("tr", "thead", "tbody", "tfoot", "table"):
             wall = frozenset(["table"]) - {name}
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == name:
-                while len(self.open) > k:
-                    self.pop()
-                return
-            if self.open[k][0] in wall:
-                return
+        to = self.depths[name][-1]
+        if to > max((self.depths[n][-1] for n in wall if n != name and self.depths.get(n)), default=-1):
+            while len(self.open) > to:
+                self.pop()
 
     def words(self, s: str) -> None:
         if self.in_closed():
@@ -531,7 +593,7 @@ class Page:
             if not s.strip():
                 return
             # text that stands in no cell is set before the table
-        s = unescape(s) if "&" in s else s
+        s = unescaped(s)
         s = s.replace("\xa0", " ") if not self.kept else s
         if self.kept:
             self.flows[-1].plain(s)
