@@ -13,15 +13,15 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.maths import two_sided_p
+from threadloom.functions.sums import partition_sum
 
 
 def expand(formula: str) -> tuple[str, list[tuple[str, ...]]]:
@@ -136,17 +136,12 @@ def model_matrix(df: DataFrame, formula: str) -> tuple[DataFrame, str, list[tupl
 
 
 def _sums(rows: DataFrame, step, size: int) -> np.ndarray:
-    """The sum over partitions of step(x, y), an array of size numbers."""
+    """The sum over all rows of step(x, y), an array of size numbers."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size)
-        for b in batches:
-            if len(b):
-                total += step(np.stack(b["x"].to_numpy()), b["y"].to_numpy())
-        yield pd.DataFrame({"s": [total.tobytes()]})
+    def of(batch: pa.RecordBatch) -> np.ndarray:
+        return step(batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1), batch.column("y").to_numpy())
 
-    parts = rows.mapInPandas(run, "s binary").toLocalIterator()
-    return sum((np.frombuffer(r["s"], float) for r in parts), np.zeros(size))
+    return partition_sum(rows, of, size)
 
 
 def _irls(rows: DataFrame, k: int, working, start: np.ndarray, steps: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:

@@ -106,9 +106,13 @@ def score_curve(df: DataFrame, feature: str, policies: tuple[P.Policy, ...], **o
 
 
 def leaderboard(scores: DataFrame) -> DataFrame:
-    """Mean utility by feature, cut-off and policy, with its rank from the top."""
+    """Mean utility by feature, cut-off and policy, with its rank from the top.
+
+    Means that agree to nine digits are tied, and ranked by name: policies of equal
+    scores keep their places whatever order the scores were added in.
+    """
     means = scores.groupBy("feature", "cutoff", "policy").agg(F.avg("value").alias("mean_value"))
-    top = Window.partitionBy("feature", "cutoff").orderBy(F.col("mean_value").desc(), "policy")
+    top = Window.partitionBy("feature", "cutoff").orderBy(F.round("mean_value", 9).desc(), "policy")
     return means.withColumn("place", F.row_number().over(top))
 
 

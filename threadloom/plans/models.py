@@ -56,12 +56,16 @@ def _diff_sql(a: str, b: str) -> str:
 
 MEANS_SQL = """WITH q AS (SELECT concat('s', l_suppkey) AS term, avg(l_quantity) AS e, stddev_samp(l_quantity) / sqrt(count(*)) AS s FROM lineitem GROUP BY 1),
 d AS (SELECT concat('s', l_suppkey) AS term, avg(l_discount) AS e, stddev_samp(l_discount) / sqrt(count(*)) AS s FROM lineitem GROUP BY 1), t AS (SELECT concat('s', l_suppkey) AS term, avg(l_tax) AS e, stddev_samp(l_tax) / sqrt(count(*)) AS s FROM lineitem GROUP BY 1)"""
+#: The tail of the normal density beyond |z|, by Simpson's rule over 8 standard deviations.
+P_SQL = """CAST(round(2 * exp(-z * z / 2) / sqrt(2 * pi()) * 8.0 / 2000 / 3 * list_sum(list_transform(range(0, 2001), lambda k: CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-abs(z) * k / 250.0 - k * k / 125000.0))), 9) + 0.0 AS DOUBLE)"""
 DIFF_COLUMNS = """term, round(coef_model1, 5) + 0.0 AS coef_model1, round(coef_model2, 5) + 0.0 AS coef_model2, round(coef_diff, 5) + 0.0 AS coef_diff, round(se_diff, 5) + 0.0 AS se_diff, round(coef_diff / se_diff, 4) + 0.0 AS z_value,
 round(coef_diff - 1.96 * se_diff, 5) + 0.0 AS ci_lower_95, round(coef_diff + 1.96 * se_diff, 5) + 0.0 AS ci_upper_95, round(coef_diff - 2.576 * se_diff, 5) + 0.0 AS ci_lower_99, round(coef_diff + 2.576 * se_diff, 5) + 0.0 AS ci_upper_99"""
+TESTED_COLUMNS = f"""{DIFF_COLUMNS}, {P_SQL} AS p_value"""
 
 
-def _five(df: DataFrame) -> DataFrame:
-    return rounded(df.withColumn("z_value", F.round("z_value", 4)), 5)
+def _five(df: DataFrame, *keep: str) -> DataFrame:
+    out = rounded(df.withColumn("z_value", F.round("z_value", 4)).withColumns({f"_{c}": F.struct(c) for c in keep}), 5)
+    return out.withColumns({c: F.col(f"_{c}.{c}") for c in keep}).drop(*[f"_{c}" for c in keep])
 
 
 @query(f"{MEANS_SQL}, x AS ({_diff_sql('q', 'd')}) SELECT {DIFF_COLUMNS} FROM x")
@@ -74,6 +78,23 @@ def compound_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _five(compare.compound(_means(spark, sf_dir, "l_quantity"), _means(spark, sf_dir, "l_discount"), _means(spark, sf_dir, "l_tax"), False))
 
 
+@query(f"{MEANS_SQL}, x AS ({_diff_sql('q', 'd')}), y AS (SELECT *, coef_diff / se_diff AS z FROM x) SELECT {TESTED_COLUMNS} FROM y")
+def coef_diff_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences with their p-values."""
+    return _tested(compare.difference(_means(spark, sf_dir, "l_quantity"), _means(spark, sf_dir, "l_discount")))
+
+
+@query(f"{MEANS_SQL}, v AS (SELECT term, coef_diff AS e, se_diff AS s FROM ({_diff_sql('d', 't')})), x AS (SELECT term, coef_model1 - 25.3 AS coef_model1, coef_model2, coef_diff - 25.3 AS coef_diff, se_diff FROM ({_diff_sql('q', 'v')})), y AS (SELECT *, coef_diff / se_diff AS z FROM x) SELECT {TESTED_COLUMNS} FROM y")
+def compound_diff_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compound differences of centred means, so that p-values of all sizes occur."""
+    centred = _means(spark, sf_dir, "l_quantity").withColumn("estimate", F.col("estimate") - 25.3)
+    return _tested(compare.compound(centred, _means(spark, sf_dir, "l_discount"), _means(spark, sf_dir, "l_tax")))
+
+
+def _tested(df: DataFrame) -> DataFrame:
+    return _five(df.withColumn("_p", F.round("p_value", 9) + 0.0).drop("p_value").withColumnRenamed("_p", "p_value").select(*[c for c in df.columns]), "p_value")
+
+
 @query(f"""{MEANS_SQL}, a AS (SELECT row_number() OVER (ORDER BY e DESC, term) AS place, term, round(e, 3) AS v FROM q), b AS (SELECT row_number() OVER (ORDER BY e DESC, term) AS place, term, round(e, 3) AS v FROM d)
 SELECT CAST(a.place AS INT) AS place, a.term AS up_term, a.v AS up_value, b.term AS down_term, b.v AS down_value FROM a JOIN b USING (place)""")
 def genre_ranking_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +126,51 @@ def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("l_quantity").alias("votes"), (F.col("l_tax") * 10).alias("tax"), (F.col("l_discount") * 10).alias("discount"), (F.col("l_returnflag") == "R").cast("int").alias("returned"), (F.col("l_linenumber") == 1).cast("int").alias("first"))
 
 
+CELLS_SQL = """WITH rows AS (SELECT CAST(l_returnflag = 'R' AS INT) AS y, CAST(l_linenumber = 1 AS INT) AS a, CAST(l_quantity > 25 AS INT) AS b, l_quantity AS votes FROM lineitem),
+c AS (SELECT a, b, sum(y)::DOUBLE AS ones, (count(*) - sum(y))::DOUBLE AS zeros, avg(votes) AS mean FROM rows GROUP BY ALL)"""
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem", "l_quantity", "l_returnflag", "l_linenumber")
+    return rows.select((F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_linenumber") == 1).cast("int").alias("a"), (F.col("l_quantity") > 25).cast("int").alias("b"), F.col("l_quantity").alias("votes"))
+
+
+def _contrasts_sql(value: str, variance: str | None) -> str:
+    """Coefficients of a saturated model over two dummies, as contrasts of a value of its four cells."""
+    cells = {f"v{a}{b}": f"max({value}) FILTER (a = {a} AND b = {b})" for a in (0, 1) for b in (0, 1)}
+    errors = {f"s{a}{b}": f"max({variance}) FILTER (a = {a} AND b = {b})" for a in (0, 1) for b in (0, 1)} if variance else {}
+    wide = ", ".join(f"{x} AS {n}" for n, x in (cells | errors).items())
+    terms = (("(Intercept)", "v00", "s00"), ("a", "v10 - v00", "s10 + s00"), ("b", "v01 - v00", "s01 + s00"), ("a:b", "v11 - v10 - v01 + v00", "s11 + s10 + s01 + s00"))
+    picked = " UNION ALL ".join(f"SELECT '{t}' AS term, round({e}, 6) + 0.0 AS estimate" + (f", round(sqrt({s}), 6) + 0.0 AS std_error" if variance else "") + " FROM w" for t, e, s in terms)
+    return f"{CELLS_SQL}, w AS (SELECT {wide} FROM c) {picked}"
+
+
+@query(_contrasts_sql("ln(ones / zeros)", "1 / ones + 1 / zeros"))
+def logit_saturated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logit over all combinations of two dummies: its estimates are contrasts of the cells' log odds."""
+    return rounded(glm.logit(_cells(spark, sf_dir), "y ~ a * b").tidy(spark).select("term", "estimate", "std_error"))
+
+
+@query(_contrasts_sql("ln(mean)", None))
+def negative_binomial_saturated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NB2 over all combinations of two dummies: whatever theta is, its estimates are contrasts of the cells' log means."""
+    return rounded(glm.negative_binomial(_cells(spark, sf_dir), "votes ~ a * b", rounds=8).tidy(spark).select("term", "estimate"))
+
+
+def _nested_sql(*by: str) -> str:
+    group = f"GROUP BY {', '.join(by)}" if by else ""
+    return f"SELECT sum(o * ln(o / (o + z)) + z * ln(z / (o + z))) AS ll, sum(o + z) AS n FROM (SELECT sum(ones) AS o, sum(zeros) AS z FROM c {group})"
+
+
+@query(f"""{CELLS_SQL}, m AS (SELECT 'empty' AS model, 1 AS k, * FROM ({_nested_sql()}) UNION ALL SELECT 'one', 2, * FROM ({_nested_sql('a')}) UNION ALL SELECT 'both', 4, * FROM ({_nested_sql('a', 'b')})),
+t AS (SELECT model, CAST(k AS INT) AS k, CAST(n AS BIGINT) AS n, ll, 2 * k - 2 * ll AS aic, k * ln(n) - 2 * ll AS bic FROM m)
+SELECT model, k, n, round(ll, 4) + 0.0 AS log_lik, round(aic, 4) + 0.0 AS aic, round(bic, 4) + 0.0 AS bic, CAST(rank() OVER (ORDER BY bic) AS INT) AS bic_rank, round(bic - min(bic) OVER (), 4) + 0.0 AS bic_delta FROM t""")
+def nested_logit_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three nested logits with AIC and BIC; each is saturated in what it has, so that its likelihood is that of its cells."""
+    rows = _cells(spark, sf_dir)
+    return rounded(compare.criteria(spark, {"empty": glm.logit(rows, "y ~ 1"), "one": glm.logit(rows, "y ~ a"), "both": glm.logit(rows, "y ~ a * b")}), 4)
+
+
 @query()
 def logit_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glm.logit(_votes(spark, sf_dir), "returned ~ tax + discount * first").tidy(spark)
@@ -124,7 +190,8 @@ def beta_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def boosted_trees_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _votes(spark, sf_dir).withColumn("key", F.monotonically_increasing_id())
+    lines = table(spark, sf_dir, "lineitem").withColumn("key", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    rows = lines.select("key", F.col("l_quantity").alias("votes"), (F.col("l_tax") * 10).alias("tax"), (F.col("l_discount") * 10).alias("discount"), (F.col("l_returnflag") == "R").cast("int").alias("returned"))
     train, test = trees.split(rows, "key")
     model = trees.fit(train, ["votes", "tax", "discount"], "returned", True, maxIter=5, maxDepth=3)
     return metrics.confusion(trees.predict(model, test), "returned", "pred")

@@ -79,6 +79,41 @@ def utility_sql(policies: tuple[str, ...], features: tuple[str, ...], cutoffs: t
     return f"WITH {FORUM_SQL}, {KEYS_SQL} {curve_sql(features)} SELECT * FROM ({rows}) WHERE policy IN ({wanted})"
 
 
+def grid_keys_sql(policies: tuple[P.Policy, ...], features: tuple[str, ...]) -> str:
+    """The sort keys and ranks of any policies, for curve_sql."""
+    named = {"pin_lr": "pred_nb", "pin_xgb": "pred_xgb"}
+    rows = []
+    for p in policies:
+        column, descends = P.ORDERINGS[p.ordering]
+        tree = p.layout == "rt"
+        value = f"{'-' if descends else ''}{'r.' if tree else 'c.'}{named.get(column, column)}"
+        pinned, place = ("r.pinned", "c.root_ord") if tree else ("c.pinned", "c.ord")
+        tie = f"-{place}" if tree and p.ordering in P.REVERSED else place
+        k0, k1, k2 = (f"CASE WHEN {pinned} THEN 0 ELSE 1 END", f"CASE WHEN {pinned} THEN {place} END", f"CASE WHEN NOT {pinned} THEN {value} END") if p.pinned else ("0", "NULL", value)
+        rows.append(f"SELECT c.article, '{p.name}' AS policy, c.n, c.n_roots, c.ord, {', '.join(f'c.{f}' for f in features)}, {k0} AS k0, {k1} AS k1, CAST({k2} AS DOUBLE) AS k2, {tie} AS k3 FROM drawn c JOIN drawn r ON c.article = r.article AND c.root_ord = r.ord{' WHERE c.is_root' if p.layout == 'rh' else ''}")
+    return f"""drawn AS (
+  SELECT *, CAST(CAST('0x' || substr(md5(comment_id || '-7'), 1, 13) AS BIGINT) AS DOUBLE) AS random, count(*) OVER (PARTITION BY article) AS n,
+         sum(CASE WHEN is_root THEN 1 ELSE 0 END) OVER (PARTITION BY article) AS n_roots
+  FROM forum
+), keyed AS ({' UNION ALL '.join(rows)}
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY article, policy ORDER BY k0 NULLS LAST, k1 NULLS LAST, k2 NULLS LAST, k3 NULLS LAST, ord) AS i FROM keyed
+)"""
+
+
+def grid_sql(features: tuple[str, ...], cutoffs: tuple) -> str:
+    """scores: article, policy, feature, cutoff and value of the whole grid."""
+    cells = [(f, k, "i < n" if k == "N" else f"i <= {k} AND ({k} < n OR i < n)") for f in features for k in cutoffs]
+    wide = ", ".join(f'avg({ratio_sql(f)}) FILTER ({inside}) AS "{f}|{k}"' for f, k, inside in cells)
+    return f"""WITH {FORUM_SQL}, {grid_keys_sql(P.GRID, features)} {curve_sql(features)}
+, wide AS (SELECT article, policy, {wide} FROM met WHERE n > 100 GROUP BY article, policy)
+, long AS (UNPIVOT wide ON COLUMNS(* EXCLUDE (article, policy)) INTO NAME cell VALUE x)
+, scores AS (SELECT article, policy, split_part(cell, '|', 1) AS feature, split_part(cell, '|', 2) AS cutoff, round(x, 6) + 0.0 AS value FROM long)
+, means AS (SELECT feature, cutoff, policy, avg(value) AS m FROM scores GROUP BY ALL)
+, board AS (SELECT feature, cutoff, policy, round(m, 9) + 0.0 AS mean_value, CAST(row_number() OVER (PARTITION BY feature, cutoff ORDER BY round(m, 9) DESC, policy) AS INT) AS place, count(*) OVER (PARTITION BY feature, cutoff) AS last FROM means)
+"""
+
+
 def _forum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.long_discussions(forum_ranking(spark, sf_dir)).drop("n")
 
@@ -183,26 +218,26 @@ def _grid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(U.utility(_forum(spark, sf_dir), ("lexdiv",), P.GRID, (10,)))
 
 
-@query()
+@query(f"""{grid_sql(("lexdiv",), (10, "N"))} SELECT feature, cutoff, policy, mean_value, place FROM board""")
 def policy_leaderboard_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places among all 66 policies."""
-    return rounded(U.leaderboard(_grid_scores(spark, sf_dir)), 5)
+    return rounded(U.leaderboard(_grid_scores(spark, sf_dir)), 9)
 
 
-@query()
+@query(f"""{grid_sql(("lexdiv",), (10, "N"))} SELECT feature, cutoff, policy, mean_value, CASE WHEN place = 1 THEN 'best' WHEN place = last THEN 'worst' ELSE 'default' END AS role FROM board WHERE place IN (1, last) OR policy = 'rev-chron_pinned_rt'""")
 def policy_selection_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best, worst and default of all 66 policies."""
-    return rounded(U.selected(_grid_scores(spark, sf_dir)), 5)
+    return rounded(U.selected(_grid_scores(spark, sf_dir)), 9)
 
 
-@query()
+@query(f"""{grid_sql(("lexdiv",), ("N",))} SELECT policy, round(quantile_cont(value, 0.25), 8) + 0.0 AS q25, round(quantile_cont(value, 0.5), 8) + 0.0 AS median, round(quantile_cont(value, 0.75), 8) + 0.0 AS q75 FROM scores GROUP BY policy""")
 def quartiles_by_policy_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quartiles of each of the 66 policies."""
     scores = _grid_scores(spark, sf_dir).filter("cutoff = 'N'")
-    return rounded(quartiles(scores, "value", "policy"), 5)
+    return rounded(quartiles(scores, "value", "policy"), 8)
 
 
-@query()
+@query(f"""{grid_sql(FEATURES, (10, 50, 100, "N"))} SELECT feature, cutoff, policy, mean_value, place FROM board""")
 def utility_full_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 66 policies, four features, four cut-offs; scores by policy over all discussions."""
-    return rounded(U.leaderboard(U.utility(_forum(spark, sf_dir), FEATURES)))
+    return rounded(U.leaderboard(rounded(U.utility(_forum(spark, sf_dir), FEATURES))), 9)
