@@ -293,3 +293,97 @@ def test_spans_of_cells_and_numbers_of_items():
     assert html_text.render(f"<table><tr><td>{long}<td>b<tr><td>c<td>d</table>") == f"{long}  b\nc{' ' * 61}d"
     assert html_text.render("<ol><li>a<li value=7>b<li>c</ol>") == "1. a\n7. b\n8. c"
     assert html_text.render("<ol reversed><li>a<li>b<ul><li>n</ul><li>c</ol>") == "3. a\n2. b\n   - n\n1. c"
+
+
+def test_quality_scores_equal_a_plain_computation(spark):
+    """Statistics, features, ridge, bins and calibration again, over all rows at once."""
+    import zlib
+
+    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    labels = labels.unionByName(labels.limit(5)).unionByName(spark.createDataFrame([(3, None, None), (None, 1, 0), (10**9, 1, 0)], labels.schema))
+    clash = docs.selectExpr("*", "1 as stats", "2 as label", "3 as score", "4 as calibrate").unionByName(docs.limit(2).selectExpr("cast(null as long) doc_id", "text", "lang", "source", "n_chars", "1 stats", "2 label", "3 score", "4 calibrate"))
+    got = {r.doc_id: r for r in quality_model.score(clash, labels.selectExpr("*", "1 as stats", "0 as text")).collect() if r.doc_id is not None}
+    stats = {r.doc_id: quality_model.statistics(r.text or "").astype("<f4").astype(float) for r in docs.collect()}
+    of = {d: zlib.crc32(str(d).encode()) % 5 for d in stats}
+    known = [(r.doc_id, r.quality) for r in labels.collect() if r.doc_id in stats and r.quality is not None and of[r.doc_id]]
+    x, y = np.array([stats[d] for d, _ in known]), np.array([q for _, q in known], float)
+    later = np.array([of[d] == 1 for d, _ in known])
+    fit_x, fit_y = x[~later], y[~later]
+    random = np.random.default_rng(11)
+    w = random.normal(size=(quality_model.STATS, quality_model.COSINES)) / np.sqrt(quality_model.STATS)
+    phase = random.uniform(0, 2 * np.pi, quality_model.COSINES)
+    centre, spread = fit_x.mean(axis=0), np.sqrt(np.maximum(0, (fit_x**2).mean(axis=0) - fit_x.mean(axis=0) ** 2)) + 1e-4
+
+    def features(s):
+        z = np.clip((s - centre) / spread, -6, 6)
+        return np.hstack([np.sqrt(2 / len(phase)) * np.cos(z @ w + phase), z / 10, np.ones((len(z), 1))])
+
+    a = features(fit_x)
+    # ridge as least squares over rows that also ask for small weights
+    weights = np.linalg.lstsq(np.vstack([a, np.sqrt(quality_model.PENALTY) * np.eye(a.shape[1])]), np.concatenate([fit_y, np.zeros(a.shape[1])]), rcond=None)[0]
+    raw = features(x[later]) @ weights
+    bins = np.clip(((raw + 0.5) / 2 * quality_model.BINS).astype(int), 0, quality_model.BINS - 1)
+    blocks = [[np.sum(bins == b), np.sum(y[later][bins == b]), np.sum(bins == b) * (-0.5 + (b + 0.5) / quality_model.BINS * 2)] for b in sorted(set(bins))]
+    k = 0
+    while k + 1 < len(blocks):  # any block above its next is pooled with it, from the start again
+        if blocks[k][1] / blocks[k][0] >= blocks[k + 1][1] / blocks[k + 1][0]:
+            blocks[k : k + 2] = [[p + q for p, q in zip(blocks[k], blocks[k + 1], strict=True)]]
+            k = 0
+        else:
+            k += 1
+    values = np.maximum.accumulate([(b[1] + 0.5) / (b[0] + 1) for b in blocks])
+    want = np.clip(np.interp(features(np.array(list(stats.values()))) @ weights, [b[2] / b[0] for b in blocks], values), 0, 1)
+    assert len(got) == len(stats)
+    for (d, _), s in zip(stats.items(), want, strict=True):
+        assert got[d].score == pytest.approx(s, abs=2e-5) and got[d].held_out == (of[d] == 0) and got[d].predicted == int(got[d].score >= 0.3)
+
+
+def test_versions_and_ablation_of_the_stored_ledger(spark):
+    texts = ["w " * 60, "WORDS AND MORE OF THEM " * 2 + " ".join(f"AB{k}" for k in range(60)), " ".join(f"good{k}" for k in range(60)), "", None, "### " * 70 + " ".join(f"a{k}" for k in range(60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as fail_bits", "2 as n_words")
+    book = rules.stored(docs)
+    rows = {r.doc_id: r for r in rules.apply(book, rules.BASE, rules.STRICT, rules.PLAIN).withColumn("alone", rules.alone(rules.STRICT)).collect()}
+    names = [n for n, _ in rules.RULES]
+    for r in rows.values():
+        failed = {n for k, n in enumerate(names) if r.fail_bits >> k & 1}
+        assert (r.kept_v1, r.kept_v2, r.kept_base) == (not failed, not failed - {"upper_case", "no_letters"}, not failed & {"too_few_words", "repeated_windows"})
+        assert r.alone == (failed.pop() if len(failed) == 1 else None)
+    assert rows[1].alone == "upper_case" and rows[1].kept_v2 and not rows[1].kept_v1 and rows[2].kept_v1
+    found = {r.rule: (r.failed, r.failed_alone) for r in rules.ablation(book, rules.STRICT).collect()}
+    for k, n in enumerate(names):
+        hit = [r for r in rows.values() if r.fail_bits >> k & 1]
+        if hit:
+            assert found[n] == (len(hit), sum(r.fail_bits == 1 << k for r in hit))
+
+
+def test_added_spans_follow_owners_and_repositories(spark):
+    """Values of further kinds in random documents, against counts of their distinct owners and documents."""
+    import random
+
+    r = random.Random(8)
+    values = [f"ghp_{''.join(r.choice('abcdefghijklmnopqrstuvwxyzABCDEFGHIJ23456789') for _ in range(30))}" for _ in range(12)]
+    rows, held = [], []
+    for d in range(400):
+        owner = r.choice(["a", "b", "c", None])
+        # the first values stay with one owner in few documents, the next with one owner in many, the rest go everywhere
+        some = [v for k, v in enumerate(values) if (k < 4 and owner == "a" and r.random() < 0.05) or (4 <= k < 8 and owner == "b" and r.random() < 0.6) or (k >= 8 and r.random() < 0.1)]
+        rows.append((d, " and ".join(some) + " end", owner))
+        held += [(v, owner, d) for v in some]
+    live = {v for v in values if len({o for w, o, _ in held if w == v}) <= secrets.OWNERS and len({d for w, _, d in held if w == v}) <= secrets.REPOSITORIES}
+    assert {v in live for v in values[:4] if any(v == w for w, *_ in held)} == {True} and not live & set(values[4:])
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as row", "2 as spans", "3 as owner", "4 as repository")
+    got = {x.doc_id: x.spans for x in secrets.report(df).collect()}
+    for d, text, _ in rows:
+        want = [f"prefixed:{text.index(v)}:{text.index(v) + len(v)}" for v in values if v in text and v in live]
+        assert [s for s in got[d].split(",") if s] == want
+
+
+def test_very_long_texts_and_repeated_rows_with_secrets_and_scores(spark):
+    long = "filler words here " * 200_000 + "password = hunter2secret"
+    df = spark.createDataFrame([(1, long, "s"), (1, long, "s"), (2, None, None), (None, "", "s")], "doc_id long, text string, source string")
+    got = sorted(((r.doc_id or 0, r.n_assign, r.spans) for r in secrets.report(df).collect()))
+    at = long.index("password")
+    assert got == [(0, 0, ""), (1, 1, f"assign:{at}:{len(long)}"), (1, 1, f"assign:{at}:{len(long)}"), (2, 0, "")]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    scores = sorted((r.doc_id or 0, r.score) for r in quality_model.score(df, labels).collect())
+    assert [d for d, _ in scores] == [0, 1, 1, 2] and all(0 <= s <= 1 for _, s in scores) and scores[1] == scores[2]

@@ -2,8 +2,8 @@
 
 Statistics of the whole text stand for a document. Cosines of random
 projections of them approximate a Gaussian kernel. Each partition of the
-training rows sums its own normal equations, and the driver adds these sums (a
-fixed number of them) and solves for the ridge weights. Scores of a fold that
+training rows sums its own normal equations; these are added in groups, and the
+driver gets a few of them and solves for the ridge weights. Scores of a fold that
 the ridge fit did not see are counted in fixed bins, and pool-adjacent-violators
 over the bins calibrates all scores to 0..1.
 """
@@ -18,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions.sums import partition_sum
 from threadloom.llm.shared import by_bytes, materialise, renamed, whole_texts
 
 #: Random cosines, the kernel's width over the root of the statistics' number, and the ridge penalty.
 COSINES, WIDTH, PENALTY = 256, 1.0, 1e-2
-#: Partitions that sum normal equations; so many matrices reach the driver.
-SUMS = 16
+#: Least partitions that sum normal equations, and labelled rows of one where there are more.
+PARTS, ROWS = 16, 20_000
 #: Bins of ridge scores for the calibration, over LOW..HIGH.
 BINS, LOW, HIGH = 1000, -0.5, 1.5
 STATS = 22
@@ -102,39 +103,27 @@ class Model:
         return np.clip(raw if self.knots is None else np.interp(raw, self.knots, self.values), 0.0, 1.0)
 
 
-def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((3, STATS))
-    for batch in batches:
-        x = _matrix(batch.column("stats"))
-        total += [np.full(STATS, len(x)), x.sum(axis=0), (x * x).sum(axis=0)]
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+def _moments(batch: pa.RecordBatch) -> np.ndarray:
+    x = _matrix(batch.column("stats"))
+    return np.concatenate([np.full(STATS, len(x)), x.sum(axis=0), (x * x).sum(axis=0)])
 
 
-def _equations(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            if batch.num_rows:
-                x = np.hstack([model.features(_matrix(batch.column("stats"))), np.asarray(batch.column("label").to_numpy(zero_copy_only=False), np.float64)[:, None]])
-                total = x.T @ x if total is None else total + x.T @ x
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+def _equations(model: Model) -> Callable[[pa.RecordBatch], np.ndarray]:
+    def step(batch: pa.RecordBatch) -> np.ndarray:
+        label = np.asarray(batch.column("label").to_numpy(zero_copy_only=False), np.float64)
+        x = np.hstack([model.features(_matrix(batch.column("stats"))), label[:, None]])
+        return (x.T @ x).ravel()
 
-    return run
+    return step
 
 
-def _binned(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, ones = np.zeros(BINS), np.zeros(BINS)
-        for batch in batches:
-            if batch.num_rows:
-                raw = model.ridge(_matrix(batch.column("stats")))
-                at = np.clip(((raw - LOW) / (HIGH - LOW) * BINS).astype(int), 0, BINS - 1)
-                n += np.bincount(at, minlength=BINS)
-                ones += np.bincount(at, batch.column("label").to_numpy(zero_copy_only=False), minlength=BINS)
-        yield pa.RecordBatch.from_arrays([pa.array([np.stack([n, ones]).tobytes()], pa.binary())], ["sums"])
+def _binned(model: Model) -> Callable[[pa.RecordBatch], np.ndarray]:
+    def step(batch: pa.RecordBatch) -> np.ndarray:
+        raw = model.ridge(_matrix(batch.column("stats")))
+        at = np.clip(((raw - LOW) / (HIGH - LOW) * BINS).astype(int), 0, BINS - 1)
+        return np.concatenate([np.bincount(at, minlength=BINS), np.bincount(at, batch.column("label").to_numpy(zero_copy_only=False), minlength=BINS)])
 
-    return run
+    return step
 
 
 def isotonic(n: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,26 +146,25 @@ def isotonic(n: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return knots, values
 
 
-def _total(df: DataFrame, shape: tuple[int, int]) -> np.ndarray:
-    out = np.zeros(shape)
-    for row in df.toLocalIterator():
-        out += np.frombuffer(row["sums"], np.float64).reshape(shape)
-    return out
-
-
 def fold(doc_id: Column, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo folds; a null id is in no fold."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
 def fit(rows: DataFrame, seed: int = 11) -> Model:
-    """rows: stats, label (0 or 1), calibrate (boolean: the fold for the calibration).
+    """rows: doc_id, stats, label (0 or 1), calibrate (boolean: the fold for the calibration).
 
     Without rows all scores are 0.5; without a calibration fold that holds both
-    labels the ridge scores are only clipped.
+    labels the ridge scores are only clipped. Rows are dealt by a hash of their id
+    and ordered before they are summed, so that reruns add in the same order.
     """
-    rows = materialise(rows.repartition(SUMS), "quality-training")
-    n, first, second = _total(rows.filter("not calibrate").select("stats").coalesce(SUMS).mapInArrow(_moments, "sums binary"), (3, STATS))
+    rows = materialise(rows, "quality-training")
+    parts = max(PARTS, -(-rows.count() // ROWS))
+
+    def dealt(wanted: str) -> DataFrame:
+        return rows.filter(wanted).repartition(parts, "doc_id").sortWithinPartitions("doc_id", "stats", "label").select("stats", "label")
+
+    n, first, second = partition_sum(dealt("not calibrate"), _moments, 3 * STATS, parts).reshape(3, STATS)
     count = max(1.0, n[0])
     centre = first / count
     random = np.random.default_rng(seed)
@@ -184,10 +172,10 @@ def fit(rows: DataFrame, seed: int = 11) -> Model:
     if not n[0]:
         return model
     size = COSINES + STATS + 2
-    sums = _total(rows.filter("not calibrate").select("stats", "label").coalesce(SUMS).mapInArrow(_equations(model), "sums binary"), (size, size))
+    sums = partition_sum(dealt("not calibrate"), _equations(model), size * size, parts).reshape(size, size)
     gram, right = sums[:-1, :-1], sums[:-1, -1]
     model.weights = np.linalg.solve(gram + PENALTY * np.eye(size - 1), right)
-    total, ones = _total(rows.filter("calibrate").select("stats", "label").coalesce(SUMS).mapInArrow(_binned(model), "sums binary"), (2, BINS))
+    total, ones = partition_sum(dealt("calibrate"), _binned(model), 2 * BINS, parts).reshape(2, BINS)
     if 0 < ones.sum() < total.sum():
         model.knots, model.values = isotonic(total, ones)
     return model
@@ -207,14 +195,15 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out:
 
     labels: doc_id and the label column; other values than 0 and 1 are left
     out. Rows of fold held_out are never learnt from, those of fold calibrate
-    only calibrate. Null and empty texts are scored by their statistics; a null
-    id is in no fold, so not held out. Repeated labels count as often as they
-    stand; an empty table gives no rows.
+    only calibrate. Null and empty texts are scored by their statistics, texts of any length by all of theirs; a null
+    id is in no fold, so not held out, and has no label. Rows of docs that share an id are scored and learnt from each on
+    its own; repeated labels count as often as they stand, null ones not at all. Columns other than those named are
+    ignored, whatever their names. An empty table gives no rows.
     """
     rows = renamed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     stats = materialise(rows.mapInArrow(_measured, "doc_id long, stats binary"), "quality-statistics")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("double").alias("label")).filter(f"label in (0, 1) and crc32(cast(cast(doc_id as string) as binary)) % 5 <> {held_out}")
-    training = stats.join(known, "doc_id").select("stats", "label", (fold(F.col("doc_id")) == calibrate).alias("calibrate"))
+    training = stats.join(known, "doc_id").select("doc_id", "stats", "label", (fold(F.col("doc_id")) == calibrate).alias("calibrate"))
     model = fit(training)
     scored = stats.mapInArrow(_scored(model), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -42,9 +42,11 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = rules.apply(rules.ledger(table(spark, sf_dir, "documents")), rules.BASE, rules.STRICT)
+    book = rules.stored(table(spark, sf_dir, "documents"))
+    spared = rules.ablation(book, rules.STRICT).select(F.col("rule").alias("only_rule"), F.col("failed_alone").alias("n_only_rule"))  # a row a rule
+    book = rules.apply(book, rules.BASE, rules.STRICT, rules.PLAIN).withColumn("only_rule", rules.alone(rules.STRICT)).join(F.broadcast(spared), "only_rule", "left")
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return book.select("doc_id", *counts, (~F.col("kept_base")).alias("base_failed"), F.col("kept_v1").alias("kept"), "fail_bits")
+    return book.select("doc_id", *counts, (~F.col("kept_base")).alias("base_failed"), F.col("kept_v1").alias("kept"), "fail_bits", "kept_v2", "only_rule", "n_only_rule")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +144,9 @@ WITH t AS (
     + CASE WHEN n_words > 0 AND 2 * n_letters < word_chars THEN 128 ELSE 0 END AS BIGINT) AS fail_bits
   FROM m
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM f
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits, fail_bits & 63 = 0 AS kept_v2,
+  CASE fail_bits WHEN 1 THEN 'too_few_words' WHEN 2 THEN 'repeated_windows' WHEN 4 THEN 'short_words' WHEN 8 THEN 'long_words' WHEN 16 THEN 'symbols' WHEN 32 THEN 'repeated_lines' WHEN 64 THEN 'upper_case' WHEN 128 THEN 'no_letters' END AS only_rule,
+  CASE WHEN fail_bits IN (1, 2, 4, 8, 16, 32, 64, 128) THEN count(*) OVER (PARTITION BY fail_bits) END AS n_only_rule FROM f
 """
 
 EMBEDDING_SQL = """

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import renamed
+from threadloom.llm.shared import materialise, renamed
 
 BLANK = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]"
@@ -45,8 +45,10 @@ class Policy:
         return sum(1 << names.index(r) for r in self.rules)
 
 
+#: Versions of the policy; a later one replaces an earlier one without reading a text again.
 BASE = Policy("base", ("too_few_words", "repeated_windows"))
 STRICT = Policy("v1", tuple(n for n, _ in RULES))
+PLAIN = Policy("v2", tuple(n for n, _ in RULES if n not in ("upper_case", "no_letters")))
 
 
 def _let(value: Column, body) -> Column:
@@ -104,7 +106,8 @@ def ledger(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, MEASURES (long) and fail_bits (long) of every row.
 
     A null text is empty: no words, lines or letters. Rows are measured alone,
-    so repeated rows and null ids are as any other; an empty table gives no
+    so repeated rows and null ids are as any other; texts of any length are measured whole. Columns other than
+    text and those kept are ignored, whatever their names. An empty table gives no
     rows.
     """
     rows = renamed(docs, *keep, "text") if "text" not in keep else renamed(docs, *keep)
@@ -117,6 +120,11 @@ def ledger(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     return flat.withColumn("fail_bits", total)
 
 
+def stored(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ledger as a written table: what policies and ablations read, so that each text is measured once."""
+    return materialise(ledger(docs, keep), "rules-ledger")
+
+
 def passes(policy: Policy) -> Column:
     """Whether a row of the ledger fails none of the policy's rules."""
     return F.col("fail_bits").bitwiseAND(F.lit(policy.mask).cast("long")) == 0
@@ -127,6 +135,12 @@ def apply(book: DataFrame, *policies: Policy) -> DataFrame:
     return book.withColumns({f"kept_{p.version}": passes(p) for p in policies})
 
 
+def alone(policy: Policy) -> Column:
+    """The name of the policy's rule that alone rejects a row; null if none or several do."""
+    bits = F.col("fail_bits").bitwiseAND(F.lit(policy.mask).cast("long"))
+    return F.coalesce(*[F.when(bits == (1 << k), n) for k, (n, _) in enumerate(RULES)])
+
+
 def ablation(book: DataFrame, policy: Policy) -> DataFrame:
     """(rule, failed, failed_alone): rows that a rule fails, and those that only it rejects.
 
