@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import Coder, by_bytes, divisible, renamed, spread, whole_texts
+from threadloom.llm.shared import Coder, by_bytes, divisible, in_arrow, renamed, spread, whole_texts
 
 #: Neighbour pairs that a worker remembers.
 PAIRS = 300_000
@@ -273,4 +273,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(hashes), pa.array(back), pa.array(raw, pa.binary())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
     rows = renamed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
+    return in_arrow(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")

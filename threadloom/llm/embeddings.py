@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.components import local_roots, roots
-from threadloom.llm.shared import materialise, renamed
+from threadloom.llm.shared import in_arrow, materialise, renamed
 
 TILE = 2048
 #: int8 dot products of more dimensions than this don't stay exact in float32.
@@ -141,7 +141,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = TIL
     """
     rows = renamed(vectors, "vec_id", "embedding", "label").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     kind = "<f4" if rows.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
-    rows = materialise(rows.mapInArrow(_prepared(kind), f"vec_id long, label {rows.schema['label'].dataType.simpleString()}, key binary, raw binary, dims int, shadow double"), "embedding-rows")
+    rows = materialise(in_arrow(rows, _prepared(kind), f"vec_id long, label {rows.schema['label'].dataType.simpleString()}, key binary, raw binary, dims int, shadow double"), "embedding-rows")
     group = ["label", "dims", "key"]
     valid = rows.filter("key is not null and label is not null and vec_id is not null")
     # equal vectors of a label are one group; the written number stands for it from here on

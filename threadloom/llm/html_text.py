@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import by_bytes, renamed, whole_texts
+from threadloom.llm.shared import by_bytes, in_arrow, renamed, whole_texts
 
 # Names of HTML elements by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -651,4 +651,4 @@ def extract(pages: DataFrame) -> DataFrame:
     or repeated ids and rows are as any other; an empty table gives no rows.
     """
     rows = renamed(pages, "page_id", "html").select(F.col("page_id").cast("long").alias("page_id"), "html")
-    return rows.mapInArrow(_rendered, "page_id long, text string, n_chars long")
+    return in_arrow(rows, _rendered, "page_id long, text string, n_chars long")

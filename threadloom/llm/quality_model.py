@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.sums import partition_sum
-from threadloom.llm.shared import by_bytes, materialise, renamed, whole_texts
+from threadloom.llm.shared import by_bytes, in_arrow, materialise, renamed, whole_texts
 
 #: Random cosines, the kernel's width over the root of the statistics' number, and the ridge penalty.
 COSINES, WIDTH, PENALTY = 256, 1.0, 1e-2
@@ -201,9 +201,9 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out:
     ignored, whatever their names. An empty table gives no rows.
     """
     rows = renamed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    stats = materialise(rows.mapInArrow(_measured, "doc_id long, stats binary"), "quality-statistics")
+    stats = materialise(in_arrow(rows, _measured, "doc_id long, stats binary"), "quality-statistics")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("double").alias("label")).filter(f"label in (0, 1) and crc32(cast(cast(doc_id as string) as binary)) % 5 <> {held_out}")
     training = stats.join(known, "doc_id").select("doc_id", "stats", "label", (fold(F.col("doc_id")) == calibrate).alias("calibrate"))
     model = fit(training)
-    scored = stats.mapInArrow(_scored(model), "doc_id long, score double")
+    scored = in_arrow(stats, _scored(model), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

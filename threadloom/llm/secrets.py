@@ -25,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import by_bytes, materialise, renamed, whole_texts
+from threadloom.llm.shared import by_bytes, in_arrow, materialise, renamed, whole_texts
 
 #: The base kinds in their order, their patterns, the group that is the value, and its least length.
 BASE = (
@@ -110,7 +110,7 @@ def find(docs: DataFrame, owner: str = "source", repository: str = "doc_id", kee
     """
     rows = docs.select("row", "text", F.col(f"`{repository}`").cast("string").alias("repository"), F.col(f"`{owner}`").cast("string").alias("owner"), *[F.col(f"`{c}`") for c in keep])
     kept = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    found = materialise(rows.mapInArrow(_scanned(keep), ", ".join([f"row {docs.schema['row'].dataType.simpleString()}, repository string, owner string", *kept, f"spans array<{SPAN}>"])), "secret-spans")
+    found = materialise(in_arrow(rows, _scanned(keep), ", ".join([f"row {docs.schema['row'].dataType.simpleString()}, repository string, owner string", *kept, f"spans array<{SPAN}>"])), "secret-spans")
     each = found.filter("size(spans) > 0").select("row", "owner", "repository", F.explode("spans").alias("s")).select("row", "owner", "repository", "s.*")
     counts = ownership(each)
     judged = each.join(counts, "value").withColumn("live", F.col("random") & (F.col("owners") <= OWNERS) & (F.col("repositories") <= REPOSITORIES))
@@ -159,7 +159,7 @@ def redacted(texts: DataFrame) -> DataFrame:
             names = [f.name for f in schema]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names], names)
 
-    return texts.mapInArrow(run, schema)
+    return in_arrow(texts, run, schema)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Bytes of text handled at once in a Python worker; one longer text goes alone.
 BATCH_BYTES = 4 << 20
+#: Bytes of an Arrow batch between an executor and its Python worker.
+ARROW_BYTES = 8 << 20
 
 
 def workspace(spark: SparkSession, label: str) -> str:
@@ -77,6 +79,24 @@ def release() -> None:
         _TRIM(0)
 
 
+def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(f, schema) in batches of at most about ARROW_BYTES.
+
+    Spark's own limits, 10,000 rows and 64 MB, let a batch of long texts hold many
+    times what its rows need in the executor and in the worker; the session's limit
+    is lowered for all that follows. Workers give free memory back at their end.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches re-cut so that each holds about limit bytes of a text column.
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.components import local_roots, roots
-from threadloom.llm.shared import by_bytes, materialise, renamed
+from threadloom.llm.shared import by_bytes, in_arrow, materialise, renamed
 
 BITS, BUDGET, SEED = 64, 2, 42
 #: Bits that texts of a similarity of 0.8 differ in at most, but for one pair in thousands, and the shingle samples that find them:
@@ -105,7 +105,7 @@ def _fingerprints(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def fingerprints(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, fp) of every row; fp holds the 64 bits as a signed long; a null text is empty."""
     rows = renamed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(_fingerprints(width), "doc_id long, fp long")
+    return in_arrow(rows, _fingerprints(width), "doc_id long, fp long")
 
 
 def _node(distinct: np.ndarray) -> int:
@@ -320,7 +320,7 @@ def links(fps: DataFrame, budget: int = BUDGET, subtrie: int = SUBTRIE) -> DataF
     dealt = marked.withColumn("prefix", F.when(F.col("bits") > 0, prefix).otherwise(0)).select("turn", "block", "key", F.explode(own).alias("o")).select("turn", "block", "o.a", "o.b", "o.side", "key")
     # signed order with the top bit turned over is unsigned order; inside a block only the bits below it count
     ordered = dealt.repartition("turn", "block", "a", "b").sortWithinPartitions("turn", "block", "a", "b", "side", F.col("key").bitwiseXOR(F.lit(-(1 << 63))))
-    return ordered.mapInArrow(_traverse(budget, _blocks(budget)), "u long, v long")
+    return in_arrow(ordered, _traverse(budget, _blocks(budget)), "u long, v long")
 
 
 class Verifier:
@@ -432,10 +432,10 @@ def similar_links(rows: DataFrame, texts: DataFrame, width: int, budget: int, si
     trees = crowded.groupBy("size", "m1", "m2").agg(F.min(F.struct("turn", "block")).alias("t")).select("t.*")
     dealt = materialise(each.join(trees, ["turn", "block"], "left_semi").select("turn", "block", "node", F.col("fp").alias("key")), "simhash-candidates")
     wanted = dealt.select("node").distinct()
-    sets = _marked(texts.mapInArrow(_sets(width), "node long, shingles binary"), wanted).join(wanted, "node", "left_semi")
+    sets = _marked(in_arrow(texts, _sets(width), "node long, shingles binary"), wanted).join(wanted, "node", "left_semi")
     sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
     ordered = dealt.join(sets, "node").repartition("turn", "block").sortWithinPartitions("turn", "block", F.col("key").bitwiseXOR(F.lit(-(1 << 63)))).select("turn", "block", "key", "node", "shingles")
-    return ordered.mapInArrow(_verified(budget, similarity), "u long, v long")
+    return in_arrow(ordered, _verified(budget, similarity), "u long, v long")
 
 
 def components(fps: DataFrame, budget: int = BUDGET, subtrie: int = SUBTRIE) -> DataFrame:
@@ -482,7 +482,7 @@ def deduplicate_similar(docs: DataFrame, width: int = 5, budget: int = SIMILAR,
     empty texts are one set.
     """
     rows = renamed(docs, "doc_id", "text").withColumn("text", F.col("text").cast("binary"))
-    sampled = materialise(rows.mapInArrow(_sampled(width, classes, least), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long, node long, keys array<long>"), "simhash-samples")
+    sampled = materialise(in_arrow(rows, _sampled(width, classes, least), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long, node long, keys array<long>"), "simhash-samples")
     each = sampled.groupBy("node").agg(F.min("doc_id").alias("doc_id")).select(F.col("node").alias("fp"), "doc_id")
     found = _components(each, similar_links(sampled, rows.select("text"), width, budget, similarity)).select(F.col("fp").alias("node"), F.col("component").alias("component_id"))
     return sampled.select("doc_id", "fp", "node").join(found, "node", "left").select("doc_id", "fp", "component_id")

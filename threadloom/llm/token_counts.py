@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import Chunks, Known, by_bytes, divisible, renamed, whole_texts
+from threadloom.llm.shared import Chunks, Known, by_bytes, divisible, in_arrow, renamed, whole_texts
 
 #: SentencePiece's mark for a space.
 MARK = "▁"
@@ -125,4 +125,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 4096) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.cast(pc.binary_length(texts), pa.int64()), pa.array(tokens(texts))], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = renamed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return in_arrow(rows, run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import Coder, by_bytes, divisible, renamed, spread, whole_texts, workspace
+from threadloom.llm.shared import Coder, by_bytes, divisible, in_arrow, renamed, spread, whole_texts, workspace
 
 #: Ids in a word and bits of each, by selector from 1 on.
 LAYOUT = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -187,7 +187,7 @@ def write_ids(docs: DataFrame, coder: Callable[[], Coder], path: str, end_id: in
     text is empty, equal rows are all written.
     """
     ordered = renamed(docs, "doc_id", "text").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    ordered.mapInArrow(_blocks(coder, end_id), BLOCKS).write.option("compression", "zstd").parquet(f"{path}/ids")
+    in_arrow(ordered, _blocks(coder, end_id), BLOCKS).write.option("compression", "zstd").parquet(f"{path}/ids")
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +213,7 @@ def read_documents(spark, path: str) -> DataFrame:
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    rows = blocks.mapInArrow(_documents, "doc_id long, shard long, place long, n_tokens long, ids_crc32 long")
+    rows = in_arrow(blocks, _documents, "doc_id long, shard long, place long, n_tokens long, ids_crc32 long")
     return rows.join(bases, "shard").select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
