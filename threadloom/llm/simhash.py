@@ -432,7 +432,8 @@ def similar_links(rows: DataFrame, texts: DataFrame, width: int, budget: int, si
     trees = crowded.groupBy("size", "m1", "m2").agg(F.min(F.struct("turn", "block")).alias("t")).select("t.*")
     dealt = materialise(each.join(trees, ["turn", "block"], "left_semi").select("turn", "block", "node", F.col("fp").alias("key")), "simhash-candidates")
     wanted = dealt.select("node").distinct()
-    sets = _marked(in_arrow(texts, _sets(width), "node long, shingles binary"), wanted).join(wanted, "node", "left_semi")
+    # an inner join: the optimiser would ask a semi join before the map
+    sets = _marked(in_arrow(texts, _sets(width), "node long, shingles binary"), wanted).join(wanted, "node")
     sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
     ordered = dealt.join(sets, "node").repartition("turn", "block").sortWithinPartitions("turn", "block", F.col("key").bitwiseXOR(F.lit(-(1 << 63)))).select("turn", "block", "key", "node", "shingles")
     return in_arrow(ordered, _verified(budget, similarity), "u long, v long")
@@ -448,12 +449,13 @@ def components(fps: DataFrame, budget: int = BUDGET, subtrie: int = SUBTRIE) ->
 
 def _components(fps: DataFrame, found: DataFrame) -> DataFrame:
     """Only nodes with a link are grouped; a component's smallest doc_id is summed up before any exchange
-    by root and written, so that the join back reads two plain exchanges, of which a large component's can be split."""
+    by root and written, and so is the result: joins back to members, and to rows, read two plain exchanges,
+    of which a large component's or a much copied text's can be split."""
     moved = roots(found, "simhash-links").select(F.col("node").alias("fp"), "root")
     held = moved.unionByName(moved.select(F.col("root").alias("fp"), "root").distinct())
     least = materialise(held.join(fps, "fp").groupBy("root").agg(F.min("doc_id").alias("component")), "simhash-components")
-    named = materialise(held.join(least, "root").select("fp", "component"), "simhash-members")
-    return fps.join(named, "fp", "left").select("fp", F.coalesce("component", "doc_id").alias("component"))
+    named = held.join(least, "root").select("fp", "component")
+    return materialise(fps.join(named, "fp", "left").select("fp", F.coalesce("component", "doc_id").alias("component")), "simhash-members")
 
 
 def deduplicate(docs: DataFrame, width: int = 5, budget: int = BUDGET, subtrie: int = SUBTRIE) -> DataFrame:
