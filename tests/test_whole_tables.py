@@ -54,3 +54,23 @@ def test_quartiles_of_the_whole_grid(spark, sf, grid):
     assert len(rows) == 66
     for r in rows:
         assert [r.q25, r.median, r.q75] == pytest.approx(np.quantile(grid["N", r.policy], [0.25, 0.5, 0.75]), abs=2e-5)
+
+
+def test_global_numbers_with_ties_and_nulls(spark):
+    from threadloom.operators import relational
+
+    rows = [(k, None if k % 17 == 0 else k * 7 % 10) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, v int")
+    got = [r.id for r in relational.global_number(df, "v", ["id"], "place", parts=6).orderBy("place").collect()]
+    assert got == [k for k, _ in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))]
+    assert relational.global_number(df.limit(0), "v", ["id"], "place").count() == 0
+
+
+def test_smaller_models_stand_beside_the_largest(spark):
+    from threadloom.operators import compare
+
+    def fit(**terms):
+        return spark.createDataFrame([(t, float(v)) for t, v in terms.items()], "term string, estimate double")
+
+    got = sorted(tuple(r) for r in compare.aligned_coefficients({"less": fit(a=1, z=9), "full": fit(a=2, b=3, c=4)}).collect())
+    assert got == [("a", 1.0, 2.0), ("b", None, 3.0), ("c", None, 4.0)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.maths import intervals, two_sided_p
 from threadloom.operators.glm import Fit
-from threadloom.operators.relational import aligned, average_rank
+from threadloom.operators.relational import average_rank
 
 
 def difference(a: DataFrame, b: DataFrame, p_values: bool = True) -> DataFrame:
@@ -27,7 +27,12 @@ def compound(pins: DataFrame, up: DataFrame, down: DataFrame, p_values: bool = T
 
 def aligned_coefficients(fits: dict[str, DataFrame], value: str = "estimate") -> DataFrame:
     """One column a model, for the terms of the model with the most; terms that a model lacks are null."""
-    return aligned(list(fits.items()), "term", value)
+    largest = max(fits, key=lambda name: fits[name].count())  # a row a term
+    out = fits[largest].select("term", F.col(value).alias(largest))
+    for name, df in fits.items():
+        if name != largest:
+            out = out.join(df.select("term", F.col(value).alias(name)), "term", "left")
+    return out.select("term", *fits)
 
 
 def criteria(spark: SparkSession, fits: dict[str, Fit]) -> DataFrame:

@@ -34,6 +34,28 @@ def first_per_group(df: DataFrame, by: list[str], order: list[Column | str]) ->
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def global_number(df: DataFrame, key: str, ties: list[str], name: str, parts: int = 64) -> DataFrame:
+    """Row numbers over all rows by key and ties, from 1, without bringing all rows to one task.
+
+    Quantiles of the key cut the rows into parts buckets; rows are numbered inside
+    a bucket, after the counts of the buckets before it. What the driver holds is
+    a number a bucket. key: a number, date or time; null keys come first.
+    """
+    value = F.expr(f"cast(cast(`{key}` as timestamp) as double)") if dict(df.dtypes)[key] in ("date", "timestamp", "timestamp_ntz") else F.col(key).cast("double")
+    cuts = df.select(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10 * parts).alias("q")).first()["q"] or []
+    cuts = sorted(set(cuts))
+    above = [F.when(value > c, k + 1) for k, c in reversed(list(enumerate(cuts)))]
+    placed = df.withColumn("_bucket", F.coalesce(*above, F.lit(0)))
+    counts = {r["_bucket"]: r["n"] for r in placed.groupBy("_bucket").agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for k in range(len(cuts) + 1):
+        before.append(total)
+        total += counts.get(k, 0)
+    inside = Window.partitionBy("_bucket").orderBy(F.col(key).asc_nulls_first(), *ties)
+    first = F.element_at(F.array(*[F.lit(n).cast("long") for n in before]), F.col("_bucket") + 1)
+    return placed.withColumn(name, F.row_number().over(inside) + first).drop("_bucket")
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, so that sums made in another order compare equal."""
     return df.withColumns({c: F.round(c, digits) + 0.0 for c, t in df.dtypes if t == "double"})

@@ -171,6 +171,14 @@ def nested_logit_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(compare.criteria(spark, {"empty": glm.logit(rows, "y ~ 1"), "one": glm.logit(rows, "y ~ a"), "both": glm.logit(rows, "y ~ a * b")}), 4)
 
 
+@query(f"""{MEANS_SQL}, small AS (SELECT * FROM d WHERE term LIKE '%1%'), most AS (SELECT * FROM t WHERE term NOT LIKE '%7%' OR term = 's7') SELECT term, round(q.e, 5) + 0.0 AS whole, round(small.e, 5) + 0.0 AS small, round(most.e, 5) + 0.0 AS most FROM q LEFT JOIN small USING (term) LEFT JOIN most USING (term)""")
+def aligned_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates of smaller models beside those of the one with the most terms."""
+    small = _means(spark, sf_dir, "l_discount").filter("term like '%1%'")
+    most = _means(spark, sf_dir, "l_tax").filter("term not like '%7%' or term = 's7'")
+    return rounded(compare.aligned_coefficients({"whole": _means(spark, sf_dir, "l_quantity"), "small": small, "most": most}), 5)
+
+
 @query()
 def logit_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glm.logit(_votes(spark, sf_dir), "returned ~ tax + discount * first").tidy(spark)

@@ -149,16 +149,16 @@ def one_hot_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dummies(rows, "flag", ["A", "N", "R"], base="N").groupBy("flag", "flag_A", "flag_R").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS INT) AS order_all, strftime(o_orderdate, '%Y-%m-%d') AS day, round(ln(o_totalprice), 6) + 0.0 AS log_price FROM orders WHERE o_orderdate < TIMESTAMP '1996-06-01'")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS order_all, strftime(o_orderdate, '%Y-%m-%d') AS day, round(ln(o_totalprice), 6) + 0.0 AS log_price FROM orders")
 def global_row_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate", "o_totalprice").filter("o_orderdate < timestamp_ntz'1996-06-01'")
-    return R.rounded(rows.select("o_orderkey", F.row_number().over(Window.orderBy("o_orderdate", "o_orderkey")).alias("order_all"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), maths.positive_log("o_totalprice").alias("log_price")))
+    rows = R.global_number(table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate", "o_totalprice"), "o_orderdate", ["o_orderkey"], "order_all")
+    return R.rounded(rows.select("o_orderkey", "order_all", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), maths.positive_log("o_totalprice").alias("log_price")))
 
 
-@query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS INT) AS order_all FROM orders")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS order_all FROM orders")
 def global_row_number_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over all orders, without a date at which they end."""
-    return table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate").select("o_orderkey", F.row_number().over(Window.orderBy("o_orderdate", "o_orderkey")).alias("order_all"))
+    return R.global_number(table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate"), "o_orderdate", ["o_orderkey"], "order_all").select("o_orderkey", "order_all")
 
 
 @query("""WITH m AS (SELECT l_suppkey AS k, avg(l_quantity) AS e, stddev_samp(l_quantity) / sqrt(count(*)) AS s FROM lineitem GROUP BY 1)

@@ -42,14 +42,16 @@ def smog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("doc_id", text.smog("text").alias("smog")))
 
 
-@query(f"""SELECT doc_id, round(length(text) / nullif({SENTENCES_SQL}, 0), 6) + 0.0 AS char_to_sent, round(len(string_split(text, ' ')) / nullif({SENTENCES_SQL}, 0), 6) + 0.0 AS word_to_sent FROM documents WHERE text <> '' AND NOT ends_with(text, ' ')""")
+RATIOS_SQL = f"""SELECT doc_id, round(length(text) / nullif({SENTENCES_SQL}, 0), 6) + 0.0 AS char_to_sent,
+round(CASE WHEN text = '' THEN 0 ELSE len(string_split(text, ' ')) - CASE WHEN ends_with(text, ' ') THEN 1 ELSE 0 END END / nullif({SENTENCES_SQL}, 0), 6) + 0.0 AS word_to_sent FROM documents"""
+
+
+@query(RATIOS_SQL)
 def sentence_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents", "doc_id", "text").filter("text <> '' and not endswith(text, ' ')")
-    return rounded(text.with_features(rows).select("doc_id", "char_to_sent", "word_to_sent"))
+    return rounded(text.with_features(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "char_to_sent", "word_to_sent"))
 
 
-@query(f"""SELECT doc_id, round(length(text) / nullif({SENTENCES_SQL}, 0), 6) + 0.0 AS char_to_sent,
-round(CASE WHEN text = '' THEN 0 ELSE len(string_split(text, ' ')) - CASE WHEN ends_with(text, ' ') THEN 1 ELSE 0 END END / nullif({SENTENCES_SQL}, 0), 6) + 0.0 AS word_to_sent FROM documents""")
+@query(RATIOS_SQL)
 def sentence_ratios_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Also of documents that are empty or end with a space."""
     return rounded(text.with_features(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "char_to_sent", "word_to_sent"))
