@@ -255,7 +255,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     ids are little-endian unsigned 32-bit integers; the bytes decoded from them
     are hashed. A null text is empty. Rows are encoded alone, so null or
-    repeated ids and rows are as any other; an empty table gives no rows.
+    repeated ids and rows are as any other. Texts of any length are handled whole; columns other than those named are ignored, whatever their names.
+    An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -648,7 +648,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, text, n_chars) for every row of pages (page_id, html).
 
     A null or empty page has the empty text. Pages are rendered alone, so null
-    or repeated ids and rows are as any other; an empty table gives no rows.
+    or repeated ids and rows are as any other. Pages of any length are rendered whole; columns other than
+    those named are ignored, whatever their names. An empty table gives no rows.
     """
     rows = renamed(pages, "page_id", "html").select(F.col("page_id").cast("long").alias("page_id"), "html")
     return in_arrow(rows, _rendered, "page_id long, text string, n_chars long")

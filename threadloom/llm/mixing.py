@@ -100,8 +100,8 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple = WEIGHTS, limit: int = L
     size. Sources are ordered by code point, null last; a null text has no
     words, and documents without words are taken as often as the whole part
     tells, and never drawn. Rows draw by doc_id, those without one by their
-    text; rows of equal draw are ordered by their place in the table. An empty
-    table gives no rows.
+    text; rows of equal draw are ordered by their place in the table. Texts of any length are handled whole; columns other than those named are ignored, whatever their names.
+    An empty table gives no rows.
 
     The driver holds one row per source (a named collection, not a document):
     its words, and the words still due. Each target depends on all of them.

@@ -163,7 +163,11 @@ def redacted(texts: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_<base kind>, base_sha256, spans, n_live) for every row of docs."""
+    """(doc_id, n_<base kind>, base_sha256, spans, n_live) for every row of docs.
+
+    A null text is empty; null or repeated ids and rows are reported each. Texts of any length are handled whole; columns other than those named are ignored, whatever their names.
+    An empty table gives no rows.
+    """
     rows = renamed(docs, "doc_id", "text", "source").withColumn("row", F.monotonically_increasing_id())
     found = find(rows, keep=("doc_id",))  # the one scan gives the numbers
 

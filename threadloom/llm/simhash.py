@@ -463,7 +463,8 @@ def deduplicate(docs: DataFrame, width: int = 5, budget: int = BUDGET, subtrie:
 
     Copies share a fingerprint and are counted as one in the join. Null and
     empty texts have fingerprint zero and link with each other; a null doc_id
-    never names a component; an empty table gives no rows.
+    never names a component; rows that share an id are each kept. Texts of any length are handled whole; columns other than those named are ignored, whatever their names.
+    An empty table gives no rows.
     """
     rows = materialise(fingerprints(docs, width), "simhash-fingerprints")
     each = rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))

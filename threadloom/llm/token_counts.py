@@ -115,7 +115,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 4096) -> DataFra
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of docs (doc_id, text).
 
     A null text is empty and has no tokens. Rows are counted alone, so null or
-    repeated ids and rows are as any other; an empty table gives no rows.
+    repeated ids and rows are as any other. Texts of any length are handled whole; columns other than those named are ignored, whatever their names.
+    An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -278,7 +278,12 @@ class LibraryCoder:
 
 
 def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Write all documents' ids to the shared folder and give what the files say."""
+    """Write all documents' ids to the shared folder and give what the files say: doc_id, start, n_tokens, ids_crc32.
+
+    A null text is empty and has the end id only; null ids come first; rows that share an id
+    are each written, ordered by their texts. Texts of any length are handled whole; columns other than those named are ignored, whatever their names.
+    An empty table gives no rows.
+    """
     path = workspace(docs.sparkSession, "token-ids")
     write_ids(docs, LibraryCoder(vocabulary), path)
     return read_documents(docs.sparkSession, path)
