@@ -3,6 +3,10 @@
 Each stage calls one operator of threadloom.llm on all rows that its
 predecessor kept. Between stages rows are written as Parquet and read again. All
 stages but the last return the columns of documents.
+
+Every stage takes null ids, texts and sources, empty texts, texts of any length, rows that
+share an id and equal rows, ignores further columns whatever their names, and gives
+no rows of an empty table.
 """
 
 from __future__ import annotations
@@ -19,12 +23,15 @@ SHINGLE = 5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that fail any rule of the policy."""
+    """Rejects documents that fail any rule of the policy; null and empty texts have too few words."""
     return rules.ledger(docs, COLUMNS).filter(rules.passes(rules.STRICT)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the smallest id; of rows that share it, one."""
+    """One document of each group stays, that of the smallest id; of rows that share it, one.
+
+    Null and empty texts are one group; a row without an id stays only where its group has none with an id.
+    """
     rows = secrets.numbered(docs, *COLUMNS)
     groups = simhash.deduplicate_similar(rows.select(F.col("row").alias("doc_id"), "text"), SHINGLE)
     # the group's smallest doc_id, and of equal ids the first row
@@ -34,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces the value of every secret found by its kind; all documents stay."""
+    """Replaces the value of every secret found by its kind; all documents stay, null texts as null."""
     rows = secrets.numbered(docs, *COLUMNS)
     found = secrets.find(rows).filter("size(spans) > 0")
     clean = secrets.redacted(rows.join(found, "row", "left").drop("row"))
@@ -42,7 +49,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: a row a copy."""
+    """Each document as often as the mix takes it: a row a copy; a null source is a source of its own, the last."""
     rows = secrets.numbered(docs, *COLUMNS)
     taken = mixing.mix(rows, row="row").filter("copies > 0").select("row", "copies")
     repeated = rows.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
@@ -50,7 +57,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each row, with the digests that a reader can check them by."""
+    """The token ids of each row, with the digests that a reader can check them by; a null text is empty."""
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
