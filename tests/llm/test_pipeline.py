@@ -117,3 +117,21 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_odd_rows_pass_every_stage(spark):
+    """Nulls in any column, empty and long texts, repeated rows and columns with names that operators use."""
+    text = " ".join(f"word{k} and thing{k * 3}" for k in range(120))
+    rows = [(1, text, "en", "s", 10), (1, text, "en", "s", 10), (None, text + " more", None, None, None), (2, None, None, "s", None), (3, "", "en", None, 0), (4, " ".join(f"longer{k}" for k in range(60_000)), "en", "t", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = docs.selectExpr("*", "1 as row", "2 as spans", "3 as node", "4 as keys", "5 as size", "6 as copies", "7 as fail_bits", "8 as component_id", "9 as _metadata")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, clash, "").collect()
+        if name == "quality_rules":
+            assert sorted(r.doc_id or 0 for r in out) == [0, 1, 1, 4]
+        elif name == "simhash_near_dedup":
+            assert sorted(r.doc_id for r in out) == [1, 2, 4]
+        elif name in ("secret_scan", "bpe_encoding"):
+            assert len(out) == len(rows)
+        else:
+            assert out and {r.doc_id for r in out} <= {1, 2, 3, 4, None}
