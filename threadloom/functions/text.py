@@ -55,24 +55,29 @@ def second_person(c: str) -> Column:
 
 def tokens(c: str | Column, stop: list[str] | None = None, stemmer=None) -> Column:
     """Lower-case runs of letters without stop words; stemmer: a column function on each token."""
-    found = F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+"), F.lit(0))
     stop = STOP_WORDS if stop is None else stop
-    if stop:
-        listed = F.array(*map(F.lit, stop))
-        found = F.filter(found, lambda t: ~F.array_contains(listed, t))
+    # stop words go in the same pass of the pattern: testing each token against a list is interpreted
+    by_first = {w[0]: sorted(x[1:] for x in stop if x[0] == w[0]) for w in stop}
+    listed = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by_first.items())
+    skipped = rf"(?<!\p{{L}})(?!(?:{listed})(?!\p{{L}}))" if stop else ""
+    found = F.regexp_extract_all(F.lower(c), F.lit(rf"{skipped}\p{{L}}+"), F.lit(0))
     return F.transform(found, stemmer) if stemmer else found
 
 
 def cttr(token_array: Column) -> Column:
     """Corrected type-token ratio: types / sqrt(2 * tokens); 0 for fewer than two tokens."""
-    n = F.size(token_array)
-    return F.when(n < 2, F.lit(0.0)).otherwise(F.size(F.array_distinct(token_array)) / F.sqrt(2.0 * n))
+
+    def ratio(t: Column) -> Column:
+        return F.when(F.size(t) < 2, F.lit(0.0)).otherwise(F.size(F.array_distinct(t)) / F.sqrt(2.0 * F.size(t)))
+
+    # a list of one, so that the tokens are found once and not once a use
+    return F.transform(F.array(token_array), ratio)[0]
 
 
 def polysyllables(c: str) -> Column:
-    """Words of three or more runs of vowels."""
-    found = F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+"), F.lit(0))
-    return F.size(F.filter(found, lambda w: F.regexp_count(w, F.lit(f"[{VOWELS}]+")) >= 3)).cast("long")
+    """Words of three or more runs of vowels, in one pass that never goes back."""
+    vowels, others = f"[{VOWELS}]++", rf"[\p{{L}}&&[^{VOWELS}]]"
+    return F.regexp_count(F.lower(c), F.lit(rf"(?<!\p{{L}}){others}*+{vowels}{others}++{vowels}{others}++{vowels}\p{{L}}*+")).cast("long")
 
 
 def smog(c: str) -> Column:
@@ -87,26 +92,26 @@ def with_features(df: DataFrame, c: str = "text") -> DataFrame:
     return out.withColumns({"char_to_sent": F.col("num_char") / by, "word_to_sent": F.col("num_words") / by})
 
 
-def cosine_to_first(df: DataFrame, least: int = 2) -> DataFrame:
+def cosine_to_first(df: DataFrame, least: int = 2, stop: list[str] | None = None, stemmer=None) -> DataFrame:
     """(article, comment_id, cosine): tf-idf cosine of each comment with its article's text.
 
     df: article, comment_id, text, is_article. Terms with fewer than least
     occurrences in an article's texts go; weights are tf * log10(documents /
-    documents with the term). Terms are counted by (article, document), so only
-    comment terms that the article text has too are ever paired; 0 where either
-    side has no weight.
+    documents with the term); 0 where either side has no weight. stop: words left
+    out, by default none. Terms are counted once. What is joined to them is a row
+    per term of an article, which holds the article's own count too, so that a
+    term of a hot article is split as any skewed side of a join.
     """
-    terms = df.select("article", "comment_id", "is_article", F.explode(tokens("text", [])).alias("term")).groupBy("article", "comment_id", "is_article", "term").agg(F.count("*").alias("tf"))
-    corpus = terms.groupBy("article", "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).filter(F.col("total") >= least)
+    terms = df.select("article", "comment_id", "is_article", F.explode(tokens("text", stop or [], stemmer)).alias("term")).groupBy("article", "comment_id", "is_article", "term").agg(F.count("*").alias("tf"))
+    own = F.sum(F.when(F.col("is_article"), F.col("tf")).otherwise(0))
+    corpus = terms.groupBy("article", "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"), own.alias("tf_article")).filter(F.col("total") >= least)
     sizes = df.groupBy("article").agg(F.count("*").alias("n"))
-    weighted = terms.join(corpus, ["article", "term"]).join(sizes, "article").withColumn("w", F.col("tf") * F.log10(F.col("n") / F.col("df")))
-    norms = weighted.groupBy("article", "comment_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    topic = weighted.filter("is_article").select("article", "term", F.col("w").alias("w_article"))
-    dots = weighted.filter("not is_article").join(topic, ["article", "term"]).groupBy("article", "comment_id").agg(F.sum(F.col("w") * F.col("w_article")).alias("dot"))
-    own = df.filter("is_article").select("article", F.col("comment_id").alias("first_id"))
-    lengths = own.join(norms.withColumnsRenamed({"comment_id": "first_id", "norm": "norm_article"}), ["article", "first_id"], "left").select("article", "norm_article")
+    idf = corpus.join(sizes, "article").select("article", "term", "tf_article", F.log10(F.col("n") / F.col("df")).alias("idf"))
+    w, w_article = F.col("tf") * F.col("idf"), F.col("tf_article") * F.col("idf")
+    sums = terms.join(idf, ["article", "term"]).groupBy("article", "comment_id", "is_article").agg(F.sqrt(F.sum(w * w)).alias("norm"), F.sum(w * w_article).alias("dot"))
+    lengths = sums.filter("is_article").select("article", F.col("norm").alias("norm_article"))
     every = df.filter("not is_article").select("article", "comment_id")
-    found = every.join(dots, ["article", "comment_id"], "left").join(norms, ["article", "comment_id"], "left").join(lengths, "article", "left")
+    found = every.join(sums.filter("not is_article").drop("is_article"), ["article", "comment_id"], "left").join(lengths, "article", "left")
     return found.select("article", "comment_id", F.coalesce(F.col("dot") / F.nullif(F.col("norm") * F.col("norm_article"), F.lit(0.0)), F.lit(0.0)).alias("cosine"))
 
 

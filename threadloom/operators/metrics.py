@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.maths import trapezoid
+from threadloom.operators.relational import running_sums
 
 
 def confusion(df: DataFrame, truth: str, score: str, threshold: float = 0.5, *by: str) -> DataFrame:
@@ -17,19 +17,26 @@ def confusion(df: DataFrame, truth: str, score: str, threshold: float = 0.5, *by
     return counts.withColumns({"precision": tp / F.nullif(tp + fp, zero), "recall": tp / F.nullif(tp + fn, zero), "accuracy": (tp + tn) / F.nullif(tp + fp + fn + tn, zero), "f1": 2 * tp / F.nullif(2 * tp + fp + fn, zero)})
 
 
+def _pr_points(df: DataFrame, truth: str, score: str) -> DataFrame:
+    """Cases by distinct score, with the sums down to it."""
+    points = df.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count("*").alias("n"))
+    return running_sums(points, "score", ["pos", "n"], descending=True)
+
+
 def pr_curve(df: DataFrame, truth: str, score: str) -> DataFrame:
     """(score, recall, precision): one point for each distinct score, from the highest down.
 
-    Cases are counted by score first, so that what is ordered in one place is
-    the distinct scores and not the rows.
+    Cases are counted by score first; the counts run in buckets of scores.
     """
-    points = df.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count("*").alias("n"))
-    down = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    total = points.agg(F.sum("pos").alias("all_pos"))
-    summed = points.withColumns({"tp": F.sum("pos").over(down), "said": F.sum("n").over(down)}).crossJoin(F.broadcast(total))
-    return summed.select("score", (F.col("tp") / F.nullif(F.col("all_pos"), F.lit(0))).alias("recall"), (F.col("tp") / F.col("said")).alias("precision"))
+    return _pr_points(df, truth, score).select("score", (F.col("pos_upto") / F.nullif(F.col("pos_all"), F.lit(0))).alias("recall"), (F.col("pos_upto") / F.col("n_upto")).alias("precision"))
 
 
 def pr_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """Area under the precision-recall points by trapezoids."""
-    return trapezoid(pr_curve(df, truth, score).withColumn("_at", -F.col("score")), "recall", "precision")
+    """Area under the precision-recall points by trapezoids; null for fewer than two points.
+
+    The point before a score is its sums without its own cases: nothing is put in order again.
+    """
+    tp, said, before = F.col("pos_upto"), F.col("n_upto"), F.col("pos_upto") - F.col("pos")
+    width = F.col("pos") / F.nullif(F.col("pos_all"), F.lit(0))
+    height = (tp / said + before / F.nullif(said - F.col("n"), F.lit(0))) / 2
+    return _pr_points(df, truth, score).agg(F.sum(width * height).alias("area"))

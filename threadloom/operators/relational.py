@@ -5,17 +5,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.functions.maths import correlation_p
+
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [c for c, t in df.dtypes if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal")]
 
 
+def running_sums(df: DataFrame, key: str, columns: list[str], by: list[str] | None = None, descending: bool = False, parts: int = 64) -> DataFrame:
+    """Running sums <column>_upto of columns in the order of key, and their sums <column>_all.
+
+    Quantiles of the key cut the rows of each group into at most parts buckets;
+    sums run inside a bucket, after those of the buckets before it, so that no
+    group is one task. key: a number, each at most once in a group (count ties
+    before); null counts as the least. What joins back is parts rows a group.
+    """
+    # a group is known by its columns as text, in which nulls and one group of all rows are like any other
+    group = F.to_json(F.struct(*by)) if by else F.lit("")
+    value = F.col(key).cast("double")
+    keyed = df.withColumn("_group", group)
+    cuts = keyed.groupBy("_group").agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10 * parts).alias("_cuts"))
+    bucket = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c < value))
+    placed = keyed.join(cuts, "_group").withColumn("_bucket", bucket).drop("_cuts")
+    totals = placed.groupBy("_group", "_bucket").agg(*[F.sum(c).alias(c) for c in columns])
+    groups = Window.partitionBy("_group")
+    earlier = groups.orderBy(F.col("_bucket").desc() if descending else F.col("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("_group", "_bucket", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_before_{c}") for c in columns], *[F.sum(c).over(groups).alias(f"{c}_all") for c in columns])
+    inside = Window.partitionBy("_group", "_bucket").orderBy(F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    met = placed.join(before, ["_group", "_bucket"]).withColumns({f"{c}_upto": F.sum(c).over(inside) + F.col(f"_before_{c}") for c in columns})
+    return met.drop("_group", "_bucket", *[f"_before_{c}" for c in columns])
+
+
+def percentiles(df: DataFrame, column: str, shares: dict[str, float], *by: str) -> DataFrame:
+    """Exact percentiles with linear interpolation, by groups; nulls don't count, and a group of nulls has null.
+
+    Equal values are counted first; the counts run in buckets, so that neither all
+    values nor a group's are held by one task.
+    """
+    # null is a value that counts 0 times, which keeps groups of nulls only
+    counts = df.groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(column).alias("_n"))
+    ranked = running_sums(counts, "_v", ["_n"], list(by))
+    at = {name: F.lit(share) * (F.col("_n_all") - 1) for name, share in shares.items()}
+    ends = [F.min(F.when(F.col("_n_upto") > f(place), F.col("_v"))).alias(f"_{end}_{name}") for name, place in at.items() for end, f in (("low", F.floor), ("high", F.ceil))]
+    found = ranked.groupBy(*by).agg(F.max("_n_all").alias("_n_all"), *ends)
+    part = {name: place - F.floor(place) for name, place in at.items()}
+    return found.select(*by, *[(F.col(f"_low_{name}") + (F.col(f"_high_{name}") - F.col(f"_low_{name}")) * p).alias(name) for name, p in part.items()])
+
+
+QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+
+
 def profile(df: DataFrame) -> DataFrame:
     """Minimum, quartiles, mean and maximum of each numeric column, one row a column."""
     columns = numeric_columns(df)
-    wide = df.agg(*[F.struct(F.min(c).cast("double").alias("min"), F.expr(f"percentile(`{c}`, array(0.25, 0.5, 0.75))").alias("q"), F.avg(c).alias("mean"), F.max(c).cast("double").alias("max")).alias(c) for c in columns])
+    wide = df.agg(*[F.struct(F.min(c).cast("double").alias("min"), F.avg(c).alias("mean"), F.max(c).cast("double").alias("max")).alias(c) for c in columns])
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("s")) for c in columns])
-    return wide.select(F.explode(cells).alias("x")).select("x.column", "x.s.min", F.col("x.s.q")[0].alias("q25"), F.col("x.s.q")[1].alias("median"), F.col("x.s.q")[2].alias("q75"), "x.s.mean", "x.s.max")
+    ends = wide.select(F.explode(cells).alias("x")).select("x.column", "x.s.*")
+    long = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    return ends.join(percentiles(long, "value", QUARTILES, "column"), "column", "left").select("column", "min", *QUARTILES, "mean", "max")
 
 
 def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -64,8 +111,10 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 def correlations(df: DataFrame, columns: list[str], least: float | None = None) -> DataFrame:
     """Pearson correlation of each pair of columns, long; least: weaker ones are null."""
     pairs = [(a, b) for a in columns for b in columns]
-    wide = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    value = {p: F.col(f"`{p[0]}|{p[1]}`") for p in pairs}
+    place = {c: k for k, c in enumerate(columns)}
+    once = [p for p in pairs if place[p[0]] <= place[p[1]]]
+    wide = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in once])
+    value = {p: F.col(f"`{'|'.join(sorted(p, key=place.get))}`") for p in pairs}
     cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.when(F.abs(value[a, b]) > least, value[a, b]) if least else value[a, b]).alias("r")) for a, b in pairs])
     return wide.select(F.explode(cells).alias("c")).select("c.*")
 
@@ -77,10 +126,18 @@ def average_rank(column: str, by: list[str] | None = None) -> Column:
     return F.rank().over(w) + (F.count("*").over(ties) - 1) / 2.0
 
 
-def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Pearson and Spearman correlation of two columns of a small table (coefficients), and the number of rows."""
-    ranked = df.select(a, b).na.drop().withColumns({"_ra": average_rank(a), "_rb": average_rank(b)})
-    return ranked.agg(F.corr(a, b).alias("pearson"), F.corr("_ra", "_rb").alias("spearman"), F.count("*").alias("n"))
+def spearman(df: DataFrame, a: str, b: str, p_values: bool = False) -> DataFrame:
+    """Pearson and Spearman correlation of two columns and the number of rows; p_values: with pearson_p and spearman_p.
+
+    Ranks with ties at their mean come from running counts of distinct values.
+    """
+    rows = df.select(F.col(a).alias("_a"), F.col(b).alias("_b")).na.drop()
+    ranked = rows
+    for c in ("_a", "_b"):
+        counts = running_sums(rows.groupBy(c).agg(F.count("*").alias("_n")), c, ["_n"])
+        ranked = ranked.join(counts.select(c, (F.col("_n_upto") - (F.col("_n") - 1) / 2.0).alias(f"_r{c}")), c)
+    out = ranked.agg(F.corr("_a", "_b").alias("pearson"), F.corr("_r_a", "_r_b").alias("spearman"), F.count("*").alias("n"))
+    return out.withColumns({f"{r}_p": correlation_p(r, "n") for r in ("pearson", "spearman")}) if p_values else out
 
 
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int, by: list[str] | None = None) -> DataFrame:
@@ -89,8 +146,7 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int, by
 
 
 def quartiles(df: DataFrame, column: str, *by: str) -> DataFrame:
-    found = df.groupBy(*by).agg(F.expr(f"percentile({column}, array(0.25, 0.5, 0.75))").alias("q"))
-    return found.select(*by, *[F.col("q")[k].alias(n) for k, n in enumerate(("q25", "median", "q75"))])
+    return percentiles(df, column, QUARTILES, *by)
 
 
 def density(df: DataFrame, column: str, low: float, high: float, points: int, width: float, *by: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import values
 from threadloom.operators import forest
-from threadloom.operators.relational import density, rounded
+from threadloom.operators.relational import density, percentiles, rounded
 from threadloom.plans.registry import query
 from threadloom.sources.fixtures import EVENTS_SQL, forum_events, forum_tree
 
@@ -71,9 +71,10 @@ def min_rank_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EVENTS_SQL}, m AS (SELECT pinned, (ts - min(ts) OVER (PARTITION BY article)) / 60.0::DOUBLE AS minutes, value FROM posts) SELECT pinned, round(median(minutes), 6) + 0.0 AS median_minutes, round(median(value), 6) + 0.0 AS median_value FROM m GROUP BY pinned")
 def median_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.min("ts").over(Window.partitionBy("article"))
-    rows = forum_events(spark, sf_dir).select("pinned", values.minutes_since_first("ts", first).alias("minutes"), "value")
-    return rounded(rows.groupBy("pinned").agg(F.median("minutes").alias("median_minutes"), F.median("value").alias("median_value")))
+    posts = forum_events(spark, sf_dir).select("article", "pinned", "ts", "value")
+    first = posts.groupBy("article").agg(F.min("ts").alias("first"))
+    rows = posts.join(first, "article").select("pinned", values.minutes_since_first("ts", F.col("first")).alias("minutes"), "value")
+    return rounded(percentiles(rows, "minutes", {"median_minutes": 0.5}, "pinned").join(percentiles(rows, "value", {"median_value": 0.5}, "pinned"), "pinned"))
 
 
 @query(f"""WITH {EVENTS_SQL}, b AS (SELECT pinned, round(value / 0.2::DOUBLE) AS b, count(*) AS c FROM posts WHERE value IS NOT NULL GROUP BY ALL), x AS (SELECT unnest(range(0, 21)) * 5.0::DOUBLE AS x)
