@@ -18,6 +18,12 @@ def positive_log(c: str) -> Column:
     return F.when(F.col(c) > 0, F.ln(c))
 
 
+def display_log(c: str) -> Column:
+    """Natural log as it is drawn: minus infinity at 0, NaN below."""
+    x = F.col(c).cast("double")
+    return F.when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan"))).otherwise(F.ln(x))
+
+
 def squeeze(c: str, eps: float = 1e-6) -> Column:
     """A utility in [-1, 1] as a share inside [eps, 1 - eps]."""
     return F.least(F.greatest((F.col(c) + 1) / 2, F.lit(eps)), F.lit(1 - eps))
@@ -64,7 +70,7 @@ def correlation_p(r: str, n: str, steps: int = 2000) -> Column:
     """Two-sided p of a correlation r of n rows against none; null for fewer than 3 rows.
 
     The share of the angles 0 to arccos |r| in the integral of sin ^ (n - 3), by
-    Simpson's rule; beyond 10,000 rows that of the normal distribution for the t value.
+    Simpson's rule; beyond 10,000 rows that of the normal distribution, for t made normal.
     """
     value, free = F.col(r).cast("double"), F.col(n) - 2
     weights = F.sequence(F.lit(0), F.lit(steps))
@@ -78,8 +84,10 @@ def correlation_p(r: str, n: str, steps: int = 2000) -> Column:
         return upto * F.aggregate(weights, F.lit(0.0), term)
 
     exact = integral(F.acos(F.least(F.abs(value), F.lit(1.0)))) / integral(F.lit(math.pi / 2))
-    normal = erfc(F.abs(value) * F.sqrt(free / (1 - value * value)) / math.sqrt(2))
-    return F.when((free > 0) & (F.col(n) <= 10_000), exact).when(free > 0, F.when(F.abs(value) < 1, normal).otherwise(F.lit(0.0)))
+    # t as a normal value: the square root of (free - 1/2) * log(1 + t ^ 2 / free)
+    normal = erfc(F.sqrt((0.5 - free) * F.log1p(-value * value)) / math.sqrt(2))
+    known = value.isNotNull() & (free > 0)
+    return F.when(known & (F.col(n) <= 10_000), exact).when(known, F.when(F.abs(value) < 1, normal).otherwise(F.lit(0.0)))
 
 
 def rmsle(truth: str, guess: str) -> Column:

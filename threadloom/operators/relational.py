@@ -196,3 +196,30 @@ def aligned(tables: list[tuple[str, DataFrame]], key: str, value: str) -> DataFr
 
 def melt(df: DataFrame, key: list[str], columns: list[str], names: str = "variable", values: str = "value") -> DataFrame:
     return df.unpivot(key, columns, names, values)
+
+
+def rows_between(df: DataFrame, key: str, ties: list[str], first: int, last: int | None = None) -> DataFrame:
+    """Rows by place in an order, from first to last, both included and counted from 1; last: to the end."""
+    numbered = global_number(df, key, ties, "_place")
+    kept = numbered.filter(F.col("_place") >= first) if last is None else numbered.filter(F.col("_place").between(first, last))
+    return kept.drop("_place")
+
+
+def beside(tables: list[tuple[DataFrame, str, list[str]]]) -> DataFrame:
+    """Tables side by side by place: each (table, key, ties) is numbered in its own order; shorter ones end in nulls."""
+    out = None
+    for df, key, ties in tables:
+        side = global_number(df, key, ties, "place")
+        out = side if out is None else out.join(side, "place", "full")
+    return out
+
+
+def columns_without_nulls(df: DataFrame) -> DataFrame:
+    """The columns that hold no null, found in one pass; of an empty table all."""
+    found = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns]).first()
+    return df.select(*[f"`{c}`" for c in df.columns if not found[c]])
+
+
+def complete_rows(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows without null or NaN in some columns, or in any."""
+    return df.na.drop(subset=list(columns) or None)

@@ -12,7 +12,7 @@ sums in a second local sort by (article, i) instead of a join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.operators import policies as P
@@ -41,32 +41,39 @@ def _sums(rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
     return far.select("article", "policy", "n", F.col("j").alias("i"), *totals, *[(F.col(f"t_{f}") + slope[f] * (F.col("j") - F.col("i"))).alias(f"t_{f}") for f in features])
 
 
-def curves(df: DataFrame, features: tuple[str, ...], policies: tuple[P.Policy, ...] = P.GRID, seed: int = 7, compat: bool = False, interpolate: bool = True) -> DataFrame:
+def extremes(df: DataFrame, features: tuple[str, ...]) -> DataFrame:
+    """(article, i) with the running sums best_<feature> and worst_<feature> of each feature's own orders."""
+    kinds = F.array(*[F.struct(F.lit(f"{end}_{f}").alias("policy"), (F.col(f) * sign).cast("double").alias("k2"), F.col(f).cast("double").alias("x")) for f in features for end, sign in (("best", -1), ("worst", 1))])
+    ends = df.select("article", "order", F.explode(kinds).alias("e")).select("article", "order", "e.*")
+    place = Window.partitionBy("article", "policy").orderBy(F.col("k2").asc_nulls_last(), "order")
+    sums = ends.withColumn("i", F.row_number().over(place)).withColumn("v", F.sum("x").over(place.rowsBetween(Window.unboundedPreceding, 0)))
+    return sums.select("article", F.col("i").cast("long").alias("i"), *[F.when(F.col("policy") == name, F.col("v")).alias(name) for name in _ends(features)])
+
+
+def _ends(features: tuple[str, ...]) -> list[str]:
+    return [f"{end}_{f}" for f in features for end in ("best", "worst")]
+
+
+def curves(df: DataFrame, features: tuple[str, ...], policies: tuple[P.Policy, ...] = P.GRID, seed: int = 7, compat: bool = False, interpolate: bool = True, presorted: DataFrame | None = None, precomputed: DataFrame | None = None) -> DataFrame:
     """(article, policy, n, i) with total, t, best, worst and base of every feature.
 
     interpolate: extend hidden layouts to all comments; else they end with the
-    comments they show.
+    comments they show. presorted: extremes() of the same comments and features,
+    made before. precomputed: (article, i, base_<feature>), a baseline to take
+    instead of that of random orders.
     """
     whole = Window.partitionBy("article")
     about = df.withColumns({"n": F.count("*").over(whole), "n_roots": F.sum(F.col("is_root").cast("int")).over(whole)} | {f"total_{f}": F.sum(f).over(whole) for f in features})
     # the exchange by article is made once; what follows only sorts inside it
-    extremes = []
-    for f in features:
-        up = Window.partitionBy("article").orderBy(F.col(f).asc_nulls_last(), "order")
-        down = Window.partitionBy("article").orderBy(F.col(f).desc_nulls_last(), "order")
-        extremes += [(f"best_{f}", down, f), (f"worst_{f}", up, f)]
     keyed = P.exploded(about, policies, seed, compat)
     rows = _sums(keyed, features)
     if not interpolate:
         rows = rows.join(about.groupBy("article").agg(F.max("n_roots").alias("n_roots")), "article").filter("not endswith(policy, '_rh') or i <= n_roots")
-    kinds = F.array(*[F.struct(F.lit(name).alias("policy"), (F.col(f) * (-1 if name.startswith("best") else 1)).cast("double").alias("k2"), F.col(f).cast("double").alias("x")) for name, _, f in extremes])
-    ends = about.select("article", "order", F.explode(kinds).alias("e"), *[F.col(f) for f in features]).select("article", "order", "e.*")
-    place = Window.partitionBy("article", "policy").orderBy(F.col("k2").asc_nulls_last(), "order")
-    bounds = ends.withColumn("i", F.row_number().over(place)).withColumn("v", F.sum("x").over(place.rowsBetween(Window.unboundedPreceding, 0)))
-    bounds = bounds.select("article", F.col("i").cast("long").alias("i"), *[F.when(F.col("policy") == name, F.col("v")).alias(name) for name, _, _ in extremes])
-    both = rows.unionByName(bounds, allowMissingColumns=True)
+    both = rows.unionByName(extremes(about, features) if presorted is None else presorted, allowMissingColumns=True)
     at = Window.partitionBy("article", "i")
-    met = both.withColumns({name: F.max(name).over(at) for name, _, _ in extremes}).filter("policy is not null")
+    met = both.withColumns({name: F.max(name).over(at) for name in _ends(features)}).filter("policy is not null")
+    if precomputed is not None:
+        return met.join(precomputed.select("article", "i", *[f"base_{f}" for f in features]), ["article", "i"])
     return met.withColumns({f"base_{f}": F.col("i") * F.col(f"total_{f}") / F.col("n") for f in features})
 
 
@@ -122,3 +129,26 @@ def selected(scores: DataFrame, default: str = "rev-chron_pinned_rt") -> DataFra
     last = F.max("place").over(Window.partitionBy("feature", "cutoff"))
     role = F.when(F.col("place") == 1, "best").when(F.col("place") == last, "worst").when(F.col("policy") == default, "default")
     return board.withColumn("role", role).filter("role is not null").drop("place")
+
+
+def matrix(scores: DataFrame, feature: str, cutoff: str, policies: tuple[P.Policy, ...]) -> DataFrame:
+    """One feature's scores at one cut-off: a row a discussion, a column a policy; null where a score is missing."""
+    cells = scores.filter((F.col("feature") == feature) & (F.col("cutoff") == cutoff))
+    return cells.groupBy("article").pivot("policy", [p.name for p in policies]).agg(F.first("value"))
+
+
+def from_matrix(wide: DataFrame, feature: str, cutoff: str) -> DataFrame:
+    """The long scores of such a matrix, without the missing ones."""
+    long = wide.unpivot(["article"], [c for c in wide.columns if c != "article"], "policy", "value")
+    return long.filter("value is not null").select("article", "policy", F.lit(feature).alias("feature"), F.lit(cutoff).alias("cutoff"), "value")
+
+
+def export(scores: DataFrame, path: str) -> None:
+    """Long scores as Parquet, a folder for each feature and cut-off."""
+    scores.write.mode("overwrite").partitionBy("feature", "cutoff").parquet(path)
+
+
+def ingest(spark: SparkSession, path: str, cutoffs: tuple[str, ...] = ("10", "N")) -> DataFrame:
+    """Exported scores of some cut-offs; the folders of others aren't read."""
+    kept = spark.read.schema("article long, policy string, value double, feature string, cutoff string").parquet(path).filter(F.col("cutoff").isin(*cutoffs))
+    return kept.select("article", "policy", "feature", "cutoff", "value")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.plans import forests, models, preferences, ranking, tables, texts  # noqa: F401
+from threadloom.plans import forests, models, preferences, ranking, reports, tables, texts  # noqa: F401
 from threadloom.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["QUERIES", "ORACLE_SQL"]

@@ -6,6 +6,7 @@ order of rows; it is made from the time and the comment's id.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -114,3 +115,13 @@ joined AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 )
 """
+
+
+def demo_orders(spark: SparkSession, n: int = 100, alpha: float = 1.0, beta: float = 1.0, seed: int = 100) -> DataFrame:
+    """(article, order, x): n Beta numbers in four orders, for figures of the score: sorted down, every second place shuffled, all shuffled, sorted up."""
+    r = np.random.default_rng(seed)
+    down = np.sort(r.beta(alpha, beta, n))[::-1]
+    half = down.copy()
+    half[::2] = r.permutation(half[::2])
+    orders = {"sorted": down, "half": half, "shuffled": r.permutation(down), "reversed": down[::-1]}
+    return spark.createDataFrame([(name, k, float(x)) for name, values in orders.items() for k, x in enumerate(values, 1)], "article string, `order` int, x double")

@@ -125,3 +125,99 @@ def comments_of(pages: pd.Series) -> pd.Series:
 def comments(df: DataFrame, article: str, html: str = "html") -> DataFrame:
     """One row a comment, in the page's order; followers and votes default to 0, texts to ""."""
     return df.select(F.col(article).alias("article"), F.posexplode(F.pandas_udf(comments_of, COMMENT)(html))).select("article", (F.col("pos") + 1).alias("order"), "col.*")
+
+
+#: The forum's elements, the class of a content element with the length of what stands before
+#: the comment's id in it, and that of what stands before a user's name and before the number in an id.
+POSTING, HEAD, USER, RATING = "dst-posting", "dst-posting-head", "dst-posting--user", "dst-posting--ratinglog"
+CONTENT, BEFORE_ID, BEFORE_NAME, BEFORE_NUMBER = "posting--content", 26, 12, 7
+FORUM = "array<struct<comment_id: string, id: string, user_names: string, user_follower: int, timestamp: string, heading: string, text: string, pinned: string, is_root_comment: int, is_leaf_comment: int, level_in_tree: int, root_of_tree: string, votes_pos: int, votes_neg: int>>"
+
+
+class _Forum(HTMLParser):
+    """Postings as elements of their own; fields are the first elements that match inside them."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.rows: list[dict] = []
+        self.open: list[tuple[str, list[str]]] = []
+        self.root = ""
+        self.field: str | None = None
+        self.depth = 0
+        self.seen: set[str] = set()
+
+    def within(self, *tags: str) -> bool:
+        """Whether the tags are open in this order, the first of them outermost."""
+        rest = iter(t for t, _ in self.open)
+        return all(t in rest for t in tags)
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        a = {k: v or "" for k, v in attrs}
+        if tag in EMPTY:
+            return
+        if tag == POSTING:
+            level = int(a["data-level"]) if a.get("data-level", "").isdecimal() else 0
+            self.rows.append({"comment_id": "", "id": "", "user_names": a.get("aria-label", "")[BEFORE_NAME:], "user_follower": 0, "timestamp": "", "heading": "", "text": "", "pinned": "", "is_root_comment": int(level == 0), "is_leaf_comment": int(a.get("class") == "posting"), "level_in_tree": level, "root_of_tree": "", "votes_pos": 0, "votes_neg": 0})
+            self.open, self.field, self.seen, self.deleted = [], None, set(), "posting-deleted" in a.get("class", "").split()
+        if not self.rows:
+            return
+        row = self.rows[-1]
+        if tag == "div" and a.get("class", "").startswith(CONTENT) and not row["comment_id"]:
+            row["comment_id"] = a["class"][BEFORE_ID:]
+            row["id"] = row["comment_id"][BEFORE_NUMBER:]
+            self.root = row["comment_id"] if row["is_root_comment"] else self.root
+            row["root_of_tree"] = self.root
+        in_content = any(t == "div" and any(c.startswith(CONTENT) for c in classes) for t, classes in self.open)
+        if tag == "time" and self.within(HEAD) and not self.deleted and not row["timestamp"]:
+            row["timestamp"] = a.get("data-date", "")
+        classes = a.get("class", "").split()
+        wanted = None
+        if tag in ("h1", "p") and in_content:
+            wanted = "heading" if tag == "h1" else "text"
+        elif tag == "title" and self.within(HEAD, "time", "strong", "svg"):
+            wanted = "pinned"
+        elif tag == "div" and self.within(HEAD, USER, "button", "span"):
+            wanted = "user_follower"
+        elif tag == "span" and self.within(RATING, "button"):
+            wanted = "votes_pos" if "pos" in classes else "votes_neg" if "neg" in classes else None
+        self.open.append((tag, classes))
+        if wanted and wanted not in self.seen and self.field is None:
+            self.field, self.depth = wanted, len(self.open)
+            self.seen.add(wanted)
+
+    def handle_endtag(self, tag: str) -> None:
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == tag:
+                del self.open[k:]
+                break
+        if self.field and len(self.open) < self.depth:
+            self.field = None
+
+    def handle_data(self, data: str) -> None:
+        if self.field is None:
+            return
+        row = self.rows[-1]
+        if isinstance(row[self.field], int):
+            row[self.field] = int(data) if data.strip().isdecimal() else row[self.field]
+        else:
+            row[self.field] += data
+
+
+def forum_of(pages: pd.Series) -> pd.Series:
+    out = []
+    for page in pages:
+        p = _Forum()
+        p.feed(page or "")
+        p.close()
+        out.append(p.rows)
+    return pd.Series(out)
+
+
+def forum_comments(df: DataFrame, article: str, html: str = "html") -> DataFrame:
+    """One row a posting of a stored forum page, in the page's order, with its place in the tree.
+
+    Numbers default to 0, texts to ""; a deleted posting has a blank time; a
+    posting without postings of its own is a leaf; the root is the last of level 0
+    at or above.
+    """
+    return df.select(F.col(article).alias("article"), F.posexplode(F.pandas_udf(forum_of, FORUM)(html))).select("article", (F.col("pos") + 1).alias("order"), "col.*")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.operators.glm import Fit
+from threadloom.operators.relational import global_number
+
 COMMENTS = (
     "comment_id string, id string, article string, user_names string, user_follower string, timestamp string, heading string, text string, "
     "pinned string, is_root_comment int, is_leaf_comment int, level_in_tree int, root_of_tree string, votes_pos string, votes_neg string, `order` int"
@@ -25,7 +30,10 @@ def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | N
     return df.select(*columns) if columns else df.drop("_row")
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, row_names: str | None = None) -> None:
+    """A CSV file with a header; row_names: the column by whose order rows get a first column of numbers as names."""
+    if row_names:
+        df = global_number(df, row_names, [], "_row").select("_row", *df.columns)
     df.write.mode("overwrite").option("header", True).option("escape", '"').option("nullValue", "NA").csv(path)
 
 
@@ -60,7 +68,8 @@ def model_summary(lines: DataFrame) -> DataFrame:
     """Coefficient rows and fit statistics of model summaries in text form.
 
     lines: path, value. A coefficient row is a term, four numbers and maybe
-    stars; the fit line is the row of numbers under the AIC header.
+    stars; the fit line is the row of numbers under the AIC header; the dispersion
+    ends a line of its own and may be missing.
     """
     number = r"([-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
     row = rf"^\s*(\S+)\s+{number}\s+{number}\s+{number}\s+(<?\s*[0-9.eE+-]+)\s*[*.]*\s*$"
@@ -75,12 +84,33 @@ def model_summary(lines: DataFrame) -> DataFrame:
         *[F.expr(f"try_cast(regexp_extract(value, r'{row}', {k}) as double)").alias(n) for k, n in ((2, "estimate"), (3, "std_error"), (4, "statistic"))],
         F.expr(f"try_cast(replace(replace(regexp_extract(value, r'{row}', 5), '<', ''), ' ', '') as double)").alias("p_value"),
     )
-    found = lines.withColumn("c", F.when(v.rlike(row), coefficient)).withColumn("f", F.when(v.rlike(fit), F.struct(*[part(fit, k).cast("double").alias(n) for k, n in ((1, "aic"), (2, "bic"), (3, "log_lik"))])))
+    dispersion = rf"^\s*Dispersion parameter.*:\s*{number}\s*$"
+    found = lines.withColumn("d", F.when(v.rlike(dispersion), part(dispersion, 1).cast("double"))).withColumn("c", F.when(v.rlike(row) & ~v.rlike(fit), coefficient)).withColumn("f", F.when(v.rlike(fit), F.struct(*[part(fit, k).cast("double").alias(n) for k, n in ((1, "aic"), (2, "bic"), (3, "log_lik"))])))
     term = F.col("c.term")
     group = F.when(term.contains(":") & term.contains("pinned"), "pinned").when(term.contains(":") & term.contains("replies_rh"), "replies_rh").when(term.contains(":") & term.contains("replies_rt"), "replies_rt").otherwise("main")
-    fits = found.filter("f is not null").groupBy("path").agg(F.first("f.aic").alias("aic"), F.first("f.bic").alias("bic"), F.first("f.log_lik").alias("log_lik"))
+    fits = found.filter("f is not null or d is not null").groupBy("path").agg(*[F.first(c, True).alias(n) for c, n in (("f.aic", "aic"), ("f.bic", "bic"), ("f.log_lik", "log_lik"), ("d", "dispersion"))])
     return found.filter("c is not null").select("path", "c.*", group.alias("part")).join(fits, "path", "left")
 
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
     return model_summary(spark.read.text(path).select(F.input_file_name().alias("path"), "value"))
+
+
+def summary_text(fit: Fit) -> str:
+    """A model's summary as text: criteria, dispersion, then a row a term with stars; model_summary reads it back."""
+    lines = [f" Family: {fit.family}", f"Formula: {fit.response} ~ {' + '.join(fit.names()[1:]) or '1'}", "", "      AIC       BIC    logLik  deviance  df.resid"]
+    lines += [f"{fit.aic:.6f} {fit.bic:.6f} {fit.log_likelihood:.6f} {-2 * fit.log_likelihood:.6f} {fit.n - fit.k}", ""]
+    lines += [f"Dispersion parameter for {fit.family} family (): {v:.9g}" for v in fit.extra.values()]
+    lines += ["", "Conditional model:", "Estimate Std. Error z value Pr(>|z|)"]
+    for term, estimate, error in zip(fit.names(), fit.estimates, fit.errors, strict=True):
+        z = estimate / error if error else math.nan
+        p = math.erfc(abs(z) / math.sqrt(2))
+        marks = "***" if p < 0.001 else "**" if p < 0.01 else "*" if p < 0.05 else "." if p < 0.1 else ""
+        shown = "< 2e-16" if p < 2e-16 else f"{p:.6g}"
+        lines.append(f"{term} {estimate:.9g} {error:.9g} {z:.9g} {shown} {marks}".rstrip())
+    return "\n".join([*lines, "---"])
+
+
+def write_summaries(spark: SparkSession, fits: dict[str, Fit], path: str) -> None:
+    """One folder with a text file for each model, as path/name=..."""
+    spark.createDataFrame([(k, summary_text(f)) for k, f in fits.items()], "name string, value string").write.mode("overwrite").partitionBy("name").text(path)
