@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import maths, text
-from threadloom.operators import glm, metrics, relational, utility
+from threadloom.operators import glm, metrics, relational, specifications, utility
 from threadloom.operators import policies as P
+from threadloom.plans import catalog
 from threadloom.sources import fixtures, pages, tables
 
 
@@ -108,3 +109,29 @@ def test_pages_without_postings(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "<h1>x</h1><p>y"), (4, '<dst-posting class="posting" aria-label="" data-level="x"><p>out</p>')], "k int, html string")
     rows = pages.forum_comments(df, "k").collect()
     assert len(rows) == 1 and rows[0].article == 4 and rows[0].text == "" and rows[0].is_leaf_comment == 1 and rows[0].is_root_comment == 1
+
+
+def test_formulas_with_brackets():
+    assert glm.expand("y ~ (a + b) * (c + d)")[1] == [("a",), ("b",), ("c",), ("d",), ("a", "c"), ("a", "d"), ("b", "c"), ("b", "d")]
+    assert glm.expand("y ~ (a + b):c + 1")[1] == [("a", "c"), ("b", "c")]
+    assert glm.expand("y ~ x-1 * p:q")[1] == [("x-1",), ("p", "q"), ("p", "q", "x-1")]
+    for wrong in ("y ~ (a + b", "y ~ a)"):
+        with pytest.raises(ValueError):
+            glm.expand(wrong)
+
+
+def test_sizes_of_the_specifications():
+    """Coefficients and a dispersion where there is one, with the 14 dummies of the published genres."""
+    genres = [f"genre1_{k}" for k in range(14)]
+    sizes = lambda models, more: [1 + more + len(glm.expand(f)[1]) for f in models.values()]
+    assert sizes(specifications.pick_models(genres), 0) == [28, 32, 34]
+    assert sizes(specifications.vote_models(genres), 1) == [31, 32, 36, 37] == sizes(specifications.vote_models(genres, "votes_neg"), 1)
+    assert sizes(specifications.utility_models(), 1) == [15, 35, 25, 45, 47, 67]
+    assert glm.expand(specifications.vote_models(genres, "votes_neg")["votes_neg_4"])[1][-1] == ("votes_pos_log",)
+
+
+def test_nested_utilities_fit_better_with_more_terms(spark, sf):
+    rows = {r.model: r for r in catalog.QUERIES["utility_specifications"](spark, sf).collect()}
+    assert [rows[f"utility_{k}"].k for k in range(1, 7)] == [15, 35, 25, 45, 47, 67]
+    for less, more in ((1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (5, 6)):
+        assert rows[f"utility_{less}"].log_lik <= rows[f"utility_{more}"].log_lik + 1e-6

@@ -25,16 +25,42 @@ from threadloom.functions.sums import partition_sum
 
 
 def expand(formula: str) -> tuple[str, list[tuple[str, ...]]]:
-    """Response and terms of "y ~ a * b + c:d": a*b is a, b and a:b; main effects first, no term twice."""
-    left, right = (x.strip() for x in formula.split("~"))
-    terms: list[tuple[str, ...]] = []
-    for part in re.split(r"\s*\+\s*", right.strip()):
-        groups = [g.split(":") for g in re.split(r"\s*\*\s*", part)]
-        for bits in range(1, 1 << len(groups)):
-            term = tuple(sorted({v.strip() for k, g in enumerate(groups) if bits >> k & 1 for v in g}))
-            if term not in terms and term != ("1",):
-                terms.append(term)
-    return left, sorted(terms, key=len)
+    """Response and terms of "y ~ a * (b + c) + d:e": a*b is a, b and a:b; main effects first, no term twice."""
+    left, right = formula.split("~")
+    signs = re.findall(r"[^\s+*:()]+|[+*:()]", right)
+
+    def operand() -> list[tuple[str, ...]]:
+        sign = signs.pop(0)
+        if sign != "(":
+            return [()] if sign == "1" else [(sign,)]
+        inner = total()
+        if not signs or signs.pop(0) != ")":
+            raise ValueError(f"a bracket is open in {formula!r}")
+        return inner
+
+    def met(a: list[tuple[str, ...]], b: list[tuple[str, ...]]) -> list[tuple[str, ...]]:
+        return [tuple(sorted({*x, *y})) for x in a for y in b]
+
+    def chain(sign: str, of, join) -> list[tuple[str, ...]]:
+        out = of()
+        while signs and signs[0] == sign:
+            signs.pop(0)
+            out = join(out, of())
+        return out
+
+    def together() -> list[tuple[str, ...]]:
+        return chain(":", operand, met)
+
+    def crossed() -> list[tuple[str, ...]]:
+        return chain("*", together, lambda a, b: [*a, *b, *met(a, b)])
+
+    def total() -> list[tuple[str, ...]]:
+        return chain("+", crossed, lambda a, b: [*a, *b])
+
+    terms = [t for t in dict.fromkeys(total()) if t]
+    if signs:
+        raise ValueError(f"{signs[0]!r} is out of place in {formula!r}")
+    return left.strip(), sorted(terms, key=len)
 
 
 def term_name(term: tuple[str, ...]) -> str:
@@ -44,7 +70,7 @@ def term_name(term: tuple[str, ...]) -> str:
 def product(term: tuple[str, ...]) -> Column:
     out = F.lit(1.0)
     for c in term:
-        out = out * F.col(c).cast("double")
+        out = out * F.col(f"`{c}`").cast("double")
     return out
 
 
@@ -131,7 +157,7 @@ def model_matrix(df: DataFrame, formula: str) -> tuple[DataFrame, str, list[tupl
     """(y, x) without rows that miss a value; x is an array with the intercept first."""
     response, terms = expand(formula)
     columns = sorted({c for t in terms for c in t} | {response})
-    kept = df.select(*columns).na.drop()
+    kept = df.select(*[f"`{c}`" for c in columns]).na.drop()
     return kept.select(F.col(response).cast("double").alias("y"), F.array(F.lit(1.0), *[product(t) for t in terms]).alias("x")), response, terms
 
 

@@ -86,7 +86,27 @@ def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.articles(table(spark, sf_dir, "pages", "page_id", "html"))
 
 
-@query()
+@query("""SELECT doc_id, source AS title, lang AS subtitle, concat('2022-10-', lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0')) AS "date", md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS text,
+concat('/', source) AS genre1, CASE WHEN doc_id % 2 = 0 THEN concat('/', source, '/', lang) END AS genre2, CAST(NULL AS VARCHAR) AS genre3 FROM documents""")
+def article_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document spelled as an article's page, a paragraph a line, and read back; the text is shown by its hash."""
+    rows = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
+    told = F.regexp_replace(F.regexp_replace("text", "&", "&amp;"), "<", "&lt;")
+    second = F.when(F.col("doc_id") % 2 == 0, F.format_string('<a href="/%s/%s">b</a>', "source", "lang")).otherwise(F.lit(""))
+    head = F.format_string('<nav><a href="/%s">a</a>%s</nav><h1> %s </h1><h2>%s</h2><time datetime="2022-10-%02d">x</time><article><p>', "source", second, "source", "lang", F.col("doc_id") % 28 + 1)
+    found = pages.articles(rows.select("doc_id", F.concat(head, F.regexp_replace(told, "\\n", "</p><p>"), F.lit("</p></article>")).alias("html")))
+    return found.withColumn("text", F.md5("text"))
+
+
+def _listed_sql(kind: list[str]) -> str:
+    words = ", ".join(f"'{w}'" for w in kind)
+    return f"len(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: trim(w, '.,!?') IN ({words})))"
+
+
+@query(f"""WITH c AS (SELECT doc_id, 1 + {_listed_sql(sentiment.POSITIVE)} AS p, 1 + {_listed_sql(sentiment.NEGATIVE)} AS n FROM documents),
+s AS (SELECT doc_id, p::DOUBLE / (p + n + 1) AS pos, n::DOUBLE / (p + n + 1) AS neg, 1::DOUBLE / (p + n + 1) AS neu FROM c)
+SELECT doc_id, pos AS sentiment_prob_pos, neg AS sentiment_prob_neg, neu AS sentiment_prob_neu, CASE WHEN pos >= neg AND pos >= neu THEN 'positive' WHEN neg >= neu THEN 'negative' ELSE 'neutral' END AS sentiment_class,
+CAST(CASE WHEN pos >= neg AND pos >= neu THEN 2 WHEN neg >= neu THEN 0 ELSE 1 END AS INT) AS sentiment_class_c, pos - neg + 1 AS sentiment_compound FROM s""")
 def sentiment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentiment.with_sentiment(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
 
