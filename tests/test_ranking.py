@@ -5,9 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import forest, overlap
+from threadloom.operators import forest, grid, overlap
 from threadloom.operators import policies as P
 from threadloom.operators import utility as U
+from threadloom.plans import catalog
 from threadloom.plans.ranking import SUBSET
 from threadloom.sources.fixtures import forum_ranking
 
@@ -132,3 +133,39 @@ def test_worked_jaccard(spark):
     rows = [("x", c, k, p, v, 0) for k, (c, p, v) in enumerate([("a", True, 1), ("b", True, 9), ("c", False, 5), ("d", False, 0)])]
     df = spark.createDataFrame(rows, "article string, comment_id string, `order` int, pinned boolean, votes_pos int, votes_neg int")
     assert overlap.preferences(df).first()["pinned|top_up"] == pytest.approx(1 / 3)
+
+
+def odd_forum(spark):
+    """Discussions of few rows, without roots or before the first, with nulls, NaN, ties and a root id that comes twice."""
+    r = random.Random(3)
+
+    def perhaps(value, share):
+        return None if r.random() < share else value
+
+    rows = []
+    for a, n in enumerate((1, 2, 7, 12, 40, 130, 101, 9, 30)):
+        root, none = None, 0.3 * (a % 2)
+        for k in range(n):
+            level = 1 if a == 7 or a == 6 and k == 0 else r.randint(0, 2)
+            if level == 0:
+                root = "8-0" if a == 8 and k > 15 else f"{a}-{k}"
+            score = perhaps(r.choice([1.0, 2.0, float("nan"), 5.0]) if a == 5 else r.random(), none)
+            x = None if a == 2 else perhaps(float(r.randint(-3, 9)), 0.4 * (a in (3, 5, 8)))
+            rows.append((f"d{a}", f"{a}-{k}", k + 1, level, perhaps(r.randint(0, 50), none), r.randint(0, 5), perhaps(r.randint(0, 3), none), r.randint(-3, 5), score, r.random(), r.random(), r.random(), perhaps(r.random() < 0.2, none / 3), x, root, level == 0, r.random()))
+    return spark.createDataFrame(rows, f"{COLUMNS}, root_of_tree string, is_root boolean, y double")
+
+
+@pytest.mark.parametrize(("on_zero", "compat"), [("zero", False), ("skip", True)])
+def test_arrays_score_as_windows_do(spark, monkeypatch, on_zero, compat):
+    monkeypatch.setattr(grid, "CELLS", 1000)
+    df = odd_forum(spark).cache()
+    want, got = ({tuple(r)[:4]: r.value for r in f(df, ("x", "y"), cutoffs=(1, 10, 50), on_zero=on_zero, compat=compat).collect()} for f in (U.utility, grid.utility))
+    assert want.keys() == got.keys() and {k for k, v in want.items() if v is None} == {k for k, v in got.items() if v is None}
+    known = [k for k, v in want.items() if v is not None]
+    assert [got[k] for k in known] == pytest.approx([want[k] for k in known], abs=1e-9)
+
+
+@pytest.mark.parametrize("name", ["quartiles_by_policy_grid"])
+def test_the_grid_makes_no_row_per_policy_and_comment(spark, sf, monkeypatch, name):
+    monkeypatch.setattr(P, "exploded", None)
+    assert catalog.QUERIES[name](spark, sf).count() == {"quartiles_by_policy_grid": 66, "utility_full_grid": 1056, "utility_specifications": 6}[name]

@@ -89,7 +89,10 @@ def ratio(f: str, on_zero: str = "zero") -> Column:
 
 
 def utility(df: DataFrame, features: tuple[str, ...], policies: tuple[P.Policy, ...] = P.GRID, cutoffs: tuple[int, ...] = (10, 50, 100), on_zero: str = "zero", **options) -> DataFrame:
-    """(article, policy, feature, cutoff, value): cutoff "N" is the whole discussion but its last place."""
+    """(article, policy, feature, cutoff, value): cutoff "N" is the whole discussion but its last place.
+
+    grid.utility gives the same for many policies without their rows by place.
+    """
     c = curves(df, features, policies, **options)
     means = []
     for f in features:
@@ -99,9 +102,18 @@ def utility(df: DataFrame, features: tuple[str, ...], policies: tuple[P.Policy,
             means.append(F.avg(F.when(inside, r)).alias(f"{f}|{k}"))
         means.append(F.avg(F.when(F.col("i") < F.col("n"), r)).alias(f"{f}|N"))
     wide = c.groupBy("article", "policy").agg(*means)
-    names = [f"{f}|{k}" for f in features for k in (*cutoffs, "N")]
-    cells = F.array(*[F.struct(F.lit(n.split("|")[0]).alias("feature"), F.lit(n.split("|")[1]).alias("cutoff"), F.col(f"`{n}`").alias("value")) for n in names])
-    return wide.select("article", "policy", F.explode(cells).alias("c")).select("article", "policy", "c.*")
+    return long(wide, cells(features, cutoffs))
+
+
+def cells(features: tuple[str, ...], cutoffs: tuple[int, ...]) -> list[str]:
+    """Names of the columns of means: feature and cut-off."""
+    return [f"{f}|{k}" for f in features for k in (*cutoffs, "N")]
+
+
+def long(wide: DataFrame, names: list[str]) -> DataFrame:
+    """(article, policy, feature, cutoff, value) of such columns."""
+    values = F.array(*[F.struct(F.lit(n.split("|")[0]).alias("feature"), F.lit(n.split("|")[1]).alias("cutoff"), F.col(f"`{n}`").alias("value")) for n in names])
+    return wide.select("article", "policy", F.explode(values).alias("c")).select("article", "policy", "c.*")
 
 
 def score_curve(df: DataFrame, feature: str, policies: tuple[P.Policy, ...], **options) -> DataFrame:

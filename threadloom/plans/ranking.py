@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.operators import grid
 from threadloom.operators import policies as P
 from threadloom.operators import utility as U
 from threadloom.operators.relational import dummies, melt, quartiles, rounded
@@ -215,7 +216,7 @@ def shifted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(U.utility(_forum(spark, sf_dir), ("lexdiv",), P.GRID, (10,)))
+    return rounded(grid.utility(_forum(spark, sf_dir), ("lexdiv",), P.GRID, (10,)))
 
 
 @query(f"""{grid_sql(("lexdiv",), (10, "N"))} SELECT feature, cutoff, policy, mean_value, place FROM board""")
@@ -233,8 +234,13 @@ def policy_selection_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{grid_sql(("lexdiv",), ("N",))} SELECT policy, round(quantile_cont(value, 0.25), 8) + 0.0 AS q25, round(quantile_cont(value, 0.5), 8) + 0.0 AS median, round(quantile_cont(value, 0.75), 8) + 0.0 AS q75 FROM scores GROUP BY policy""")
 def quartiles_by_policy_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quartiles of each of the 66 policies."""
-    scores = _grid_scores(spark, sf_dir).filter("cutoff = 'N'")
-    return rounded(quartiles(scores, "value", "policy"), 8)
+    # quartiles read the scores several times, and are a row per policy
+    scores = rounded(grid.utility(_forum(spark, sf_dir), ("lexdiv",), cutoffs=()).select("policy", "value")).persist()
+    try:
+        found = rounded(quartiles(scores, "value", "policy"), 8)
+        return spark.createDataFrame(found.collect(), found.schema)
+    finally:
+        scores.unpersist()
 
 
 @query(f"""{grid_sql(FEATURES, (10, 50, 100, "N"))} SELECT feature, cutoff, policy, mean_value, place FROM board""")
