@@ -246,4 +246,4 @@ def quartiles_by_policy_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{grid_sql(FEATURES, (10, 50, 100, "N"))} SELECT feature, cutoff, policy, mean_value, place FROM board""")
 def utility_full_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 66 policies, four features, four cut-offs; scores by policy over all discussions."""
-    return rounded(U.leaderboard(rounded(U.utility(_forum(spark, sf_dir), FEATURES))), 9)
+    return rounded(U.leaderboard(rounded(grid.utility(_forum(spark, sf_dir), FEATURES))), 9)
