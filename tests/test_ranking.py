@@ -165,7 +165,7 @@ def test_arrays_score_as_windows_do(spark, monkeypatch, on_zero, compat):
     assert [got[k] for k in known] == pytest.approx([want[k] for k in known], abs=1e-9)
 
 
-@pytest.mark.parametrize("name", ["quartiles_by_policy_grid", "utility_full_grid"])
+@pytest.mark.parametrize("name", ["quartiles_by_policy_grid", "utility_full_grid", "utility_specifications"])
 def test_the_grid_makes_no_row_per_policy_and_comment(spark, sf, monkeypatch, name):
     monkeypatch.setattr(P, "exploded", None)
     assert catalog.QUERIES[name](spark, sf).count() == {"quartiles_by_policy_grid": 66, "utility_full_grid": 1056, "utility_specifications": 6}[name]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import maths, text, values
-from threadloom.operators import compare, glm, policies, specifications, utility
+from threadloom.operators import compare, glm, grid, policies, specifications, utility
 from threadloom.operators import relational as R
 from threadloom.plans.models import _cells, _contrasts_sql
 from threadloom.plans.ranking import ONE_SQL, SUBSET, _forum, utility_sql
@@ -150,7 +150,7 @@ def score_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def utility_specifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six beta regressions of the scores of all policies, with AIC and BIC."""
-    scores = utility.utility(_forum(spark, sf_dir), ("lexdiv",), policies.GRID, ()).select(F.col("policy").alias("policy_name"), maths.squeeze("value").alias("utility"))
+    scores = grid.utility(_forum(spark, sf_dir), ("lexdiv",), policies.GRID, ()).select(F.col("policy").alias("policy_name"), maths.squeeze("value").alias("utility"))
     named = policies.parse_name(scores)
     levels = [x.removeprefix("policy_") for x in specifications.POLICIES]
     # six fits read the same scores, which are made once
