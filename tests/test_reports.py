@@ -3,6 +3,8 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +137,31 @@ def test_nested_utilities_fit_better_with_more_terms(spark, sf):
     assert [rows[f"utility_{k}"].k for k in range(1, 7)] == [15, 35, 25, 45, 47, 67]
     for less, more in ((1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (5, 6)):
         assert rows[f"utility_{less}"].log_lik <= rows[f"utility_{more}"].log_lik + 1e-6
+
+
+def copies(tmp_path):
+    """Lines of twelve suppliers whose values are the same in other orders, beside some whose aren't."""
+    r = np.random.default_rng(6)
+    value, price = r.integers(0, 11, 97) / 100, r.integers(100, 10**7, 97) / 100
+    rows = []
+    for k in range(24):
+        kept = r.permutation(97) if k < 12 else np.sort(r.choice(97, 60, replace=False))
+        rows += [(k, float(i % 50 + (k >= 12) * k), value[i], price[i]) for i in kept]
+    supplier, quantity, discount, cost = zip(*rows, strict=True)
+    pq.write_table(pa.table({"l_suppkey": pa.array(supplier, pa.int64()), "l_quantity": quantity, "l_discount": discount, "l_extendedprice": cost}), tmp_path / "lineitem.parquet")
+    return rows
+
+
+def test_equal_means_are_ranked_by_name(spark, tmp_path):
+    copies(tmp_path)
+    rows = catalog.QUERIES["genre_ranking_table"](spark, str(tmp_path)).orderBy("place").collect()
+    same = [f"s{k}" for k in range(12)]
+    assert [q.down_term for q in rows if q.down_term in same] == sorted(same)
+    assert [q.up_term for q in rows if q.up_term in same] == sorted(same)
+
+
+def test_exact_means_and_what_has_none(spark):
+    rows = [("a", 0.1), ("a", 0.2), ("a", 0.3), ("a", None), ("b", 1e12), ("b", 0.5), ("c", math.nan), ("c", 1.0), ("d", None), ("e", 1 / 3)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {r.k: r.m for r in df.groupBy("k").agg(maths.exact_mean("x").alias("m")).collect()}
+    assert got["a"] == 0.2 and got["b"] == (1e12 + 0.5) / 2 and math.isnan(got["c"]) and got["d"] is None and got["e"] == 1 / 3

@@ -90,6 +90,19 @@ def correlation_p(r: str, n: str, steps: int = 2000) -> Column:
     return F.when(known & (F.col(n) <= 10_000), exact).when(known, F.when(F.abs(value) < 1, normal).otherwise(F.lit(0.0)))
 
 
+def exact_mean(c: str) -> Column:
+    """Aggregate: the mean of numbers, the same in whatever order they are added, so that equal means are equal.
+
+    Numbers of up to six decimals are added as whole millionths; a group that holds
+    others (more decimals, NaN, 9e9 and more) has the plain mean.
+    """
+    x = F.col(c).cast("double")
+    units = F.rint(x * 1e6)
+    units = F.when((F.abs(units) < 2**53) & (units / 1e6 == x), units.cast("long"))
+    mean = F.try_sum(units) / F.nullif(F.count(c), F.lit(0)) / 1e6
+    return F.coalesce(F.when(F.count(units) == F.count(c), mean), F.avg(c))
+
+
 def rmsle(truth: str, guess: str) -> Column:
     """Aggregate: root mean squared error of log(x + 1); guesses below 0 count as 0."""
     return F.sqrt(F.avg(F.pow(F.log1p(F.greatest(F.col(guess), F.lit(0.0))) - F.log1p(truth), F.lit(2))))

@@ -47,7 +47,7 @@ def rmsle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _means(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem", "l_suppkey", column)
-    return rows.groupBy(F.concat(F.lit("s"), "l_suppkey").alias("term")).agg(F.avg(column).alias("estimate"), (F.stddev_samp(column) / F.sqrt(F.count("*"))).alias("std_error"))
+    return rows.groupBy(F.concat(F.lit("s"), "l_suppkey").alias("term")).agg(maths.exact_mean(column).alias("estimate"), (F.stddev_samp(column) / F.sqrt(F.count("*"))).alias("std_error"))
 
 
 def _diff_sql(a: str, b: str) -> str:
