@@ -139,6 +139,16 @@ def test_nested_utilities_fit_better_with_more_terms(spark, sf):
         assert rows[f"utility_{less}"].log_lik <= rows[f"utility_{more}"].log_lik + 1e-6
 
 
+def test_three_decimals_round_as_c_does(spark):
+    r = np.random.default_rng(4)
+    ties = [(k + 0.5) / 1000 for k in r.integers(0, 10**9, 300).tolist()]
+    numbers = [2.0625, -2.0625, 25.5625, 0.0, -0.0, -0.0001, 0.9995, 1e15 + 0.0625, 1e-300, *ties, *[math.nextafter(t, 0) for t in ties], *[k / 640 for k in range(16000, 16640)]]
+    rows = spark.createDataFrame([(float(x),) for x in numbers], "x double").select("x", text.three_decimals(F.col("x")).alias("shown")).collect()
+    assert [q.shown for q in rows] == ["%.3f" % q.x for q in rows]
+    odd = spark.createDataFrame([(None,), (math.nan,)], "x double").select(text.three_decimals(F.col("x")).alias("shown")).collect()
+    assert [q.shown for q in odd] == ["-", "-"]
+
+
 def copies(tmp_path):
     """Lines of twelve suppliers whose values are the same in other orders, beside some whose aren't."""
     r = np.random.default_rng(6)

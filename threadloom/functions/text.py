@@ -120,5 +120,23 @@ def stars(p: Column) -> Column:
 
 
 def three_decimals(x: Column) -> Column:
-    """A number with three decimals; "-" for null and NaN."""
-    return F.when(x.isNull() | F.isnan(x), F.lit("-")).otherwise(F.format_string("%.3f", x))
+    """A number with three decimals, rounded by its exact binary value, ties to even; "-" for null and NaN.
+
+    Java rounds the shortest decimal spelling half up instead: 2.0625 is 2.062 here and 2.063 there. Thousandths
+    of the fraction are a product and its error, from a fraction cut at 26 bits.
+    """
+    size = F.abs(x)
+    whole = F.floor(size)
+    part = size - whole
+    high = F.floor(part * 2**26) / 2**26
+    product = part * 1000
+    error = (high * 1000 - product) + (part - high) * 1000
+    below = F.floor(product)
+    # what is left over a half: the difference is exact, and a tie of the product is decided by its error
+    over = (product - below) - 0.5
+    up = (over > 0) | ((over == 0) & ((error > 0) | ((error == 0) & (below % 2 == 1))))
+    thousandths = below + up.cast("long")
+    carried = whole + (thousandths == 1000).cast("long")
+    sign = F.when(F.signum(x) < 0, F.lit("-")).when(x.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    shown = F.concat(sign, carried.cast("string"), F.lit("."), F.lpad((thousandths % 1000).cast("string"), 3, "0"))
+    return F.when(x.isNull() | F.isnan(x), F.lit("-")).when(size < 2**53, shown).otherwise(F.format_string("%.3f", x))
