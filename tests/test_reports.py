@@ -1,6 +1,7 @@
 """Options, summaries, stored postings and columns at their edges."""
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -170,6 +171,17 @@ def test_equal_means_are_ranked_by_name(spark, tmp_path):
     assert [q.up_term for q in rows if q.up_term in same] == sorted(same)
 
 
+def test_equal_means_share_their_rank(spark, tmp_path):
+    rows = copies(tmp_path)
+    by = {}
+    for k, quantity, _, cost in rows:
+        by.setdefault(k, []).append((Fraction(quantity), Fraction(str(cost))))
+    means = [[sum(side) / len(v) for side in zip(*v, strict=True)] for v in by.values()]
+    a, b = ([sum(y < x for y in side) + (sum(y == x for y in side) + 1) / 2 for x in side] for side in zip(*means, strict=True))
+    found = catalog.QUERIES["spearman"](spark, str(tmp_path)).first()
+    assert found.spearman == pytest.approx(np.corrcoef(a, b)[0, 1], abs=6e-6) and found.n == 24
+
+
 def test_exact_means_and_what_has_none(spark):
     rows = [("a", 0.1), ("a", 0.2), ("a", 0.3), ("a", None), ("b", 1e12), ("b", 0.5), ("c", math.nan), ("c", 1.0), ("d", None), ("e", 1 / 3)]
     df = spark.createDataFrame(rows, "k string, x double")

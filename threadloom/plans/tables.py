@@ -61,7 +61,7 @@ def corr_matrix_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH m AS (SELECT l_suppkey AS k, avg(l_quantity) AS a, avg(l_extendedprice) AS b FROM lineitem GROUP BY 1), r AS (SELECT *, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0::DOUBLE AS rb FROM m)
 SELECT round(corr(a, b), 5) + 0.0 AS pearson, round(corr(ra, rb), 5) + 0.0 AS spearman, count(*) AS n FROM r""")
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = table(spark, sf_dir, "lineitem", "l_suppkey", "l_quantity", "l_extendedprice").groupBy("l_suppkey").agg(F.avg("l_quantity").alias("a"), F.avg("l_extendedprice").alias("b"))
+    means = table(spark, sf_dir, "lineitem", "l_suppkey", "l_quantity", "l_extendedprice").groupBy("l_suppkey").agg(maths.exact_mean("l_quantity").alias("a"), maths.exact_mean("l_extendedprice").alias("b"))
     return R.rounded(R.spearman(means, "a", "b"), 5)
 
 
